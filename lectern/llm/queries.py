@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import near_dup
+from lectern.llm import near_dup, suffix_dedup
 from lectern.session import table
 
 
@@ -12,8 +12,13 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {}
