@@ -4,21 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import near_dup, suffix_dedup
+from lectern.llm import bpe, mixing, near_dup, suffix_dedup
 from lectern.session import table
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY)
+
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op4_byte_level_bpe": op4_byte_level_bpe,
     "op5_near_duplicates": op5_near_duplicates,
+    "op7_source_mixing": op7_source_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_source_mixing": mixing.SQL,
+}
