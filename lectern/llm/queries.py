@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, mixing, near_dup, suffix_dedup
+from lectern.llm import bpe, mixing, near_dup, suffix_dedup, toxicity
 from lectern.session import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -27,6 +31,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_byte_level_bpe": op4_byte_level_bpe,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_source_mixing": op7_source_mixing,
