@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, mixing, near_dup, suffix_dedup, toxicity
+from lectern.llm import bpe, licenses, mixing, near_dup, pii, suffix_dedup, toxicity
 from lectern.session import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -26,16 +26,26 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_byte_level_bpe": op4_byte_level_bpe,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_source_mixing": op7_source_mixing,
+    "op8_pii": op8_pii,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
