@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, licenses, mixing, near_dup, pii, suffix_dedup, toxicity
+from lectern.llm import bpe, fingerprints, licenses, mixing, near_dup, pii, suffix_dedup, toxicity
 from lectern.session import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +43,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op3_toxicity": op3_toxicity,
     "op4_byte_level_bpe": op4_byte_level_bpe,
     "op5_near_duplicates": op5_near_duplicates,
