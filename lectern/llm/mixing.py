@@ -87,8 +87,8 @@ def leaf_plan(leaves: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPO
     return nodes.select(*LEVELS, "tokens", "budget", F.expr("if(tokens > 0, budget div tokens, 0)").alias("epochs"), F.expr("if(tokens > 0, budget % tokens, 0)").alias("rest"))
 
 
-def _order(seed: int) -> Column:
-    return F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("epochs").cast("string"), F.col("__id").cast("string")))
+def _order(seed: int, epochs: str = "epochs") -> Column:
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(epochs).cast("string"), F.col("__id").cast("string")))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -116,11 +116,11 @@ def plan(docs: DataFrame, seed: int = SEED, **budget) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = SEED, **budget) -> DataFrame:
     """``docs`` with one row for each copy taken, and ``__epoch``, the epoch it is from, with the leaf's columns."""
-    chosen = _small(plan(docs, seed, **budget))
-    rows = with_leaf(docs).where("__tokens > 0").join(chosen, list(LEVELS)).withColumn("__h", _order(seed))
-    copies = F.col("epochs") + F.coalesce((F.struct("__h", "__id") <= F.col("cut")).cast("bigint"), F.lit(0))
+    chosen = _small(plan(docs, seed, **budget).withColumnsRenamed({"epochs": "__epochs", "cut": "__cut"}))
+    rows = with_leaf(docs).where("__tokens > 0").join(chosen, list(LEVELS)).withColumn("__h", _order(seed, "__epochs"))
+    copies = F.col("__epochs") + F.coalesce((F.struct("__h", "__id") <= F.col("__cut")).cast("bigint"), F.lit(0))
     rows = rows.withColumn("__copies", copies).where("__copies > 0")
-    return rows.withColumn("__epoch", F.explode(F.expr("sequence(0L, __copies - 1)"))).drop("epochs", "cut", "__h", "__copies")
+    return rows.withColumn("__epoch", F.explode(F.expr("sequence(0L, __copies - 1)"))).drop("__epochs", "__cut", "__h", "__copies")
 
 
 def select_mix(docs: DataFrame, **kw) -> DataFrame:
@@ -130,7 +130,8 @@ def select_mix(docs: DataFrame, **kw) -> DataFrame:
 
 def report(docs: DataFrame, **kw) -> DataFrame:
     """(doc_id, epoch, domain, lang, source, tokens) of every copy taken."""
-    return mix(docs, **kw).select("doc_id", F.col("__epoch").alias("epoch"), F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("tokens"))
+    slim = docs.select("doc_id", "text", "lang", "source")
+    return mix(slim, **kw).select("doc_id", F.col("__epoch").alias("epoch"), F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("tokens"))
 
 
 def _sql_weight(name: str, weights: dict[str, int]) -> str:
