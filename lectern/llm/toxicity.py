@@ -5,13 +5,19 @@ forms count together) is trained on the sentences of labelled documents. Every s
 an identity term is also swapped: the term is replaced by each other term of its group, and the
 squared change of the score is penalised. The penalty pulls the scores of a group's terms together
 and, with the ridge term, towards what the rest of the sentence does not explain, so naming a
-group is no evidence by itself. A document is as toxic as its most toxic sentence.
+group is no evidence by itself.
+
+A document's labels don't say which of its sentences they are for, and in a long document some word
+looks like a toxic one by chance. So a second logistic model, of three numbers (the log-odds of the
+most and of the second most toxic sentence, and the logarithm of the number of sentences), fitted on
+the same labelled documents, turns sentence scores into the document's.
 
 ``MAX_LABELLED`` bounds the labelled documents the model is fitted on (a hash sample of the
 labelled ids); everything else reads all rows. Equal sentences are one training row with their
 mean label. Labels are noisy and belong to documents, so a feature enters the model only if its
 sentences' labels stray from the mean by ``MIN_Z`` standard deviations, with documents as the
-units of chance (a word of one long toxic document proves little); identity terms always enter.
+units of chance (a word of one long toxic document proves little); identity terms always enter, and
+a beginning brings along the word that equals it, so that a stem alone is told from its forms.
 
 Defined cases: a null, empty or wordless text scores 0 and is not toxic; the filter keeps it. A
 null label or doc_id in ``labels`` is ignored; several labels of a document count as their
@@ -81,6 +87,7 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     begins: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # first bytes of words worth a look
     bias: float = -np.inf
+    whole: np.ndarray | None = None  # of documents: constant, first, second, sentences
 
     def __post_init__(self) -> None:
         self.look: np.ndarray | None = None
@@ -88,10 +95,10 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"look": None}
 
-    def score(self, col: pa.Array) -> np.ndarray:
-        """Highest sentence score of each row; 0 without words."""
+    def evidence(self, col: pa.Array) -> np.ndarray:
+        """(log-odds of the most and the second most toxic sentence, sentences) of each row with words; NaN without."""
         data, s, e, sent, row = sentences(col)
-        out = np.zeros(len(col))
+        out = np.full((len(col), 3), np.nan)
         if not len(row) or not np.isfinite(self.bias):
             return out
         if self.look is None:
@@ -105,9 +112,45 @@ class Model:
         z = np.full(len(row), self.bias)
         if len(pair):
             z += np.bincount(pair // len(self.keys), weights=self.weights[pair % len(self.keys)], minlength=len(row))
-        np.maximum.at(out, row, 1 / (1 + np.exp(np.minimum(-z, 500))))
+        order = np.lexsort((-z, row))
+        z, row = z[order], row[order]
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        count = np.diff(np.append(first, len(row)))
+        second = np.where(count > 1, z[np.minimum(first + 1, len(z) - 1)], self.bias)
+        out[row[first]] = np.stack([z[first], second, count], 1)
         return out
 
+    def score(self, col: pa.Array) -> np.ndarray:
+        """Score of each row; 0 without words."""
+        x = self.evidence(col)
+        z = x[:, 0] if self.whole is None else _inputs(x) @ self.whole
+        return np.where(np.isnan(x[:, 0]), 0.0, 1 / (1 + np.exp(np.clip(-np.nan_to_num(z), -500, 500))))
+
+
+def _inputs(x: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones(len(x)), x[:, 0], x[:, 1], np.log(x[:, 2])], 1)
+
+
+def calibrate(model: Model, x: np.ndarray, label: np.ndarray) -> Model:
+    """``model`` with the document model fitted on the evidence of labelled documents; unchanged if that has one class only."""
+    ok = ~np.isnan(x[:, 0])
+    x, label = _inputs(x[ok]), label[ok]
+    if len(label) and 0 < label.mean() < 1:
+        use = np.ones(4, bool)
+        while True:
+            w = np.zeros(use.sum())
+            for _ in range(30):  # Newton's method
+                p = 1 / (1 + np.exp(np.clip(-(x[:, use] @ w), -30, 30)))
+                grad = x[:, use].T @ (p - label) + 1e-2 * w
+                w -= np.linalg.solve((x[:, use] * (p * (1 - p))[:, None]).T @ x[:, use] + 1e-2 * np.eye(len(w)), grad)
+            model.whole = np.zeros(4)
+            model.whole[use] = w
+            wrong = (model.whole[1:3] < 0) & use[1:3]  # more evidence never speaks for a document
+            if not wrong.any():
+                break
+            use[1:3] &= ~wrong
+    return model
+
 
 def fit(texts: pa.Array, label: np.ndarray, doc: np.ndarray, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, ridge: float = RIDGE, penalty: float = SWAP_PENALTY, rounds: int = ROUNDS, min_z: float = MIN_Z) -> Model:
     """Model of sentences: a text, a label from 0 to 1 and a document number each."""
@@ -145,7 +188,16 @@ def fit(texts: pa.Array, label: np.ndarray, doc: np.ndarray, groups: tuple[tuple
     term_data, ts, te = column_bytes(pc.utf8_lower(pa.array([x for g in groups for x in g], pa.string())))
     term, term_feat = features(term_data, ts, te)
     whole = span_hashes(term_data, ts, te) if len(ts) else np.zeros(0, U64)
-    keys = np.union1d(keys[np.abs(stray) >= min_z * np.sqrt(chance * base * (1 - base))], whole)
+    keys = keys[np.abs(stray) >= min_z * np.sqrt(chance * base * (1 - base))]
+    bare = [whole]  # a beginning brings the word that is nothing more, which may well be harmless
+    for _, data, s, e, _ in parts:
+        if len(s):
+            short = np.flatnonzero(e - s <= PREFIXES[-1])
+            word, feat = features(data, s[short], e[short])
+            size = np.concatenate([np.zeros(len(short), np.int64), *[np.full((e[short] - s[short] >= k).sum(), k) for k in PREFIXES]])
+            own = word[(size == (e - s)[short][word]) & np.isin(feat, keys)]
+            bare.append(np.unique(span_hashes(data, s[short][own], e[short][own])) if len(own) else whole)
+    keys = np.union1d(keys, np.concatenate(bare))
 
     def code_of(feat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = np.minimum(np.searchsorted(keys, feat), max(len(keys) - 1, 0))
@@ -216,10 +268,22 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     total = y.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_003)) < int(1_000_003 * min(1.0, max_labelled / max(total, 1)) + 1)
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = d.where(draw).join(y.where(draw), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_labelled, "text string, toxic double, doc bigint")
+    sample = d.where(draw).join(y.where(draw), "doc_id").select("doc_id", "text", "toxic").checkpoint()
+    rows = sample.mapInArrow(_labelled, "text string, toxic double, doc bigint")
     got = rows.groupBy("text").agg(F.avg("toxic").alias("toxic"), F.min("doc").alias("doc")).toArrow().combine_chunks().sort_by("text")  # the same model however rows arrive
     text = got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string())
-    return fit(text, got["toxic"].to_numpy(), got["doc"].to_numpy(), **kw)
+    model = fit(text, got["toxic"].to_numpy(), got["doc"].to_numpy(), **kw)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.concatenate([shipped.value.evidence(b.column("text").slice(lo, hi - lo)) for lo, hi in slices(b.column("text"))] or [np.zeros((0, 3))])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), b.column("toxic").cast(pa.float64())], ["first", "second", "n", "toxic"])
+
+    x = sample.mapInArrow(seen, "first double, second double, n double, toxic double").toArrow().combine_chunks()
+    x = np.stack([x[c].to_numpy() for c in x.column_names], 1)
+    x = x[np.lexsort(x.T)]
+    return calibrate(model, x[:, :3], x[:, 3])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
