@@ -1,10 +1,12 @@
 """Media columns: content-addressed payloads in tar shards, metadata from header-only range reads.
 
 Rows keep no payload but its SHA-256 digest and the place (shard, offset, length) of its bytes in a
-tar file of the shared folder. A digest is stored once: the row with the smallest id owns it. Tasks write shards of about ``SHARD_BYTES`` under a
-temporary name and move them to one made from their content, so a task that runs again after a lost
-executor leaves the same file. The rows that own nothing are broadcast where their counted number is at
-most ``MAX_BROADCAST_ROWS``, so payloads aren't shuffled; beyond that they meet their rows in a shuffle. Text payloads are deflated, others are stored as they are.
+tar file of the shared folder. A digest is stored once: the row with the smallest id owns it. The rows
+that own nothing are broadcast where their counted number is at most ``MAX_BROADCAST_ROWS``, so that
+no payload is shuffled; beyond that they meet their rows in a shuffle. Tasks write shards of about
+``SHARD_BYTES`` under a temporary name and move them to one made from their content, so a task that
+runs again after a lost executor leaves the same file. Text payloads are deflated, others stay as
+they are.
 
 Metadata is filled by a second pass that reads the first ``HEADER_BYTES`` of each payload, in the
 order of their places, and never the rest: type, character set, language and title of documents,
@@ -175,14 +177,14 @@ def fill_metadata(places: DataFrame, folder: str) -> DataFrame:
 
 def media_columns(table: DataFrame, id_column: str, payload_column: str, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_column`` and ``keep`` of every row with digest, place and metadata of its payload."""
-    rows = table.select(F.col(id_column), *keep, F.col(payload_column).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    slim = rows.select(F.col(id_column).alias("id"), "digest").where("digest is not null").distinct()
-    owned = slim.withColumn("n", F.row_number().over(Window.partitionBy("digest").orderBy(F.col("id").asc_nulls_last())))
-    rest = owned.where("n > 1").select("id", F.col("digest").alias("d")).checkpoint()
+    rows = table.select(F.col(id_column), *keep, F.col(payload_column).cast("binary").alias("__payload")).withColumn("digest", F.sha2("__payload", 256))
+    slim = rows.select(F.col(id_column).alias("__id"), F.col("digest").alias("__digest")).where("__digest is not null").distinct()
+    owned = slim.withColumn("__n", F.row_number().over(Window.partitionBy("__digest").orderBy(F.col("__id").asc_nulls_last())))
+    rest = owned.where("__n > 1").select("__id", "__digest").checkpoint()
     rest = F.broadcast(rest) if rest.count() <= MAX_BROADCAST_ROWS else rest
-    owners = rows.where("digest is not null").join(rest, F.col(id_column).eqNullSafe(rest["id"]) & (F.col("digest") == F.col("d")), "left_anti")
-    filled = fill_metadata(write_shards(owners, folder), folder)
-    return rows.drop("payload").join(filled.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d"), "left").drop("d")
+    owners = rows.where("digest is not null").join(rest, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left_anti")
+    filled = fill_metadata(write_shards(owners.select("digest", F.col("__payload").alias("payload")), folder), folder)
+    return rows.drop("__payload").join(filled.withColumnRenamed("digest", "__digest"), F.col("digest") == F.col("__digest"), "left").drop("__digest")
 
 
 def new_folder(spark) -> str:
