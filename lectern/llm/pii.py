@@ -4,8 +4,9 @@ Loose patterns propose candidate spans (mails, phones, cards, addresses of machi
 security numbers, account numbers, secrets). Seven labelers, regular expressions, checksums,
 gazetteers and context words, each vote private (+1), harmless (-1) or abstain (0). The votes of
 **all** candidates of the corpus are counted by pattern; expectation-maximisation on the counts
-estimates each labeler's reliability (Dawid-Skene with two latent classes and pseudo-counts in
-proportion to the data) and a posterior per pattern. A logistic span classifier is then trained
+estimates each labeler's reliability for each kind (Dawid-Skene with two latent classes and
+pseudo-counts in proportion to the data, heavier ones for formats and checksums; who abstains says
+nothing) and a posterior per pattern. A logistic span classifier is then trained
 on the counts, with the posteriors as soft labels and votes, kind and shape as features, and
 decides every span. Only the count table, whose size is bounded by the discrete features, ever
 reaches the driver.
@@ -32,13 +33,14 @@ from pyspark.sql import functions as F
 THRESHOLD, ROUNDS = 0.5, 60
 KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "secret")
 LABELERS = ("format", "checksum", "gazetteer", "cue", "anti_cue", "boundary", "variety")
+STRICT_LABELERS, STRICT_WEIGHT, WEIGHT = ("format", "checksum"), 5.0, 0.5
 WINDOW = 40  # characters of context on the left
 
 _PROPOSALS = re.compile(
     r"""(?P<email>(?<![\w.%+-])[\w.%+-]{1,64}@[\w-]+(?:\.[\w-]+)*)
+    |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
     |(?P<secret>(?<![A-Za-z0-9])(?:(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth)["']?\s{0,3}[=:]\s{0,3}["']?[^\s"',;]{6,200}
         |[A-Z]{2,6}[A-Z0-9]{14,36}(?![A-Za-z0-9])|(?:gh[pousr]_|sk-|xox[abp]-)[\w-]{16,100}|[0-9a-f]{32,128}(?![0-9a-z])))
-    |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
     |(?P<card>(?<![\d.])(?:\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7})(?!\d))
     |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
     |(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){1,5}(?!\d))
@@ -49,7 +51,7 @@ _MAYBE = r"[0-9@]|[Pp]ass|pwd|[Ss]ecret|[Tt]oken|[Kk]ey|auth"
 _STRICT = {
     "email": re.compile(r"[A-Za-z0-9][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"),
     "phone": re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{9,15}|\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}"),
-    "card": re.compile(r"[3-6]\d{12,18}|[3-6]\d{3}([ -])\d{4}\1\d{4}\1\d{1,7}"),
+    "card": re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}"),
     "ip": re.compile(r"(?:\d{1,3}\.){3}\d{1,3}"),
     "ssn": re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"),
     "iban": re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
@@ -66,6 +68,7 @@ _CUES = {
 }
 _CUES = {k: re.compile(v, re.I) for k, v in _CUES.items()}
 _ANTI = re.compile(r"(?:version|\bv|release|licen[sc]e|licensed|section|chapter|figure|fig\.|page|isbn|doi|cc by\S*|\bby-\S*|python|no\.)\W{0,3}$", re.I)
+_ISSUER = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11}|(?:6011|64[4-9]\d|65\d\d)\d{12}|35\d{14}")
 _TLDS = frozenset("com org net edu gov mil io de fr es uk us eu co info biz me dev app ch at it nl be pt pl se no fi dk ca au jp cn in br mx ar".split())
 _IBAN = frozenset("AD AE AL AT BA BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO RS SE SI SK SM TR".split())
 
@@ -93,12 +96,14 @@ def votes(kind: str, span: str, left: str, right: str) -> tuple[int, ...]:
     """One vote of each of ``LABELERS`` on a candidate between its contexts."""
     body = span.split("=", 1)[-1].split(":", 1)[-1].strip("\"' ") if kind == "secret" else span
     fmt = 1 if _STRICT[kind].fullmatch(span) else -1
+    if kind in ("card", "iban", "ip"):
+        fmt = min(fmt, 0)  # what the checksum, the range or the gazetteer says isn't said twice
     check = 0
     gaz = 0
     if kind == "card":
         digits = re.sub(r"\D", "", span)
         check = 1 if luhn(digits) else -1
-        gaz = 1 if digits[0] in "3456" else -1
+        gaz = 1 if _ISSUER.fullmatch(digits) else -1
     elif kind == "ip":
         parts = [int(x) for x in span.split(".")]
         check = 1 if len(parts) == 4 and max(parts) < 256 else -1
@@ -107,13 +112,14 @@ def votes(kind: str, span: str, left: str, right: str) -> tuple[int, ...]:
         gaz = 1 if span.rpartition(".")[2].lower() in _TLDS else -1
     elif kind == "phone":
         n = len(re.sub(r"\D", "", span))
-        check = 1 if 9 <= n <= 15 else -1
+        check = 0 if 9 <= n <= 15 else -1
         gaz = 1 if span[0] in "+(" else 0
     elif kind == "iban":
         check = 1 if _iban_ok(span) else -1
         gaz = 1 if span[:2] in _IBAN else -1
     elif kind == "secret":
-        check = 1 if _entropy(body) >= 2.5 and len(body) >= 8 else -1
+        word = body == span and not re.search(r"[\d_-]", span)  # capitals only
+        check = 1 if _entropy(body) >= 2.5 and len(body) >= 8 and not word else -1
         gaz = 1 if re.match(r"AKIA|ASIA|gh[pousr]_|sk-|xox", body) else 0
     cue = 1 if _CUES[kind].search(left) or (kind == "secret" and _CUES[kind].search(span)) else 0
     anti = -1 if _ANTI.search(left) else 0
@@ -177,24 +183,27 @@ def design(kinds: list[str], feats: np.ndarray) -> np.ndarray:
 
 def em(kinds: list[str], v: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, dict[str, tuple[float, float]]]:
     """(posterior of each vote pattern, (P(+1 | private), P(-1 | harmless)) of each labeler)."""
-    vals = np.stack([v == x for x in (-1, 0, 1)], 2).astype(float)  # pattern x labeler x vote
-    post = 1 / (1 + np.exp(-1.5 * v.sum(1)))
+    vals = np.stack([v == -1, v == 1], 2).astype(float)  # pattern x labeler x vote; who abstains says nothing
+    hard = np.isin(LABELERS, STRICT_LABELERS)
+    post = 1 / (1 + np.exp(-1.5 * (v.sum(1) - 4 * (v[:, hard] == -1).sum(1))))  # to begin with, a strict labeler's no is final
     kind = np.array([KINDS.index(k) for k in kinds])
-    # pseudo-counts: labelers are taken to be better than chance, with a tenth of the data's weight
-    total = n.sum()
-    weak = 0.1 * total * np.array([[0.1, 0.3, 0.6], [0.6, 0.3, 0.1]])
+    size = np.bincount(kind, weights=n, minlength=len(KINDS))
+    # pseudo-counts in proportion to each kind's candidates: labelers are taken to be better than chance, the strict ones much better
+    strict = hard[:, None]
+    weak = [np.where(strict, STRICT_WEIGHT * np.array(x), WEIGHT * np.array(y)) for x, y in (((0.02, 0.98), (0.2, 0.8)), ((0.98, 0.02), (0.8, 0.2)))]
+    where = np.eye(len(KINDS))[kind]  # pattern x kind
     for _ in range(rounds):
         like = np.zeros((len(v), 2))
         table = []
         for y, q in ((0, post * n), (1, (1 - post) * n)):
-            t = np.einsum("p,plv->lv", q, vals) + weak[y]
-            t /= t.sum(1, keepdims=True)
+            t = np.einsum("p,pk,plv->klv", q, where, vals) + size[:, None, None] * weak[y] + 1e-9
             table.append(t)
-            like[:, y] = np.einsum("plv,lv->p", vals, np.log(t))
-        prior = (np.bincount(kind, weights=post * n, minlength=len(KINDS)) + 1) / (np.bincount(kind, weights=n, minlength=len(KINDS)) + 2)
+            like[:, y] = np.einsum("plv,plv->p", vals, np.log(t / t.sum(2, keepdims=True))[kind])
+        prior = (where.T @ (post * n) + 0.25 * size + 1) / (1.5 * size + 2)
         z = like[:, 0] - like[:, 1] + np.log(prior / (1 - prior))[kind]
         post = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-    return post, {name: (float(table[0][i, 2]), float(table[1][i, 0])) for i, name in enumerate(LABELERS)}
+    whole = [t.sum(0) / t.sum((0, 2))[:, None] for t in table]
+    return post, {name: (float(whole[0][i, 1]), float(whole[1][i, 0])) for i, name in enumerate(LABELERS)}
 
 
 def train(docs: DataFrame) -> SpanModel | None:
