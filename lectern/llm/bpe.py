@@ -285,7 +285,7 @@ def encode(docs: DataFrame, vocabulary: str, columns: tuple[str, ...] = ("doc_id
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(raw.value)
         for b in batches:
-            col = b.column("text")
+            col = b.column("__text")
             for lo, hi in slices(col, SLICE):
                 part = col.slice(lo, hi - lo)
                 data, s, e = column_bytes(part)
@@ -300,7 +300,7 @@ def encode(docs: DataFrame, vocabulary: str, columns: tuple[str, ...] = ("doc_id
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids), mask=pa.array(gone)) if hi > lo else pa.array([], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in columns), lists, pa.array(np.diff(first), mask=gone), pa.array(exact, mask=gone)], [*columns, "token_ids", "n_tokens", "exact"])
 
-    chosen = docs.select(*columns, docs["text"].cast("string").alias("text"))
+    chosen = docs.select(*columns, docs["text"].cast("string").alias("__text"))
     schema = StructType([*(chosen.schema[c] for c in columns), StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("exact", BooleanType())])
     return chosen.mapInArrow(go, schema)
 

@@ -12,8 +12,8 @@ are combined before they are shuffled; texts are read again only for documents w
 
 Defined cases: a null, empty or shorter text has no grams and no spans; a null doc_id is carried
 along and told apart by its text; rows that repeat a doc_id with the same text give the spans
-once; of spans that overlap, whatever the template, the best stays, ties going to the first; an empty
-table gives an empty result; columns other than doc_id and text aren't read.
+once; of spans that overlap, whatever the template, the one with the most words in common stays, ties going
+to the better score and then to the first; an empty table gives an empty result; columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -143,9 +143,9 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
                 for x in b.column("spans")[r].as_py():
                     score, p, q = best_window(words, bodies[x["t"]], x["p0"], x["p1"])
                     if score >= MIN_SCORE:
-                        spans.append((-score, p, q, names[x["t"]]))
+                        spans.append((-round(score * max(q - p, len(bodies[x["t"]]))), -score, p, q, names[x["t"]]))
                 taken: list[tuple[int, int]] = []
-                for score, p, q, name in sorted(spans):
+                for _, score, p, q, name in sorted(spans):
                     if all(q <= a or p >= z for a, z in taken):
                         taken.append((p, q))
                         out.append((b.column("doc_id")[r].as_py(), name, int(chars[ws[p]]), int(chars[we[q - 1] - 1]) + 1, -score))
