@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import count_words, estimate_tokens, file_format, file_name, page_estimate
-from lectern.operators.lines import source_spans
+from lectern.operators.lines import running_total, source_spans
 from lectern.operators.sanitize import sanitize
 from lectern.operators.structure import detect_structure
 
-COST_FACTOR = 1.3
+COST_FACTOR, READ_FACTOR, RETAINED_BAND = 1.3, 4, (50, 70)
 
 
 def measure(df: DataFrame, text: str = "text", pages: str | None = None) -> DataFrame:
@@ -50,3 +50,21 @@ def metadata_json(sources: DataFrame, failures: DataFrame, mode: str = "text") -
     s, f = packed(sources.select("seq", *[c for c in sources.columns if c not in ("seq", "text")])), packed(failures)
     both = s.select(F.col("a").alias("sources"), "n").crossJoin(f.select(F.col("a").alias("failures")))
     return both.select(F.to_json(F.struct(F.col("n").alias("total_sources"), F.lit(mode).alias("mode"), F.lit("script-density").alias("token_method"), "sources", "failures")).alias("metadata"))
+
+
+def input_gate(slices: DataFrame, order: list[str], tokens: str, output_budget: int) -> DataFrame:
+    """(order, tokens, read, within): tokens read up to and with each slice, and whether that is at most ``READ_FACTOR`` output budgets."""
+    total = running_total(slices.withColumn(tokens, F.col(tokens).cast("bigint")), order, tokens, "__before")
+    out = total.withColumn("read", F.col("__before") + F.col(tokens)).drop("__before")
+    return out.withColumn("within", F.col("read") <= READ_FACTOR * output_budget)
+
+
+def tokens_per_item(df: DataFrame, tokens: str, items: str) -> DataFrame:
+    """``df`` with per_item (null without items) and in_band."""
+    out = df.withColumn("per_item", F.when(F.col(items) > 0, F.col(tokens) / F.col(items)))
+    return out.withColumn("in_band", F.col("per_item").between(*RETAINED_BAND))
+
+
+def resolve_source(sources: DataFrame, name: str) -> DataFrame:
+    """The sources that a name means: by file name or by path."""
+    return sources.where((F.col("filename") == name) | (F.col("path") == name))

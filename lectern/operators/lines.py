@@ -63,3 +63,14 @@ def concat_ordered(df: DataFrame, keys: list[str], order: list[str], value: str,
     """One row for each key: the values in order, joined."""
     got = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias("__all"))
     return got.select(*keys, F.array_join(F.transform("__all", lambda x: x[value]), separator).alias(into))
+
+
+def write_lines(df: DataFrame, keys: list[str], path: str, text: str = "text") -> None:
+    """The corpus as a table: lines by source, written in parallel. This is the form to work with."""
+    lines(df, keys, text).write.mode("overwrite").parquet(path)
+
+
+def write_corpus(blocks: DataFrame, order: list[str], path: str) -> None:
+    """The corpus as text: blocks in order, in files whose names are in that order too, so that joined they are one text."""
+    rows = blocks.orderBy(*order).select(F.regexp_replace("block", r"\n\z", "").alias("value"))
+    rows.write.mode("overwrite").text(path)

@@ -129,3 +129,8 @@ def best(probed: DataFrame, id_column: str = "doc_id") -> DataFrame:
     fit = probed.where(F.col("n") >= LEAST)
     top = fit.groupBy(id_column).agg(F.min(F.struct((-F.col("score")).alias("s"), "strategy", "n", "score")).alias("b"))
     return top.select(id_column, "b.strategy", "b.n", "b.score")
+
+
+def shown(probed: DataFrame, first: int, id_column: str = "doc_id") -> DataFrame:
+    """``probed`` with the first candidates of each strategy only, for a report; 0 shows all."""
+    return probed.withColumn("candidates", F.slice("candidates", 1, first)) if first > 0 else probed

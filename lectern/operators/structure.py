@@ -107,3 +107,13 @@ def heading_rows(df: DataFrame, id_column: str = "doc_id", text: str = "text") -
     """(id, line, rule, number, title): a row for each heading."""
     found = df.select(id_column, F.explode(headings(F.col(text))).alias("h"))
     return found.select(id_column, "h.line", "h.rule", "h.number", "h.title")
+
+
+FALLBACK = rf"(?iu)\A{_S}*#*{_S}*(?:chapter{_S}+[0-9]+|第{_S}*[{_WIDE}0-9{HAN}]+{_S}*[章节節回])"
+
+
+def fallback_probe(df: DataFrame, id_column: str = "doc_id", text: str = "text", first: int = 60) -> DataFrame:
+    """(id, line, text): the first lines of each document that a permissive look takes for chapters; the cut is what the report is for."""
+    numbered = F.transform(split_lines(F.coalesce(F.col(text), F.lit(""))), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
+    rows = df.select(id_column, F.explode(F.slice(F.filter(numbered, lambda x: x["text"].rlike(FALLBACK)), 1, first)).alias("x"))
+    return rows.select(id_column, "x.line", F.col("x.text").alias(text))

@@ -228,6 +228,10 @@ UNION ALL SELECT library, CASE WHEN tokens > 4500 THEN 'error' ELSE 'warning' EN
     "library_violations": f"WITH {_FILES}, {_MEASURED}, {_ROUTERS}, {_LAYOUT}, {_SHORT}, {_LINKS}, {_INDEX}, {_MASTER}, {_CHECKS} " + " UNION ALL ".join(f"SELECT {_VIOLATION} FROM {x}" for x in ("layout", "front", "links", "idx", "master", "checks")),
     "skill_audit": f"""WITH {_FILES}, {_FRONT} SELECT {_VIOLATION} FROM front UNION ALL SELECT library, 'warning', 'name-differs-from-directory', 'SKILL.md', 'skill' FROM fm
 UNION ALL SELECT library, 'warning', 'long-body', 'SKILL.md', k::VARCHAR FROM (SELECT library, {tokens(_BODY_TEXT)} AS k FROM files WHERE path = 'SKILL.md') WHERE k > 12000""",
+    "input_budget_gate": f"SELECT doc_id, k::BIGINT AS estimated_tokens, (sum(k) OVER (ORDER BY doc_id))::BIGINT AS read, sum(k) OVER (ORDER BY doc_id) <= 80000 AS within FROM (SELECT doc_id, {tokens('t')} AS k FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))",
+    "tokens_per_word": f"SELECT doc_id, tokens, items, CASE WHEN items > 0 THEN tokens / items::DOUBLE END AS per_item, CASE WHEN items > 0 THEN tokens / items::DOUBLE BETWEEN 50 AND 70 END AS in_band FROM (SELECT doc_id, {tokens('t')} AS tokens, ({words('t')} % 40)::INT AS items FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))",
+    "fallback_chapters": rf"WITH {_ROWS} SELECT doc_id, line, t AS text FROM rows WHERE regexp_matches(t, '(?i)^\s*#*\s*(?:chapter\s+[0-9]+|第\s*[0-9三]+\s*章)') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line) <= 60",
+    "candidates_shown": f"WITH {_ROWS}, {_CANDIDATES} SELECT doc_id, strategy, line, label, number FROM cand QUALIFY row_number() OVER (PARTITION BY doc_id, strategy ORDER BY line) <= 3",
     "token_gate": f"SELECT doc_id, k AS tokens, k > 1000 AS over FROM (SELECT doc_id, {tokens('t')} AS k FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))",
     "code_tripwires": rf"WITH {_ROWS} SELECT doc_id, count(*) FILTER (t LIKE '    %')::INT AS code_lines, count(*) FILTER (regexp_matches(t, '^\s*\|.*\|.*\|'))::INT AS table_lines, count(*)::INT AS total_lines FROM rows GROUP BY doc_id",
     "natural_order": "SELECT p_partkey, p_size::VARCHAR AS chapter, row_number() OVER (PARTITION BY p_size ORDER BY lower(p_name), p_partkey)::INT AS place FROM part",

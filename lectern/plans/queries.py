@@ -223,6 +223,30 @@ def skill_audit(spark, sf_dir):
     return library.audit(skills.withColumn("directory", F.lit("skill")), "amp")
 
 
+@query
+def input_budget_gate(spark, sf_dir):
+    """Documents read in order against an output budget."""
+    sized = extract.measure(table(spark, sf_dir, "documents")).select("doc_id", "estimated_tokens")
+    return extract.input_gate(sized, ["doc_id"], "estimated_tokens", 20_000)
+
+
+@query
+def tokens_per_word(spark, sf_dir):
+    sized = extract.measure(table(spark, sf_dir, "documents")).select("doc_id", F.col("estimated_tokens").alias("tokens"), (F.col("words") % 40).alias("items"))
+    return extract.tokens_per_item(sized, "tokens", "items")
+
+
+@query
+def fallback_chapters(spark, sf_dir):
+    return structure.fallback_probe(inputs.books(spark, sf_dir))
+
+
+@query
+def candidates_shown(spark, sf_dir):
+    """The first three candidates of each strategy, as a report shows them."""
+    return probe.candidate_rows(probe.shown(probe.probe(inputs.books(spark, sf_dir)), 3))
+
+
 @query
 def token_gate(spark, sf_dir):
     return library.token_gate(table(spark, sf_dir, "documents"), 1000).select("doc_id", "tokens", "over")

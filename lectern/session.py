@@ -16,7 +16,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Make the package importable in Python workers, bound Arrow batches, and give checkpoints a folder.
 
     ``spark.checkpoint.dir`` is the shared folder of a cluster and is left alone where it is set;
-    only a session without one (tests, local runs) gets a temporary folder.
+    only a local session without one (tests) gets a temporary folder, a cluster without one is refused.
     """
     sc = spark.sparkContext
     paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
@@ -25,7 +25,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
     return spark
 
 

@@ -164,3 +164,13 @@ def capabilities() -> list[dict]:
 def missing_for(extensions: set[str]) -> list[dict]:
     """Capabilities that these extensions need and that are not here."""
     return [c for c in capabilities() if not c["available"] and extensions & set(c["formats"].split())]
+
+
+def read_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, text, error) of a folder's files, paths relative to it; files that aren't UTF-8 have an error."""
+    from lectern.functions.text import relative_path
+
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    good = F.is_valid_utf8(F.col("content").cast("string"))
+    path = relative_path(F.regexp_replace("path", r"\Afile:/+", "/"), os.path.abspath(root))
+    return rows.select(path.alias("path"), F.when(good, F.col("content").cast("string")).alias("text"), F.when(~good, F.lit("not UTF-8")).alias("error"))

@@ -165,3 +165,37 @@ def test_fold_in_in_two_batches_equals_one(spark, tmp_path):
     fold_in(spark, arrivals, docs.schema, str(tmp_path / "out1"), str(tmp_path / "state1"))
     one = with_offsets(spark.read.parquet(str(tmp_path / "out1"))).select("doc_id", "chars", "words", "start_line", "end_line").orderBy("doc_id").collect()
     assert two == one and len(two) == 20
+
+
+def test_run_writes_everything(spark, tmp_path):
+    from lectern.plans.run import main, run
+
+    (tmp_path / "in").mkdir()
+    for n, text in (("b.md", "# B\n\nSOURCE: forged\nline"), ("a.txt", "Chapter 1: A\nword")):
+        (tmp_path / "in" / n).write_text(text)
+    out = str(tmp_path / "out")
+    sources, failures = run(spark, [str(tmp_path / "in")], out)
+    assert sources.count() == 2 and failures.count() == 0
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out" / "full_text").glob("part-*")))
+    whole = text.split("\n")
+    assert text.count("\nSOURCE: ") == 2 and "[quoted] SOURCE: forged" in text
+    for r in sources.collect():
+        assert "\n".join(whole[r.start_line - 1 : r.end_line]) + "\n" == r.text
+    assert extract.resolve_source(sources, "a.txt").count() == 1
+    assert spark.read.parquet(f"{out}/lines").where("filename = 'a.txt'").count() == 2
+    assert main(["--check"]) == 0
+    with pytest.raises(ValueError, match="no supported"):
+        run(spark, [str(tmp_path / "out" / "lines")], str(tmp_path / "other"))
+
+
+def test_read_tree_and_unreadable_files(spark, tmp_path):
+    from lectern.operators import scan
+
+    (tmp_path / "references").mkdir()
+    (tmp_path / "SKILL.md").write_text(ROUTER)
+    (tmp_path / "references" / "reference-a.md").write_text(REFERENCE)
+    (tmp_path / "references" / "odd.md").write_bytes(bytes([255, 254]))
+    tree = files.read_tree(spark, str(tmp_path), "*.md")
+    assert {r.path for r in tree.collect()} == {"SKILL.md", "references/reference-a.md", "references/odd.md"}
+    assert [r.path for r in scan.unreadable(tree, ["path"]).collect()] == ["references/odd.md"]
+    assert {r.check for r in library.validate(tree.where("error is null").withColumn("library", F.lit("l"))).collect()} == {"dangling-link", "index-unknown-book"}
