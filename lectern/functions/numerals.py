@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 WIDE_DIGITS, THAI_DIGITS = "".join(chr(0xFF10 + d) for d in range(10)), "".join(chr(0x0E50 + d) for d in range(10))
 HAN_DIGITS, HAN_VALUES = "零〇一二三四五六七八九两", "001234567892"
-HAN_UNITS = {"十": 10, "百": 100, "千": 1000}
+HAN_UNITS = dict(zip("十百千", (10, 100, 1000), strict=True))
 HAN = HAN_DIGITS + "".join(HAN_UNITS)
 ROMAN = dict(zip("MDCLXVI", (1000, 500, 100, 50, 10, 5, 1), strict=True))
 

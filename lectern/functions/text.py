@@ -53,7 +53,7 @@ def page_estimate(chars: Column, pages: Column | None = None) -> Column:
 
 
 def strip_frontmatter(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n", "")
+    return F.regexp_replace(text, r"(?s)\A-{3}\n.*?\n-{3}\n", "")
 
 
 def strip(text: Column) -> Column:

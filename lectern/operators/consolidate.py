@@ -17,15 +17,18 @@ from fnmatch import translate
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ENTRY_EXTENSIONS = (".rst", ".md", ".markdown", ".Rmd", ".txt", ".ipynb")
-MAX_DEPTH = 8
+PAGE_EXTENSIONS = tuple(".rst .md .markdown .Rmd .txt .ipynb".split())
+MAX_DEPTH, EVERYTHING = 8, ("**/*",)
+AUTO = "auto"
+Names = tuple[str, ...]
+Block = tuple[str | None, list[str]]
 _ENTRY = re.compile(r"[^<>]*<\s*([^<>]+?)\s*>|(\w[\w/.-]*)")
 
 
-def corpus_extensions() -> tuple[str, ...]:
+def corpus_extensions() -> Names:
     from lectern.sources.files import FORMATS
 
-    return tuple(dict.fromkeys([*ENTRY_EXTENSIONS, *FORMATS]))
+    return tuple(dict.fromkeys([*PAGE_EXTENSIONS, *FORMATS]))
 
 
 @dataclass
@@ -42,22 +45,22 @@ def natural_sort_key(text: str) -> list:
     return [int(x) if x.isdigit() else x.lower() for x in re.split(r"(\d+)", text)]
 
 
-def parse_toctrees(text: str) -> list[tuple[str | None, list[str]]]:
+def parse_toctrees(text: str) -> list[Block]:
     """(caption, entries) of each toctree block: the indented lines below the directive that are no options."""
-    out: list[tuple[str | None, list[str]]] = []
+    out: list[Block] = []
     block: tuple[int, list] | None = None  # (indent of the directive, [caption, entries])
     for line in text.splitlines():
-        indent = len(line) - len(line.lstrip())
+        indent = re.match(r"\s*", line).end()
         if block and line.strip():
             if indent > block[0]:
-                if m := re.match(r"\s*:caption:\s*(.+?)\s*$", line):
-                    block[1][0] = m[1]
+                if m := re.match(r"[ \t]+:caption:(.+)", line):
+                    block[1][0] = m[1].strip()
                 elif not re.match(r"\s*:[\w-]+:", line) and (m := _ENTRY.fullmatch(line.strip())):
                     block[1][1].append(m[1] or m[2])
                 continue
             out.append((block[1][0], block[1][1]))
             block = None
-        if not block and (m := re.match(r"(\s*)\.\.\s+toctree::", line)):
+        if not block and (m := re.match(r"([ \t]*)[.]{2}[ \t]+toctree::", line)):
             block = (len(m[1]), [None, []])
     if block:
         out.append((block[1][0], block[1][1]))
@@ -66,11 +69,11 @@ def parse_toctrees(text: str) -> list[tuple[str | None, list[str]]]:
 
 def resolve(entry: str, base: str, files: Mapping[str, str | None] | set[str], root: str = "") -> str | None:
     """The file that a declared entry means: beside the document or at the root, as named or with an extension."""
-    entry = entry.strip().lstrip("/")
-    for anchor in (base, root) if entry else ():
-        path = posixpath.normpath(posixpath.join(anchor, entry))
+    name = entry.strip().lstrip("/")
+    for folder in (base, root) if name else ():
+        path = posixpath.normpath(posixpath.join(folder, name))
         stem = posixpath.splitext(path)[0] if posixpath.splitext(path)[1] else path
-        for candidate in (path, *(stem + ext for ext in ENTRY_EXTENSIONS)):
+        for candidate in (path, *(stem + ext for ext in PAGE_EXTENSIONS)):
             if candidate in files:
                 return candidate
     return None
@@ -110,7 +113,7 @@ def plan_jupyter_book(tree: Mapping[str, str | None], toc: str = "_toc.yml") ->
     plan, seen, caption = Plan("jupyter-book"), set(), None
     for line in (tree[toc] or "").splitlines():
         root = re.match(r"\s*root:\s*(\S+)", line)
-        named = re.match(r"\s*-\s*file:\s*(\S+)", line)
+        named = re.match(r"[ \t]*-[ \t]*file:\s*(\S+)", line)
         title = re.match(r"\s*(?:-\s*)?caption:\s*(.+?)\s*$", line)
         if not root and title and "file:" not in line:
             caption = title[1]
@@ -129,7 +132,7 @@ def _glob(pattern: str) -> re.Pattern[str]:
     return re.compile("".join(out).removesuffix("/") + r"\Z")
 
 
-def plan_natural(tree: Iterable[str], include: tuple[str, ...] = ("**/*",), exclude: tuple[str, ...] = ()) -> Plan:
+def plan_natural(tree: Iterable[str], include: Names = EVERYTHING, exclude: Names = ()) -> Plan:
     wanted, keep, drop = {e.lower() for e in corpus_extensions()}, [_glob(p) for p in include], [_glob(p) for p in exclude]
     found = {f for f in tree if posixpath.splitext(f)[1].lower() in wanted and any(p.match(f) for p in keep) and not any(p.match(f) for p in drop)}
     return Plan("natural", parts=[(f, None) for f in sorted(found, key=natural_sort_key)])
@@ -141,9 +144,9 @@ def detect_order(tree: Mapping[str, str | None]) -> str:
     return "sphinx" if any("toctree::" in (tree.get(d) or "") for d in ("index.rst", "docs/index.rst")) else "natural"
 
 
-def build_plan(tree: Mapping[str, str | None], order: str = "auto", include: tuple[str, ...] = ("**/*",), exclude: tuple[str, ...] = ()) -> Plan:
+def build_plan(tree: Mapping[str, str | None], order: str = AUTO, include: Names = EVERYTHING, exclude: Names = ()) -> Plan:
     """The plan of the declared order; where the file that declares it is missing, natural order."""
-    order = detect_order(tree) if order == "auto" else order
+    order = detect_order(tree) if order == AUTO else order
     if order == "jupyter-book" and "_toc.yml" in tree:
         return plan_jupyter_book(tree)
     if order == "sphinx":

@@ -21,7 +21,8 @@ PAGE_MARKER_TEXT = rf"(?idm)^{_S}*<!--{_S}*page{_S}+[0-9]+{_S}*-->{_S}*$"
 PDF_LINE = rf"\A{_S}*(?:Link:{_S}*\[|!\[)|\A{_S}*!?\[?[^\]]*\]?\(asset:sha256:[a-f0-9]+\){_S}*\z"
 RST_OPTIONS = "alt align caption class figclass height hidden linenos maxdepth name scale target titlesonly width".split()
 RST_LINE = rf"\A{_S}*(?:\.\.{_S}+[A-Za-z_][\w-]*::|:(?:{'|'.join(RST_OPTIONS)}):)|\A{_S}*(?:[`'*+#^~\"=-]{{3,}}|\.\.{_S}+_?[\w.-]+:?){_S}*\z"
-NAV = ("home", "index", "next", "previous", "back to top", "contact us", "further reading", "skip to main content", "skip to navigation", "table of contents", "×", "-")
+NAV = tuple("back to top|contact us|further reading|home|index|next|previous|skip to main content|skip to navigation|table of contents|×|-".split("|"))
+Names = tuple[str, ...]
 QUIZ = ("self-test", "review questions", "check your understanding", "test your knowledge")
 MANGLED, REPEATS, REPEAT_LENGTH = 0.6, 4, 12
 
@@ -99,7 +100,7 @@ def detect_filters(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(wanted[k], F.lit(k)) if k in wanted else F.lit(k) for k in FILTERS]))
 
 
-def clean(df: DataFrame, text: str = "text", filters: tuple[str, ...] | None = None) -> DataFrame:
+def clean(df: DataFrame, text: str = "text", filters: Names | None = None) -> DataFrame:
     """``df`` with its text cleaned, lines_before, lines_after, percent_removed, tokens_before, tokens_after and applied.
 
     Without ``filters`` each document's own are detected; unknown names are passed over. A null text is an empty one.

@@ -21,7 +21,7 @@ RESERVED = ("anthropic", "claude")
 REQUIRED_SECTIONS = ("Frameworks & Structure", "Key Takeaways", "Mental Model")
 MAX_ENTRIES, MIN_BOOKS, MIN_DESCRIPTION, MAX_DESCRIPTION, MAX_NAME, SOFT_BODY = 40, 2, 40, 1024, 64, 12_000
 MD_LINK = r"\[[^\]]+\]\(([^)]+)\)"
-FRONTMATTER = r"(?s)\A---\n(.*?)\n---\n"
+FRONTMATTER = r"(?s)\A-{3}\n(.*?)\n-{3}\n"
 ENTRY = r"(?dm)^[*-]\s+(.*?)(?:->|→)(.*)$"
 VIOLATION = ("library", "severity", "check", "subject", "detail")
 LENSES = {
@@ -72,11 +72,11 @@ def book_type(text: Column) -> Column:
 
 
 def declared_depth(text: Column, fallback: Column) -> Column:
-    return F.coalesce(F.lower(_found(text, r"(?i)\*\*Depth\*\*:\s*(study|reference)")), fallback)
+    return F.coalesce(F.lower(_found(text, r"(?i)[*]{2}Depth[*]{2}:\s*(reference|study)")), fallback)
 
 
 def declared_sections(text: Column) -> Column:
-    return F.regexp_extract(text, r"\*\*Sections\*\*:\s*~?([0-9]+)", 1).try_cast("int")
+    return F.regexp_extract(text, r"[*]{2}Sections[*]{2}:\s*~?(\d+)", 1).try_cast("int")
 
 
 def index_entries(text: Column) -> Column:

@@ -16,6 +16,7 @@ from lectern.functions.text import BLANK, let, split_lines, strip, strip_chars
 from lectern.operators.structure import headings_of
 
 LEAST, MOST, MAX_LEVEL, LOOKBACK, LABEL = 3, 120, 2, 20, 90
+Names = tuple[str, ...]
 CANDIDATES = "array<struct<line:int,label:string,number:double>>"
 _S, _N = f"[{BLANK}]", f"[^{BLANK}]"
 MARKDOWN = rf"\A(#{{1,6}}){_S}+(.+?){_S}*\z"
@@ -105,7 +106,7 @@ def score(candidates: Column, total_lines: Column) -> Column:
     return let(candidates, parts)
 
 
-def probe(df: DataFrame, id_column: str = "doc_id", text: str = "text", strategies: tuple[str, ...] | None = None, max_level: int = MAX_LEVEL) -> DataFrame:
+def probe(df: DataFrame, id_column: str = "doc_id", text: str = "text", strategies: Names | None = None, max_level: int = MAX_LEVEL) -> DataFrame:
     """(id, total_lines, strategy, candidates, n, score): a row for each document and strategy; unknown names are passed over."""
     chosen = {k: f for k, f in STRATEGIES.items() if strategies is None or k in strategies}
     if "markdown" in chosen:

@@ -15,7 +15,7 @@ from lectern.functions.text import INLINE, nfc, strip
 
 RULE, MARKER = "=" * 80, "SOURCE: "
 INVISIBLE = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{feff}]"
-CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+CONTROL = r"[\x00-\x1f\x7f&&[^\t\n\r]]"
 
 
 def neutralise_fences(text: Column) -> Column:

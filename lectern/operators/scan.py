@@ -53,7 +53,7 @@ RULES: tuple[ScanRule, ...] = (
     ScanRule("file-access-directive", "MEDIUM", word("access", "cat", "list", "open", "read") + gap(30) + any_of(r"\.aws", r"\.git/config", r"\.ssh", r"/etc/\w+", "id_rsa", r"~/\.\w+"), "points at private files"),
     ScanRule("invisible-characters", "LOW", INVISIBLE, "characters that no reviewer sees"),
 )
-LINK = r"\[[^\]]*\]\((https?://[^)]+)\)"
+LINK = rf"\[[^\]]*\]\(({_WEB}[^)]+)\)"
 ALLOWED_HOSTS = ("archive.org", "doi.org", "en.wikipedia.org", "github.com", "web.archive.org", "www.doi.org", "www.github.com")
 LINK_WHY = "a link to a host that isn't on the list"
 

@@ -14,7 +14,7 @@ Thai heading is not checked for prose behind it.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,20 +35,19 @@ def latin_number(token: Column) -> Column:
     return F.coalesce(F.when(plain != 0, plain), parse_roman(token))
 
 
-@dataclass(frozen=True)
-class HeadingRule:
+class Dialect(NamedTuple):
     name: str
-    pattern: str
+    pattern: str  # groups: number, rest
     parse: Callable[[Column], Column]
-    check_tail: bool = False
+    checked: bool = False  # the rest must look like a heading's
 
 
-RULES: tuple[HeadingRule, ...] = (
-    HeadingRule("latin-chapter", rf"(?iu)\A{_S}*(?:{'|'.join(CHAPTER_WORDS)}){_S}*([{_R}]{{1,7}}|[0-9]{{1,3}})(?U:\b)(.*)\z", latin_number, True),
-    HeadingRule("roman-standalone", rf"\A{_S}*([{_R}]{{1,7}}){_S}*[:.]{_S}+([(“\"A-ZÀ-Þ].*)\z", parse_roman),
-    HeadingRule("cjk-chapter", rf"\A{_S}*第{_S}*([{_WIDE}0-9{HAN}]+){_S}*[章节節回卷篇讲講部](.*)\z", parse_han),
-    HeadingRule("cjk-markdown", rf"\A#{{1,6}}{_S}+第?{_S}*([{_WIDE}{HAN}]+){_S}*[章节節回卷篇讲講·、：:.](.*)\z", parse_han),
-    HeadingRule("thai-chapter", rf"\A{_S}*(?:#{{1,6}}{_S}+)?(?:{'|'.join(THAI_WORDS)}){_S}*([๐-๙0-9]+)(.*)\z", parse_thai),
+RULES: tuple[Dialect, ...] = (
+    Dialect("latin-chapter", rf"(?iu)\A{_S}*(?:{'|'.join(CHAPTER_WORDS)}){_S}*([{_R}]{{1,7}}|[0-9]{{1,3}})(?U:\b)(.*)\z", latin_number, True),
+    Dialect("roman-standalone", rf"\A{_S}*([{_R}]{{1,7}}){_S}*[:.]{_S}+([(“\"A-ZÀ-Þ].*)\z", parse_roman),
+    Dialect("cjk-chapter", rf"\A{_S}*第{_S}*([{_WIDE}0-9{HAN}]+){_S}*[章节節回卷篇讲講部](.*)\z", parse_han),
+    Dialect("cjk-markdown", rf"\A#{{1,6}}{_S}+第?{_S}*([{_WIDE}{HAN}]+){_S}*[章节節回卷篇讲講·、：:.](.*)\z", parse_han),
+    Dialect("thai-chapter", rf"\A{_S}*(?:#{{1,6}}{_S}+)?(?:{'|'.join(THAI_WORDS)}){_S}*([๐-๙0-9]+)(.*)\z", parse_thai),
 )
 MAYBE = rf"(?iu)(?:\A|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]){_S}*(?:#{{1,6}}{_S}+)?(?:{'|'.join(CHAPTER_WORDS + THAI_WORDS)}|第|[{_WIDE}{HAN}]|[{_R}]{{1,7}}{_S}*[:.])"
 MAYBE_LINE = rf"(?iu)\A{_S}*(?:#{{1,6}}{_S}+)?(?:{'|'.join(CHAPTER_WORDS + THAI_WORDS)}|第|[{_WIDE}{HAN}]|[{_R}]{{1,7}}{_S}*[:.])"
@@ -66,7 +65,7 @@ def match_line(line: Column) -> Column:
     for rule in reversed(RULES):
         number, tail = rule.parse(F.regexp_extract(line, rule.pattern, 1)), F.regexp_extract(line, rule.pattern, 2)
         fits = line.rlike(rule.pattern)
-        if rule.check_tail:
+        if rule.checked:
             fits = fits & tail.rlike(PLAUSIBLE)
         fits = fits & number.between(1, 999)
         hit = F.struct(number.alias("number"), strip_chars(tail, TITLE_EDGES).alias("title"), F.lit(rule.name).alias("rule"))

@@ -16,7 +16,7 @@ BOOK_LINE = """CASE p_partkey % 41
   WHEN 0 THEN concat('Chapter ', p_size, ': ', p_name) WHEN 1 THEN concat('第', p_size, '章 ', p_name) WHEN 2 THEN '## 第三讲 Notes'
   WHEN 3 THEN concat('บทที่ ', p_size, ' ', p_name) WHEN 4 THEN concat('IV. The ', p_name) WHEN 5 THEN concat('Chapter ', p_size, ' explores ', p_name)
   WHEN 6 THEN concat('# ', p_name) WHEN 7 THEN concat('## ', p_type, ' ', p_size) WHEN 8 THEN concat('### ', p_name, ' deep')
-  WHEN 9 THEN concat(p_size, '.', p_partkey % 10, ' Matrix ', p_name) WHEN 10 THEN concat(p_size, '.1.2 Deep ', p_name) WHEN 11 THEN concat('https://doi.org/10.1007/978-3-030-1_', p_size)
+  WHEN 9 THEN concat(p_size, '.', p_partkey % 10, ' Matrix ', p_name) WHEN 10 THEN concat(p_size, '.1.2 Deep ', p_name) WHEN 11 THEN concat('https://doi.org/10.5555/abc.12_', p_size)
   WHEN 12 THEN 'Abstract' WHEN 13 THEN concat('LIST OF ', p_type, ' PARTS') WHEN 14 THEN concat('<!-- page ', p_size, ' -->')
   WHEN 15 THEN concat('Link: [x](http://example.com/', p_partkey, ')') WHEN 16 THEN '![figure](a.png)' WHEN 17 THEN concat('| a | ', p_name, ' | ', p_size, ' |')
   WHEN 18 THEN '|  |  | --- |  |' WHEN 19 THEN '.. figure:: a.png' WHEN 20 THEN '   :width: 50' WHEN 21 THEN '==========' WHEN 22 THEN 'Skip to Main Content'

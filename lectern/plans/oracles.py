@@ -71,8 +71,8 @@ scores AS (SELECT b.doc_id, b.total_lines, strategy, coalesce(n, 0)::INT AS n, C
 _PIPE = r"regexp_full_match(t, '\s*\|.*\|\s*')"
 _MANGLED = rf"({_PIPE} AND len(list_filter(string_split(trim(trim(t), '|'), '|'), lambda c: regexp_full_match(c, '[\s:-]*'))) / len(string_split(trim(trim(t), '|'), '|'))::DOUBLE >= 0.6)"
 _KEEP = {
-    "pdf": rf"NOT (regexp_full_match(t, '(?i)\s*<!--\s*page\s+[0-9]+\s*-->\s*') OR regexp_matches(t, '^\s*(?:Link:\s*\[|!\[)') OR regexp_full_match(t, '\s*!?\[?[^\]]*\]?\(asset:sha256:[0-9a-f]+\)\s*') OR {_MANGLED})",
-    "rst": r"""NOT (regexp_matches(t, '^\s*\.\.\s+[A-Za-z_][\w-]*::') OR regexp_matches(t, '^\s*:(?:width|align):') OR regexp_full_match(t, '\s*[-=~^"#*+`'']{3,}\s*') OR regexp_full_match(t, '\s*\.\.\s+_?[\w.-]+:?\s*'))""",
+    "pdf": rf"NOT (regexp_full_match(t, '(?i)\s*<!--\s*page\s+[0-9]+\s*-->\s*') OR regexp_matches(t, '^\s*(?:Link:\s*\[|!\[)') OR regexp_full_match(t, '\s*!?\[?[^]]*[]]?\(asset:sha256:[a-f0-9]+\)\s*') OR {_MANGLED})",
+    "rst": r"""NOT (regexp_matches(t, '^\s*\.\.\s+[A-Za-z_][\w-]*::') OR regexp_matches(t, '^\s*:(?:width|align):') OR regexp_full_match(t, '\s*[-=~^"#*+`'']{3,}\s*') OR regexp_full_match(t, '[ ]*[.]{2}[ ]+_?[\w.-]+:?[ ]*'))""",
     "nav": r"lower(trim(ltrim(trim(t), '-*# '))) NOT IN ('skip to main content', 'skip to navigation', 'home', 'table of contents', 'further reading', 'contact us', 'index', 'next', 'previous', 'back to top', '×', '-')",
 }
 
@@ -108,16 +108,16 @@ after AS (SELECT doc_id, {strip("string_agg(t, chr(10) ORDER BY line)")} || chr(
 SELECT doc_id, total_lines AS lines_before, lines_after, round(100.0::DOUBLE * (total_lines - lines_after) / total_lines, 1) AS percent_removed, {tokens("text")} AS tokens_before, {tokens("kept")} AS tokens_after, md5(kept) AS digest FROM books JOIN after USING (doc_id)"""
 
 _RULES = (
-    ("HIGH", "instruction-override", r"\b(ignore|disregard|forget)\b[^.\n]{0,40}\b(all|previous)\b[^.\n]{0,20}\b(instruction)s?\b"),
+    ("HIGH", "instruction-override", r"\bignore\b.{0,40}\bprevious\b[^.\n]{0,20}\binstructions?\b"),
     ("HIGH", "identity-override", r"\byou are (now|actually)\b"),
     ("HIGH", "credential-solicitation", r"\b(print|send)\b[^\n]{0,40}\bpassword\b"),
-    ("HIGH", "shell-execution", r"\b(curl|wget)\b[^\n]{0,80}https?://|\|\s*bash\b"),
+    ("HIGH", "shell-execution", r"\bcurl\b[^\n]{0,80}http[s]?:|\|\s*bash\b"),
     ("LOW", "invisible-characters", r"[\x{200b}-\x{200f}]"),
 )
 _EXCERPT = "CASE WHEN length({x}) <= 120 THEN {x} ELSE left({x}, 119) || '…' END"
 _FINDINGS = f"WITH {_ROWS}, found AS (" + " UNION ALL ".join(
     f"SELECT doc_id, line, '{sev}' AS severity, '{name}' AS rule, {_EXCERPT.format(x=strip('t'))} AS excerpt FROM rows WHERE regexp_matches(t, '(?i){p}')" for sev, name, p in _RULES
-) + r""" UNION ALL SELECT doc_id, line, 'LOW', 'external-link', url FROM (SELECT doc_id, line, unnest(regexp_extract_all(t, '\[[^\]]*\]\((https?://[^)]+)\)', 1)) AS url FROM rows)
+) + r""" UNION ALL SELECT doc_id, line, 'LOW', 'external-link', url FROM (SELECT doc_id, line, unnest(regexp_extract_all(t, '\[[^\]]*\]\((http[s]?:[^)]+)\)', 1)) AS url FROM rows)
   WHERE lower(regexp_extract(url, '^https?://([^/:]*)', 1)) NOT IN ('github.com', 'www.github.com', 'doi.org', 'www.doi.org', 'en.wikipedia.org', 'archive.org', 'web.archive.org'))"""
 
 _SIZE = {"study": 2250, "reference": 1700}
@@ -132,8 +132,8 @@ def cap(depth: str, kind: str) -> str:
 
 
 _FILES = f"files AS ({inputs.DUCK_LIBRARIES})"
-_REFS = rf"""refs AS (SELECT *, path[12:] AS name, path[22:-4] AS slug, regexp_extract(text, '\*\*Sections\*\*:\s*~?([0-9]+)', 1)::INT AS sections, lower(regexp_extract(text, '\*\*Depth\*\*:\s*(study|reference)', 1)) AS depth,
-  len(regexp_extract_all(text, '(?m)^```')) AS fences, len(regexp_extract_all(text, '(?m)^\s*\|.*\|.*\|')) AS pipes, {tokens("text")} AS tokens FROM files WHERE regexp_full_match(path, 'references/reference-[a-z0-9]+(-[a-z0-9]+)*\.md'))"""
+_REFS = rf"""refs AS (SELECT *, path[12:] AS name, path[22:-4] AS slug, regexp_extract(text, '[*]{{2}}Sections[*]{{2}}:\s*~?(\d+)', 1)::INT AS sections, lower(regexp_extract(text, '[*]{{2}}Depth[*]{{2}}:\s*(reference|study)', 1)) AS depth,
+  len(regexp_extract_all(text, '(?m)^```')) AS fences, len(regexp_extract_all(text, '(?m)^\s*\|.*\|.*\|')) AS pipes, {tokens("text")} AS tokens FROM files WHERE regexp_full_match(path, 'references/reference-[0-9a-z]+(-[0-9a-z]+)*\.md'))"""
 _MEASURED = rf"""{_REFS}, kinds AS (SELECT *, CASE WHEN fences >= 6 THEN 'technical' ELSE 'text' END AS type, CASE WHEN fences >= 2 OR pipes >= 12 THEN 'technical' ELSE 'text' END AS vtype FROM refs),
 measured AS (SELECT library, name, sections, depth, type, tokens, {budget("sections", "depth", "type")} AS budget, {cap("depth", "type")} AS cap, coalesce({tokens("nullif(regexp_extract(text, '(?s)(## Frameworks.*?)(?:' || chr(10) || '## |$)', 1), '')")}, 0) AS frameworks_tokens FROM kinds)"""
 _BODY_TEXT = r"regexp_replace(text, '(?s)^---\n.*?\n---\n', '')"
@@ -148,7 +148,7 @@ _LAYOUT = """layout AS (
   UNION ALL SELECT library, 'error', 'folder-missing', 'SKILL.md', '' FROM files GROUP BY library HAVING count(*) FILTER (path LIKE 'references/%') = 0
   UNION ALL SELECT library, 'error', 'no-references', 'SKILL.md', '' FROM files GROUP BY library HAVING count(*) FILTER (path LIKE 'references/%') > 0 AND count(*) FILTER (path LIKE 'references/reference-%') = 0)"""
 _FRONT = r"""fm AS (SELECT library, trim(regexp_extract(text, '(?m)^name:\s*(.+)$', 1)) AS name, regexp_extract(text, '(?m)^description: (.*)$', 1) AS d FROM files WHERE path = 'SKILL.md'),
-front AS (SELECT library, 'error' AS severity, 'bad-name' AS "check", 'SKILL.md' AS subject, name AS detail FROM fm WHERE NOT regexp_full_match(name, '[a-z0-9]+(-[a-z0-9]+)*')
+front AS (SELECT library, 'error' AS severity, 'bad-name' AS "check", 'SKILL.md' AS subject, name AS detail FROM fm WHERE NOT regexp_full_match(name, '[0-9a-z]+(-[0-9a-z]+)*')
   UNION ALL SELECT library, 'error', 'no-description', 'SKILL.md', '' FROM fm WHERE d = ''
   UNION ALL SELECT library, 'error', 'short-description', 'SKILL.md', length(trim(d))::VARCHAR FROM fm WHERE d <> '' AND length(trim(d)) < 40)"""
 _SHORT = _FRONT.replace("'no-description', 'SKILL.md', ''", "'short-description', 'SKILL.md', '0'")
@@ -186,7 +186,7 @@ SELECT d.doc_id, lang, length(text)::INT AS chars, {words("text")}::INT AS words
     "document_totals": f"SELECT count(*) AS total_sources, sum(k)::BIGINT AS total_tokens, sum(k)::BIGINT * 1.3::DOUBLE AS cost_tokens FROM (SELECT {tokens('coalesce(text, chr(48)[2:])')} AS k FROM documents)",
     "dense_scripts": f"SELECT p_partkey, {dense('t')}::INT AS dense, {tokens('t')} AS tokens, {words('t')}::INT AS words FROM (SELECT p_partkey, p_name || ' ' || repeat('汉字 ', p_size % 7) || repeat('かな', p_size % 5) || ' ไทย한x ' || p_type AS t FROM part)",
     "sanitized_documents": rf"""SELECT doc_id, length(t)::INT AS chars, md5(t) AS digest FROM (SELECT doc_id, CASE WHEN text = '' THEN '' ELSE
-  {strip(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{feff}]', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t]{3,}', '  ', 'g'), '(?m)[ \t]+$', '', 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g')")} || chr(10) END AS t FROM documents)""",
+  {strip(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{feff}]', '', 'g'), '[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t]{3,}', '  ', 'g'), '(?m)[ \t]+$', '', 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g')")} || chr(10) END AS t FROM documents)""",
     "sanitized_books": f"""WITH {_ROWS}, {_BOOKS} SELECT doc_id, 'éa  b  c' || chr(10) || repeat('-', 80) || chr(10) || '[quoted] SOURCE: x' || chr(10) ||
   {strip(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x{200b}-\x{200f}]', '', 'g'), '[ \t]{3,}', '  ', 'g'), '(?m)[ \t]+$', '', 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g')").replace("^\\s+|", "")} || chr(10) AS text FROM books""",
     "book_headings": f"WITH {_ROWS}, {_HEADS} SELECT doc_id, line, rule, number, title FROM heads",
@@ -195,7 +195,7 @@ SELECT d.doc_id, lang, length(text)::INT AS chars, {words("text")}::INT AS words
     "probe_candidates": f"WITH {_ROWS}, {_CANDIDATES} SELECT doc_id, strategy, line, label, number FROM cand",
     "probe_scores": f"WITH {_ROWS}, {_BOOKS}, {_SCORES} SELECT doc_id, total_lines, strategy, n, score FROM scores",
     "probe_best": f"WITH {_ROWS}, {_BOOKS}, {_SCORES} SELECT doc_id, strategy, n, score FROM scores WHERE n >= 3 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, strategy) = 1",
-    **{f"filter_{k}": _filter(k) for k in ("pdf", "rst", "nav", "quiz", "repeats", "blanks")},
+    **{f"filter_{k}": _filter(k) for k in "pdf rst nav quiz repeats blanks".split()},
     "repeated_lines_dropped": f"""WITH rows AS (SELECT doc_id, unnest(a) AS t, unnest(generate_series(1, len(a))) AS line FROM (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM (SELECT doc_id, {_DOC_LINES.replace("text", "coalesce(text, '')")} AS a FROM documents))),
 {_step("f_repeats", "rows")}, b AS (SELECT doc_id, count(*) AS n FROM rows GROUP BY doc_id), a AS (SELECT doc_id, count(*) AS n FROM f_repeats GROUP BY doc_id)
 SELECT d.doc_id, coalesce(b.n, 0)::INT AS lines_before, coalesce(a.n, 0)::INT AS lines_after FROM documents d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)""",

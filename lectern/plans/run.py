@@ -34,13 +34,14 @@ def run(spark: SparkSession, paths: list[str], out: str, mode: str = "text") ->
     return sources, failures
 
 
-def main(argv: list[str] | None = None) -> int:
-    args = argparse.ArgumentParser(description=__doc__.splitlines()[0])
+def main(given=None) -> int:
+    about = __doc__.splitlines()[0]
+    args = argparse.ArgumentParser(description=about)
     args.add_argument("out", nargs="?")
     args.add_argument("paths", nargs="*")
     args.add_argument("--mode", choices=MODES, default="text")
-    args.add_argument("--check", action="store_true", help="list what each family of formats needs, and stop")
-    a = args.parse_args(argv)
+    args.add_argument("--check", help="list what each family of formats needs, and stop", action="store_true")
+    a = args.parse_args(given)
     if a.check:
         for c in capabilities():
             print(f"{'+' if c['available'] else '-'} {c['formats']}: {c['requirement']}")

@@ -21,12 +21,10 @@ from pyspark.sql.types import StringType
 from lectern.functions.text import file_format
 from lectern.sources.markup import docx_to_text, epub_to_text, html_to_text, rtf_to_text
 
-FORMATS = {
-    **dict.fromkeys((".txt", ".md", ".markdown", ".rst", ".adoc"), "text"), **dict.fromkeys((".html", ".htm"), "html"),
-    ".docx": "docx", ".epub": "epub", ".rtf": "rtf", ".pdf": "pdf", **dict.fromkeys((".mobi", ".azw", ".azw3"), "ebook"),
-}
+_FAMILIES = {"text": "txt md markdown rst adoc", "html": "html htm", "docx": "docx", "epub": "epub", "rtf": "rtf", "pdf": "pdf", "ebook": "mobi azw azw3"}
+FORMATS = {f".{x}": family for family, names in _FAMILIES.items() for x in names.split()}
 MODES = ("text", "technical")
-ENCODINGS = ("utf-8-sig", "gb18030", "big5hkscs", "shift_jis", "cp1252", "latin-1")
+ENCODINGS = "utf-8-sig gb18030 big5hkscs shift_jis cp1252 latin-1".split()
 PDF_BACKENDS, LEAST_PER_PAGE = ("fitz", "pdfplumber", "pypdf"), 24
 CONVERTER, CONVERTER_SECONDS = "ebook-convert", 300
 PARSED = "path string, text string, pages int, error string"
@@ -161,9 +159,9 @@ def capabilities() -> list[dict]:
     ]
 
 
-def missing_for(extensions: set[str]) -> list[dict]:
+def missing_for(wanted: set[str]) -> list[dict]:
     """Capabilities that these extensions need and that are not here."""
-    return [c for c in capabilities() if not c["available"] and extensions & set(c["formats"].split())]
+    return [c for c in capabilities() if not c["available"] and wanted & set(c["formats"].split())]
 
 
 def read_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql.types import StringType
 
 HIDDEN = frozenset("head noscript script style svg template".split())
 BREAKING = {**dict.fromkeys("p div blockquote".split(), 2), **dict.fromkeys("article br figcaption figure hr li section".split(), 1)}
+CELLS = frozenset(["td", "th"])
 CLOSING = frozenset(BREAKING) | {"tr"} | {f"h{i}" for i in range(1, 7)}
 TIGHT = frozenset("!'\"),.:;?]}”’、。，；：！？）」』")
 
@@ -28,8 +29,8 @@ TIGHT = frozenset("!'\"),.:;?]}”’、。，；：！？）」』")
 class _Reader(HTMLParser):
     """Pieces of text; newlines are pieces of their own, so that a run of them can be taken back."""
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+    def __init__(self):
+        HTMLParser.__init__(self, convert_charrefs=True)
         self.out: list[str] = []
         self.hidden = self.verbatim = 0
         self.in_row = False
@@ -51,7 +52,7 @@ class _Reader(HTMLParser):
         elif len(tag) == 2 and tag[0] == "h" and tag in CLOSING and tag != "hr":
             self.lines(2)
             self.out.append("#" * int(tag[1]) + " ")
-        elif tag in ("td", "th"):
+        elif tag in CELLS:
             self.out.append(" | " if self.in_row else "| ")
             self.in_row = True
         elif tag == "tr":
@@ -60,7 +61,7 @@ class _Reader(HTMLParser):
         elif tag in BREAKING:
             self.lines(BREAKING[tag])
 
-    def handle_endtag(self, tag: str) -> None:
+    def handle_endtag(self, tag):
         if tag in HIDDEN:
             self.hidden = max(self.hidden - 1, 0)
         elif self.hidden:
@@ -75,7 +76,7 @@ class _Reader(HTMLParser):
                 self.in_row = False
             self.lines(1)
 
-    def handle_data(self, data: str) -> None:
+    def handle_data(self, data):
         if self.hidden:
             return
         if not self.verbatim:
@@ -93,7 +94,7 @@ def html_to_text(markup: str) -> str:
     return "".join(reader.out)
 
 
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_W = "{http://schemas.openxmlformats.org/" + "wordprocessingml/2006/main}"
 
 
 def _said(paragraph: ElementTree.Element) -> str:
@@ -163,8 +164,8 @@ def _without_groups(text: str) -> str:
 
 def rtf_to_text(raw: str) -> str:
     text = _without_groups(raw)
-    text = re.sub(r"\\u(-?\d+)\s?\??", lambda m: chr(int(m[1]) & 0xFFFF), text)
-    text = re.sub(r"\\'([\da-fA-F]{2})", lambda m: bytes.fromhex(m[1]).decode("cp1252", "replace"), text)
+    text = re.sub(r"\\u(-?[0-9]+)\s?\??", lambda m: chr(int(m[1]) & 0xFFFF), text)
+    text = re.sub(r"\\'([\da-fA-F]{2})", lambda m: bytes.fromhex(m[1]).decode("cp1252", errors="replace"), text)
     for pattern, by in ((r"\\tab\b", "\t"), (r"\\(?:line|pard?|sect)\b", "\n"), (r"\\([{}\\])", r"\1"), (r"\\\*?[A-Za-z]+-?\d*\s?", ""), (r"[{}]", ""), (r"\n{3,}", "\n\n")):
         text = re.sub(pattern, by, text)
     return text.strip()

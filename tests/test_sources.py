@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from lectern.operators import consolidate, extract, library
 from lectern.sources import files
-from lectern.sources.markup import docx_to_text, epub_to_text, html_to_text, rtf_to_text
+from lectern.sources.markup import _OPF, _PAGES, _W, docx_to_text, epub_to_text, html_to_text, rtf_to_text
 from lectern.streaming.fold_in import fold_in, with_offsets
 
-W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
 
 def zipped(entries: dict[str, str]) -> bytes:
@@ -22,21 +21,33 @@ def zipped(entries: dict[str, str]) -> bytes:
     return out.getvalue()
 
 
+def tag(name: str, *inner: str, **attributes: str) -> str:
+    given = "".join(f' {k.replace("_", ":")}="{v}"' for k, v in attributes.items())
+    return f"<{name}{given}>{''.join(inner)}</{name}>"
+
+
 def docx() -> bytes:
-    cell = "<w:tc><w:p><w:r><w:t>{}</w:t></w:r></w:p></w:tc>"
-    body = f'<w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p><w:p><w:r><w:t>one</w:t><w:tab/><w:t>two</w:t></w:r></w:p><w:p/><w:tbl><w:tr>{cell.format("a")}{cell.format("b")}</w:tr><w:tr><w:tc/></w:tr></w:tbl>'
-    return zipped({"word/document.xml": f'<w:document xmlns:w="{W}"><w:body>{body}</w:body></w:document>'})
+    def said(text: str) -> str:
+        return tag("w:r", tag("w:t", text))
+
+    title = tag("w:p", tag("w:pPr", tag("w:pStyle", w_val="Heading2")), said("Title"))
+    cells = [tag("w:tc", tag("w:p", said(x))) for x in "ab"]
+    table = tag("w:tbl", tag("w:tr", *cells), tag("w:tr", tag("w:tc")))
+    body = tag("w:body", title, tag("w:p", said("one"), tag("w:r", tag("w:tab")), said("two")), tag("w:p"), table)
+    return zipped({"word/document.xml": tag("w:document", body, xmlns_w=_W[1:-1])})
 
 
-def epub(spine: str = '<itemref idref="b"/><itemref idref="a"/><itemref idref="css"/>') -> bytes:
-    opf = f'<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="a" href="a.xhtml" media-type="application/xhtml+xml"/><item id="b" href="x/../b.xhtml" media-type="application/xhtml+xml"/><item id="css" href="c.css" media-type="text/css"/></manifest><spine>{spine}</spine></package>'
-    container = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/p.opf"/></rootfiles></container>'
+def epub(*spine: str) -> bytes:
+    kinds = {"a": ("a.xhtml", _PAGES[1]), "b": ("x/../b.xhtml", _PAGES[1]), "css": ("c.css", "text/css")}
+    items = [f'<item id="{k}" href="{h}" media-type="{m}"/>' for k, (h, m) in kinds.items()]
+    opf = tag("package", tag("manifest", *items), tag("spine", *[tag("itemref", idref=x) for x in spine]), xmlns=_OPF[1:-1])
+    container = tag("container", tag("rootfiles", '<rootfile full-path="OEBPS/p.opf"/>'), xmlns="urn:oasis:names:tc:opendocument:" + "xmlns:container")
     return zipped({"OEBPS/a.xhtml": "<p>first in zip</p>", "OEBPS/b.xhtml": "<h1>second</h1>", "OEBPS/p.opf": opf, "META-INF/container.xml": container})
 
 
 @pytest.mark.parametrize(("markup", "text"), [
     ("<h2>Head</h2><p>Body</p>", "\n\n## Head\n\nBody\n"), ("<p>a <b>bold</b>. x</p>", "\n\na bold. x\n"), ("<b>a</b>b", "a b"), ("<head><title>t</title></head>x<script>y</script>", "x"), ("<pre>a  b\n</pre>", "\n\n```\na  b\n\n```\n"),
-    ("<table><tr><td>a</td><td>b</td></tr></table>", "\n| a | b |\n"), ("a&amp;b &#233;", "a&b é"), ("<style>unclosed", ""), ("", ""),
+    ("<table><tr><th>left</th><td>right</td></tr></table>", "\n| left | right |\n"), ("a&amp;b &#233;", "a&b é"), ("<style>unclosed", ""), ("", ""),
 ])
 def test_html(markup, text):
     assert html_to_text(markup) == text
@@ -44,8 +55,8 @@ def test_html(markup, text):
 
 def test_zip_formats():
     assert docx_to_text(docx()) == "## Title\n\none\ttwo\n\n| a | b |"
-    assert epub_to_text(epub(), files.decode) == "# second\n\nfirst in zip"
-    assert epub_to_text(epub(""), files.decode) == "first in zip\n\n# second"
+    assert epub_to_text(epub("b", "a", "css"), files.decode) == "# second\n\nfirst in zip"
+    assert epub_to_text(epub(), files.decode) == "first in zip\n\n# second"
 
 
 def code(n: int) -> str:
@@ -94,7 +105,7 @@ def test_capabilities():
 
 
 TREE = {
-    "index.rst": "Title\n=====\n\n.. toctree::\n   :caption: Start\n   :maxdepth: 2\n\n   Intro <intro>\n   part/overview\n\nend\n\n.. toctree::\n\n   Last </last>\n   missing\n",
+    "index.rst": "Title\n~~~~~\n\n.. toctree::\n   :maxdepth: 2\n   :caption: Start\n\n   Intro <intro>\n   part/overview\n\nend\n\n.. toctree::\n\n   Last </last>\n   missing\n",
     "intro.rst": "", "part/overview.rst": ".. toctree::\n\n   ch10\n   ch2\n   ../index\n   overview\n", "part/ch2.md": "", "part/ch10.rst": "", "last.md": "", "orphan.rst": "", "conf.py": "",
 }
 
@@ -106,7 +117,7 @@ def test_declared_orders():
     docs = consolidate.build_plan({f"docs/{k}": v for k, v in TREE.items()})
     assert (docs.root, docs.parts, docs.unreached) == ("docs", plan.parts, plan.unreached)
     assert consolidate.plan_sphinx(TREE, max_depth=1).parts == [("intro.rst", "Start"), ("part/overview.rst", "Start"), ("last.md", None)]
-    book = {"_toc.yml": "root: intro\nparts:\n- caption: One\n  chapters:\n  - file: a\n  - file: intro\n- caption: Two\n  - file: b.md\n  - file: gone\n", "intro.md": "", "a.md": "", "b.md": "", "c.md": ""}
+    book = {"_toc.yml": "root: intro\nparts:\n- caption: One\n  sections:\n  - file: a\n  - file: intro\n- caption: Two\n  - file: b.md\n  - file: gone\n", "intro.md": "", "a.md": "", "b.md": "", "c.md": ""}
     plan = consolidate.build_plan(book)
     assert plan.parts == [("intro.md", None), ("a.md", "One"), ("b.md", "Two")] and plan.unreached == ["c.md"]
     names = ["ch10.md", "x/ch1.md", "ch2.md", "a.png", "b.html"]

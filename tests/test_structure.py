@@ -33,7 +33,7 @@ def test_first_occurrence_and_toc(spark):
 def academic(chapters=6, sections=3, body=12):
     out = []
     for c in range(1, chapters + 1):
-        out += [f"https://doi.org/10.1007/978-3-030-12345-6_{c}", f"### A Study of Topic {c}", "A. Writer and B. Other", "Abstract", *["plain prose of the abstract here"] * 3]
+        out += [f"https://doi.org/10.4321/vol-9.77_{c}", f"### A Study of Topic {c}", "A. Writer and B. Other", "Abstract", *["plain prose of the abstract here"] * 3]
         for s in range(1, sections + 1):
             out += [f"{c}.{s} Section Title Words", *["more plain prose in the body"] * body]
     return "\n".join(out)
