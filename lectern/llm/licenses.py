@@ -33,8 +33,8 @@ K, DRIFT, MIN_VOTES, MIN_SCORE, MAX_BROADCAST_ROWS = 3, 3, 0.2, 0.7, 50_000
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
-    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", "Permission is hereby granted, free of charge, to any " "person obtaining a copy of this software and associated " "documentation files (the \"Software\"), to deal in the Software " "without restriction, including without limitation the rights to use, " "copy, modify, merge, publish, " "distribute, sublicense, and/or sell copies " "of the Software, and to permit persons to whom " "the Software is furnished to do so, subject to " "the following conditions:"),
+    ("MIT", "The above copyright notice and this permission notice shall " "be included in all copies or substantial portions of " "the Software."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
