@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the
 columns of ``documents``. ``run`` applies them in order and writes each result to the shared
 folder before the next stage reads it, so a stage that scans its input twice never computes
-its predecessors again, and a lost executor costs no more than the stage at hand.
+its predecessors again, and a lost executor costs no more than the stage at hand. A stage's
+input goes once its output stands.
 """
 
 from __future__ import annotations
@@ -58,6 +59,11 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
@@ -67,4 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                _remove(spark, f"{folder}/{k - 1}")  # nothing reads it any more
     return docs
