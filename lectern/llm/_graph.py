@@ -1,6 +1,6 @@
 """Similarity graphs: exact connectivity from bucketed candidates, without listing all pairs.
 
-``shared_keys`` keeps the (key, id) rows whose key two ids share. ``forest`` walks each
+``shared_keys`` keeps the (key, id) rows whose key two ids share, once for keys with the same ids. ``forest`` walks each
 bucket breadth first, comparing members for real, and writes a spanning forest of the
 bucket's verified pairs; the union of those forests has the same components as the union
 of all verified pairs, at a cost that is linear for tight buckets. ``components`` labels
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._vec import runs
+from lectern.llm._vec import U64, mix, runs
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -47,12 +47,18 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids = key[fresh], ids[fresh]
         s, e = runs(key)
         keep = np.repeat(e - s > 1, e - s)
+        if len(key):  # keys of the same ids get one name
+            key = np.repeat(mix(np.add.reduceat(mix(ids.view(U64)), s) + (e - s).astype(U64)), e - s).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ids[keep])], ["key", "id"])
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(key, id) rows, each once, of the keys that at least two ids have. ``keys`` has bigint key and id."""
-    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key bigint, id bigint")
+    """(key, id) rows of the sets of at least two ids that share a key, each set once and under a new key.
+
+    ``keys`` has bigint key and id. Two sets that get the same new key by chance become one bucket,
+    which costs comparisons and loses nothing.
+    """
+    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key bigint, id bigint").distinct()
 
 
 def forest(members: DataFrame, close: Callable[[np.ndarray, np.ndarray], np.ndarray], payload: str) -> DataFrame:

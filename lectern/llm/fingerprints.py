@@ -130,7 +130,16 @@ def scores(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def _close(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    return scores(one, many) >= MIN_SCORE
+    """Rows of ``many`` within the threshold; distances only where the signs in common allow it."""
+    if len(one) != 1 or len(many) < 2:
+        return scores(one, many) >= MIN_SCORE
+    signs = np.zeros(256, bool)
+    signs[one[0]] = True
+    signs[0] = False
+    total = (one > 0).sum() + (many > 0).sum(1)
+    ok = 200 * signs[many].sum(1) + 1e-6 >= MIN_SCORE * total  # as many may be common, at most
+    ok[ok] = scores(one, many[ok]) >= MIN_SCORE
+    return ok
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
