@@ -23,6 +23,7 @@ DENSE = "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in DENSE_RANGES)
 INLINE = r"\t \x1f\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
 BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
 BLANK = INLINE + BREAKS
+BLANK_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_END = rf"\r\n|[{BREAKS}]"
 PER_DENSE, PER_OTHER, CHARS_PER_PAGE = 1.5, 4.0, 1800
 
@@ -57,7 +58,8 @@ def strip_frontmatter(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{BLANK}]+|[{BLANK}]+\z", "")
+    """Without blanks at both ends; only the ends are looked at."""
+    return F.btrim(text, F.lit(BLANK_CHARS))
 
 
 def strip_chars(text: Column, chars: str, left: bool = True, right: bool = True) -> Column:
