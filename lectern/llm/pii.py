@@ -38,16 +38,16 @@ WINDOW = 40  # characters of context on the left
 
 _PROPOSALS = re.compile(
     r"""(?P<email>(?<![\w.%+-])[\w.%+-]{1,64}@[\w-]+(?:\.[\w-]+)*)
-    |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-    |(?P<secret>(?<![A-Za-z0-9])(?:(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth)["']?\s{0,3}[=:]\s{0,3}["']?[^\s"',;]{6,200}
-        |[A-Z]{2,6}[A-Z0-9]{14,36}(?![A-Za-z0-9])|(?:gh[pousr]_|sk-|xox[abp]-)[\w-]{16,100}|[0-9a-f]{32,128}(?![0-9a-z])))
+    |(?P<iban>(?<![A-Za-z0-9])(?![0-9A-F]{32})[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
+    |(?P<secret>(?<![A-Za-z0-9])(?:(?=[PpSsTtAa])(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth)["']?\s{0,3}[=:]\s{0,3}["']?[^\s"',;]{6,200}
+        |[A-Z]{2,6}[A-Z0-9]{14,36}(?![A-Za-z0-9])|(?=[GgSsXx])(?i:gh[pousr]_|sk-|xox[abp]-)[\w-]{16,100}|[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])))
     |(?P<card>(?<![\d.])(?:\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7})(?!\d))
     |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
     |(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){1,5}(?!\d))
     |(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{7,15}(?!\d))""",
     re.VERBOSE,
 )
-_MAYBE = r"[0-9@]|[Pp]ass|pwd|[Ss]ecret|[Tt]oken|[Kk]ey|auth"
+_MAYBE = r"[0-9@]|[A-Z]{16}|(?i:pass|pwd|secret|token|key|auth|gh[pousr]_|sk-|xox[abp]-|[a-f]{32})"  # every proposal has one of these
 _STRICT = {
     "email": re.compile(r"[A-Za-z0-9][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"),
     "phone": re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{9,15}|\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}"),
@@ -55,7 +55,7 @@ _STRICT = {
     "ip": re.compile(r"(?:\d{1,3}\.){3}\d{1,3}"),
     "ssn": re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"),
     "iban": re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
-    "secret": re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|sk-|xox[abp]-)[\w-]{16,}|[0-9a-f]{32,}|.*?[=:].*"),
+    "secret": re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?i:gh[pousr]_|sk-|xox[abp]-)[\w-]{16,}|[0-9A-Fa-f]{32,}|.*?[=:].*"),
 }
 _CUES = {
     "email": r"mail|contact|write|address|correo|courriel",
@@ -120,7 +120,7 @@ def votes(kind: str, span: str, left: str, right: str) -> tuple[int, ...]:
     elif kind == "secret":
         word = body == span and not re.search(r"[\d_-]", span)  # capitals only
         check = 1 if _entropy(body) >= 2.5 and len(body) >= 8 and not word else -1
-        gaz = 1 if re.match(r"AKIA|ASIA|gh[pousr]_|sk-|xox", body) else 0
+        gaz = 1 if re.match(r"AKIA|ASIA|(?i:gh[pousr]_|sk-|xox)", body) else 0
     cue = 1 if _CUES[kind].search(left) or (kind == "secret" and _CUES[kind].search(span)) else 0
     anti = -1 if _ANTI.search(left) else 0
     edge = 1 if (not left or left[-1].isspace() or left[-1] in "\"'(<[:,;=") and (not right or right[0].isspace() or right[0] in "\"')>],.;:!?") else -1

@@ -44,6 +44,27 @@ def test_planted_spans(spark):
     assert len(got & want) / len(want) >= 0.97 and len(got & want) / len(got) >= 0.95
 
 
+def test_secrets_of_any_case(spark):
+    """Key words, hex digits and token prefixes in capitals, capitalised or small, held against a finder that cuts at words."""
+    rng = random.Random(5)
+    rows, want = corpus(300)
+    want = []
+    key = lambda n, of="0123456789abcdef": "".join(rng.choice(of) for _ in range(n))
+    forms = ['token = "{}"', "password={}", "api_key={}", "secret: {}", "auth={}", "access-key: {}", "pwd={}"]
+    for i, form in enumerate(forms):
+        for j, case in enumerate((str.lower, str.upper, str.capitalize)):
+            rows.append((1000 + 10 * i + j, case("it says " + form.format(key(40)) + " here")))
+    rows += [(2000, "a key ab12" + key(28) + " here"), (2001, "a key AB12" + key(28).upper() + " here"), (2002, "A KEY 9" + key(39).upper() + " HERE"), (2003, "GHP_" + key(24).upper() + " HERE"), (2004, "no digits AKIA" + "QWERTYUIOPASDFGH" + " here")]
+    for i, text in rows:
+        if i >= 1000:
+            body = max((w.strip('"') for w in text.replace("=", " ").split()), key=len)
+            want.append((i, text.index(body) + len(body)))
+    got = {(r.doc_id, r.end_char) for r in pii.find(frame(spark, rows)).where("doc_id >= 1000 and kind = 'secret'").collect()}
+    assert got == set(want)
+    for text in ("Password: hunter2xyz9", "API_KEY=abcd1234efgh5678"):
+        assert [c[:3] for c in pii.candidates(text)] == [(0, len(text), "secret")]
+
+
 def test_reliabilities_tell_good_labelers_from_bad_ones():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4
