@@ -5,7 +5,9 @@ templates. A hit at word p of the document and word q of a template votes for th
 votes are added up by document, template and diagonal. Neighbouring diagonals, at most ``DRIFT``
 apart and overlapping in the document, are one span with words inserted or dropped. Spans with
 enough votes are verified on the text: the longest common word subsequence with the template must
-reach ``MIN_SCORE`` of the longer of the two.
+reach ``MIN_SCORE`` of the longer of the two, and of each group of ``MARKS`` that the template holds
+(what tells a licence from its siblings: name, version, conditions) the span must hold one, or have
+it at most ``DRIFT`` words off, which makes it part of the span.
 
 The template table is fixed and small (its rows are counted before it is broadcast); the votes
 are combined before they are shuffled; texts are read again only for documents with spans.
@@ -46,6 +48,41 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-1.0", "Licensed under the Apache License, Version 1.0."),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+)
+
+#: Groups of equivalent phrases; a template asks for those groups that its own text holds.
+MARKS: tuple[tuple[str, ...], ...] = (
+    ("mit license", "mit licence"), ("isc",), ("apache",), ("mozilla",), ("cc0",), ("bsd 2",), ("bsd 3",), ("neither the name",), ("appear in all copies",),
+    ("gnu general public", "gnu gpl"), ("gnu lesser general public", "gnu lgpl"), ("gnu affero general public", "gnu agpl"),
+    *((f"version {v}", f"v {v}", f"v{v}", f"license {v}", f"licence {v}") for v in ("1.0", "1.1", "2.0", "2.1")), ("version 2", "v 2", "v2"), ("version 3", "v 3", "v3"),
+    ("cc by 4.0", "attribution 4.0"), ("by sa 4.0", "attribution sharealike 4.0"), ("by nd 4.0", "attribution noderivatives 4.0", "attribution noderivs 4.0"), ("by nc 4.0", "attribution noncommercial 4.0"),
+    ("by nc sa 4.0", "attribution noncommercial sharealike 4.0"), ("by nc nd 4.0", "attribution noncommercial noderivatives 4.0", "attribution noncommercial noderivs 4.0"),
 )
 
 
@@ -54,6 +91,33 @@ def template_words(templates: tuple[tuple[str, str], ...]) -> list[np.ndarray]:
     return [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
+def _places(words: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """Where a phrase begins."""
+    n = len(words) - len(phrase) + 1
+    return np.flatnonzero(np.all([words[i : i + n] == w for i, w in enumerate(phrase)], axis=0)) if n > 0 else np.zeros(0, np.int64)
+
+
+def template_marks(bodies: list[np.ndarray]) -> list[list[list[np.ndarray]]]:
+    """Of each template, the groups of phrases it asks for."""
+    groups = [template_words(tuple(("", x) for x in g)) for g in MARKS]
+    return [[g for g in groups if any(len(_places(body, x)) for x in g)] for body in bodies]
+
+
+def marked(words: np.ndarray, lo: int, hi: int, marks: list[list[np.ndarray]]) -> tuple[int, int] | None:
+    """[lo, hi), or as little more as holds a phrase of every group; None if one has none within reach."""
+    first, end = lo, hi
+    for group in marks:
+        near = []
+        for x in group:
+            a = max(0, lo - DRIFT - len(x))
+            near += [(max(0, lo - p) + max(0, p + len(x) - hi), p, p + len(x)) for p in (_places(words[a : hi + DRIFT + len(x)], x) + a).tolist()]
+        if not near:
+            return None
+        _, p, q = min(near)
+        first, end = min(first, p), max(end, q)
+    return first, end
+
+
 def _row_key(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Hash of the whole text of each row."""
     place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
@@ -90,20 +154,18 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int(run[-1])
 
 
-def best_window(words: np.ndarray, template: np.ndarray, lo: int, hi: int) -> tuple[float, int, int]:
-    """(score, first word, end) of the span around [lo, hi) that fits the template best: its ends sit on common words."""
+def best_window(words: np.ndarray, template: np.ndarray, lo: int, hi: int, marks: list[list[np.ndarray]] = ()) -> tuple[float, int, int]:
+    """(score, first word, end) of the span around [lo, hi) that fits the template best: its ends sit on common words. 0 without its marks."""
     shared = np.isin(words, template)
     margin = len(template)
     a, b = max(0, lo - margin), min(len(words), hi + margin)
-    best = (common(words[lo:hi], template) / max(hi - lo, len(template), 1), lo, hi)
     start, end = lo, hi
     while start > a and shared[start - 1]:
         start -= 1
     while end < b and shared[end]:
         end += 1
-    if (start, end) != (lo, hi):
-        best = max(best, (common(words[start:end], template) / max(end - start, len(template)), start, end))
-    return best
+    spans = {span for x in ((lo, hi), (start, end)) if (span := marked(words, *x, marks))}
+    return max(((common(words[p:q], template) / max(q - p, len(template), 1), p, q) for p, q in spans), default=(0.0, lo, hi))
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
@@ -127,6 +189,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
     back = text.join(small, text["doc_id"].eqNullSafe(small["d"])).select("doc_id", "text", "row", "spans")
     names = [n for n, _ in templates]
     bodies = template_words(templates)
+    marks = template_marks(bodies)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,7 +204,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
                 chars = np.cumsum((data & 0xC0) != 0x80) - 1
                 spans = []
                 for x in b.column("spans")[r].as_py():
-                    score, p, q = best_window(words, bodies[x["t"]], x["p0"], x["p1"])
+                    score, p, q = best_window(words, bodies[x["t"]], x["p0"], x["p1"], marks[x["t"]])
                     if score >= MIN_SCORE:
                         spans.append((-round(score * max(q - p, len(bodies[x["t"]]))), -score, p, q, names[x["t"]]))
                 taken: list[tuple[int, int]] = []

@@ -150,6 +150,25 @@ def test_licenses_with_edits_and_cases(spark):
     assert licenses.scan(df.limit(0)).count() == 0 and licenses.scan(df, ()).count() == 0
 
 
+def test_licenses_are_told_from_their_siblings(spark):
+    """One word makes another licence; an unknown sibling is no licence at all."""
+    filler = " ".join(f"word{i}" for i in range(30))
+    creative, gnu = "This work is licensed under a Creative Commons Attribution{} 4.0 International License.", "This work is licensed under the GNU {}General Public License{}"
+    grant = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    bsd = {n: x for n, x in licenses.TEMPLATES if n.startswith("BSD")}
+    cases = [
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("Licensed under CC BY-NC 2.0.", None), ("Licensed under CC0 1.0 Universal.", "CC0-1.0"),
+        (creative.format(""), "CC-BY-4.0"), (creative.format("-NonCommercial"), "CC-BY-NC-4.0"), (creative.format("-ShareAlike"), "CC-BY-SA-4.0"), (creative.format("-NonCommercial-NoDerivs"), "CC-BY-NC-ND-4.0"),
+        (gnu.format("", ", version 2."), "GPL-2.0"), (gnu.format("", ", version 3."), "GPL-3.0"), (gnu.format("", " (GPL), version 3."), "GPL-3.0"), (gnu.format("Lesser ", ", version 3."), "LGPL-3.0"), (gnu.format("Lesser ", ", version 2.1."), "LGPL-2.1"), (gnu.format("Affero ", ", version 3."), "AGPL-3.0"), (gnu.format("", ", version 1."), None),
+        (grant.format("", 2), "GPL-2.0"), (grant.format("", 3), "GPL-3.0"), (grant.format("Lesser ", 3), "LGPL-3.0"), (grant.format("Affero ", 3), "AGPL-3.0"), (grant.format("", 9), None),
+        ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("Released under the MIT Licence.", "MIT"), ("Released under the BSD License.", None), ("Licensed under the ISC License.", "ISC"),
+        *((x, n) for n, x in bsd.items()),
+    ]
+    rows = [(i, f"{filler}. {x} {filler}") for i, (x, _) in enumerate(cases)]
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(i, n) for i, (_, n) in enumerate(cases) if n}
+
+
 # media
 
 
