@@ -3,8 +3,10 @@
 Every rolling word ``K``-gram of every document is joined by hash to the positions it has in the
 templates. A hit at word p of the document and word q of a template votes for the diagonal p - q;
 votes are added up by document, template and diagonal. Neighbouring diagonals, at most ``DRIFT``
-apart and overlapping in the document, are one span with words inserted or dropped. Spans with
-enough votes are verified on the text: the longest common word subsequence with the template must
+apart and overlapping in the document, are one span with words inserted or dropped. Spans of one
+template that lie no farther apart than ``MIN_SCORE`` lets words be inserted or dropped are a
+cluster. In clusters with enough votes every span, and every union of neighbouring ones that isn't
+too long, is verified on the text: the longest common word subsequence with the template must
 reach ``MIN_SCORE`` of the longer of the two, and of each group of ``MARKS`` that the template holds
 (what tells a licence from its siblings: name, version, conditions) the span must hold one, or have
 it at most ``DRIFT`` words off, which makes it part of the span.
@@ -168,6 +170,20 @@ def best_window(words: np.ndarray, template: np.ndarray, lo: int, hi: int, marks
     return max(((common(words[p:q], template) / max(q - p, len(template), 1), p, q) for p, q in spans), default=(0.0, lo, hi))
 
 
+def unions(spans: list[dict], sizes: list[int]) -> list[tuple[int, int, int]]:
+    """(template, first word, end) of the spans with enough votes and the unions of neighbours in a cluster that a score of ``MIN_SCORE`` leaves room for."""
+    out = set()
+    for i, x in enumerate(spans):
+        size, hi, votes = sizes[x["t"]], 0, 0
+        for y in spans[i:]:
+            hi, votes = max(hi, y["p1"]), votes + y["votes"]
+            if (y["t"], y["cluster"]) != (x["t"], x["cluster"]) or y is not x and (hi - x["p0"]) * MIN_SCORE > size:
+                break
+            if votes >= max(1, MIN_VOTES * (size - (K - 1))):
+                out.add((x["t"], x["p0"], hi))
+    return sorted(out)
+
+
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(doc_id, license, start_char, end_char, score) of every verified notice."""
     spark = docs.sparkSession
@@ -183,8 +199,12 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
     votes = votes.withColumn("span", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     size = F.array(*[F.lit(n) for n in sizes])[F.col("t")] if sizes else F.lit(0)
     spans = votes.groupBy("doc_id", "row", "t", "span").agg(F.sum("votes").alias("votes"), F.min("p0").alias("p0"), F.max("p1").alias("p1"))
-    spans = spans.where(F.col("votes") >= F.greatest(F.lit(1.0), F.lit(MIN_VOTES) * (size - (K - 1))))
-    found = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("t", "p0", "p1"))).alias("spans")).withColumnsRenamed({"doc_id": "d"}).checkpoint()
+    near = Window.partitionBy("doc_id", "row", "t").orderBy("p0", "p1", "span")
+    reach = F.greatest(F.lit(DRIFT), F.floor(size * ((1 - MIN_SCORE) / MIN_SCORE)))
+    spans = spans.withColumn("new", F.when(F.col("p0") <= F.max("p1").over(near.rowsBetween(Window.unboundedPreceding, -1)) + reach, 0).otherwise(1)).withColumn("cluster", F.sum("new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
+    least = F.greatest(F.lit(1.0), F.lit(MIN_VOTES) * (size - (K - 1)))
+    spans = spans.withColumn("all", F.sum("votes").over(Window.partitionBy("doc_id", "row", "t", "cluster"))).where(F.col("all") >= least)
+    found = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("t", "cluster", "p0", "p1", "votes"))).alias("spans")).withColumnsRenamed({"doc_id": "d"}).checkpoint()
     small = F.broadcast(found) if found.count() <= MAX_BROADCAST_ROWS else found
     back = text.join(small, text["doc_id"].eqNullSafe(small["d"])).select("doc_id", "text", "row", "spans")
     names = [n for n, _ in templates]
@@ -203,10 +223,10 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
                     continue  # another row of this doc_id
                 chars = np.cumsum((data & 0xC0) != 0x80) - 1
                 spans = []
-                for x in b.column("spans")[r].as_py():
-                    score, p, q = best_window(words, bodies[x["t"]], x["p0"], x["p1"], marks[x["t"]])
+                for t, lo, hi in unions(b.column("spans")[r].as_py(), sizes):
+                    score, p, q = best_window(words, bodies[t], lo, hi, marks[t])
                     if score >= MIN_SCORE:
-                        spans.append((-round(score * max(q - p, len(bodies[x["t"]]))), -score, p, q, names[x["t"]]))
+                        spans.append((-round(score * max(q - p, sizes[t])), -score, p, q, names[t]))
                 taken: list[tuple[int, int]] = []
                 for _, score, p, q, name in sorted(spans):
                     if all(q <= a or p >= z for a, z in taken):

@@ -169,6 +169,21 @@ def test_licenses_are_told_from_their_siblings(spark):
     assert got == {(i, n) for i, (_, n) in enumerate(cases) if n}
 
 
+@pytest.mark.parametrize("foreign", [3, 4, 10, 20])
+def test_licenses_with_words_inserted(spark, foreign):
+    """A footer in the middle, or in several places, as long as the score of the whole is enough; copies side by side stay two."""
+    words = licenses.TEMPLATES[2][1].split()
+    filler = " ".join(f"word{i}" for i in range(30))
+    other = [f"foreign{i}" for i in range(foreign)]
+    once = [*words[:33], *other, *words[33:]]
+    spread = [w for i in range(0, len(words), 12) for w in [*words[i : i + 12], *other[i // 12 :: -(-len(words) // 12)]]]
+    notices = [once, spread, [*words[:60]], [*words[:25], *words[35:]]]
+    rows = [(i, f"{filler} {' '.join(x)} {filler}") for i, x in enumerate(notices)] + [(9, f"{filler} {' '.join([*once, *once])} {filler}")]
+    got = [(r.doc_id, r.license, r.start_char) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    first = len(filler) + 1
+    assert sorted(got) == [*((i, "MIT", first) for i in range(len(notices))), (9, "MIT", first), (9, "MIT", first + len(" ".join(once)) + 1)]
+
+
 # media
 
 
