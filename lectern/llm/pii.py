@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from ipaddress import ip_address
 
 import numpy as np
 import pyarrow as pa
@@ -43,16 +44,20 @@ _PROPOSALS = re.compile(
         |[A-Z]{2,6}[A-Z0-9]{14,36}(?![A-Za-z0-9])|(?=[GgSsXx])(?i:gh[pousr]_|sk-|xox[abp]-)[\w-]{16,100}|[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])))
     |(?P<card>(?<![\d.])(?:\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7})(?!\d))
     |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
-    |(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){1,5}(?!\d))
-    |(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{7,15}(?!\d))""",
+    |(?P<ip>(?<![\d.])(?!0\d(?:\.\d{2}){4}(?!\d))\d{1,3}(?:\.\d{1,3}){1,5}(?!\d)|(?<![\w:.])(?=[0-9A-Fa-f:]{2,39})(?:(?:[0-9A-Fa-f]{1,4}:){6,7}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}:){0,6})(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]{1,4})?(?![\w:]))
+    |(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?:\+|00)\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d(?:[ .-]?\d{2}){4}(?!\d)|0\d(?:[ .-]\d{2}){4}(?!\d)
+        |(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ ./-])\d{3,4}[ .-]?\d{3,4}(?![ ./-]?\d)|(?:\+|00)\d(?:(?![ ]\d{4}[ -]\d{4}[ -]\d{4}[ -]\d|[ ]\d{1,3}(?:\.\d{1,3}){3})[ ./-]?\(?\d\)?){6,14}(?!\d)
+        |0\d{2,4}(?:[ ]?[/-][ ]?|[ ])(?:\d{5,8}(?:-\d{1,4})?|\d{2,4}(?:[ -]\d{2,4}){1,3})(?!\d)|[6-9]\d{2}(?:[ .-]\d{2}){3}(?!\d)|[89]\d[ .-]\d{3}(?:[ .-]\d{2}){2}(?!\d)
+        |(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ ./-])\d{3,4}[ .-]?\d{3,4}(?!\d))|\+\d{7,15}(?!\d))""",
     re.VERBOSE,
 )
-_MAYBE = r"[0-9@]|[A-Z]{16}|(?i:pass|pwd|secret|token|key|auth|gh[pousr]_|sk-|xox[abp]-|[a-f]{32})"  # every proposal has one of these
+_MAYBE = r"[0-9@]|::|(?:[A-Fa-f]{1,4}:){6}|[A-Z]{16}|(?i:pass|pwd|secret|token|key|auth|gh[pousr]_|sk-|xox[abp]-|[a-f]{32})"  # every proposal has one of these
 _STRICT = {
     "email": re.compile(r"[A-Za-z0-9][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"),
-    "phone": re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{9,15}|\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}"),
+    "phone": re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{9,15}|(?:\+|00)\d{1,3}(?:[ ./-]?\(?\d{2,4}\)?){2,5}"
+        r"|(?:(?:\+|00)\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d|0\d)(?:[ .-]?\d{2}){4}|(?:\+|00)\d{1,3}[ .-]?\(0\)(?:[ ./-]?\d{2,4}){2,5}|0\d{2,4}(?: ?[/-] ?| )(?:\d{5,8}(?:-\d{1,4})?|\d{2,4}(?:[ -]\d{2,4}){1,3})|[6-9]\d{2}(?:[ .-]\d{2}){3}|[89]\d[ .-]\d{3}(?:[ .-]\d{2}){2}"),
     "card": re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}"),
-    "ip": re.compile(r"(?:\d{1,3}\.){3}\d{1,3}"),
+    "ip": re.compile(r"(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*"),
     "ssn": re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"),
     "iban": re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
     "secret": re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?i:gh[pousr]_|sk-|xox[abp]-)[\w-]{16,}|[0-9A-Fa-f]{32,}|.*?[=:].*"),
@@ -86,6 +91,16 @@ def _iban_ok(x: str) -> bool:
     return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
 
 
+def _ipv6(x: str) -> tuple[int, int]:
+    """Votes of the checksum and the gazetteer: is it an address, and one of a host?"""
+    try:
+        a = ip_address(x)
+    except ValueError:
+        return -1, -1
+    a = a.ipv4_mapped or a
+    return 1, -1 if a.is_loopback or a.is_unspecified or a.is_multicast or a.version == 6 and a.is_reserved else 0
+
+
 def _entropy(x: str) -> float:
     n = np.unique(np.frombuffer(x.encode(), np.uint8), return_counts=True)[1]
     p = n / n.sum()
@@ -104,6 +119,8 @@ def votes(kind: str, span: str, left: str, right: str) -> tuple[int, ...]:
         digits = re.sub(r"\D", "", span)
         check = 1 if luhn(digits) else -1
         gaz = 1 if _ISSUER.fullmatch(digits) else -1
+    elif kind == "ip" and ":" in span:
+        check, gaz = _ipv6(span)
     elif kind == "ip":
         parts = [int(x) for x in span.split(".")]
         check = 1 if len(parts) == 4 and max(parts) < 256 else -1

@@ -65,6 +65,22 @@ def test_secrets_of_any_case(spark):
         assert [c[:3] for c in pii.candidates(text)] == [(0, len(text), "secret")]
 
 
+PHONES = ["+33 1 23 45 67 89", "01 23 45 67 89", "06.12.34.56.78", "+33 (0)1 23 45 67 89", "0033 1 23 45 67 89", "+33123456789", "0170/1234567", "030 / 123 456 78", "+49 170/1234567", "+49 (0)30 1234567", "+49 89 123 456 78", "612 34 56 78", "91 234 56 78", "+44 20 7946 0958", "+1 (555) 123-4567", "555-867-5309"]
+IPV6 = ["2001:db8:85a3::8a2e:370:7334", "fe80::1ff:fe23:4567:890a", "2001:0DB8:0000:0000:0000:FF00:0042:8329", "::ffff:192.168.10.77", "2a02:810d::"]
+
+
+def test_phones_in_pairs_with_slashes_and_ipv6(spark):
+    rows, _ = corpus(300)
+    spans = [(1000 + i, x, k) for i, (x, k) in enumerate([(x, "phone") for x in PHONES] + [(x, "ip") for x in IPV6])]
+    for _, x, k in spans:
+        assert [c[:3] for c in pii.candidates(f"so {x} is")] == [(3, 3 + len(x), k)], x
+        assert [c[:3] for c in pii.candidates(f"so {x}, 12 words")] == [(3, 3 + len(x), k)], x
+    other = ["at 12:30:45 on", "std::vector<int>", "of 12-05-2024 10:30", "1:2:3:4:5:6:7:8:9", "a::b::c", "in 2024 2025 2026"]
+    docs = frame(spark, rows + [(i, f"wörd {x} wörd") for i, x, _ in spans] + [(2000 + i, f"wörd {x} wörd") for i, x in enumerate(other)])
+    got = {(r.doc_id, r.start_char, r.end_char, r.kind) for r in pii.find(docs).where("doc_id >= 1000").collect()}
+    assert got == {(i, 5, 5 + len(x), k) for i, x, k in spans}
+
+
 def test_reliabilities_tell_good_labelers_from_bad_ones():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4
