@@ -9,14 +9,17 @@ one, so every byte counts; runs of a sign longer than three are cut to three.
 Two documents match if, at a block size they share, both signatures hold a common run of ``GRAM``
 signs and their edit distance (insertions and deletions; a change is both) gives a score of at
 least ``MIN_SCORE``: 100 * (1 - distance / (length + length)). All documents are compared: runs
-are the join key, equal signatures are folded first, and a spanning forest of verified matches
-is kept per run. A family is a connected component of matches.
+are the join key, equal signatures are folded first, and inside a run's bucket every pair that the
+signs in common leave open is measured, but only what connects the matches is written. A family is a
+connected component of matches.
 
 Defined cases: a null text has null signatures and no family; an empty text has empty signatures
-at the least block size; signatures shorter than ``GRAM`` match nothing, so very short texts have
-no family; a null doc_id is fingerprinted but joins no family; rows that repeat a doc_id are
-fingerprinted each and share the family of that doc_id; the family is the smallest doc_id in it,
-and a document that matches none has its own doc_id; only doc_id and text are read.
+at the least block size and is a family of its own; a signature shorter than ``GRAM`` says too little,
+so documents with such a one match if their texts are equal (by a 64-bit hash, beside signature and
+block size); a text of any length is read whole; a null doc_id is fingerprinted but joins no family;
+rows that repeat a doc_id are fingerprinted each and share the family of that doc_id; the family is
+the smallest doc_id in it, and a document that matches none has its own doc_id; ties can't arise; an
+empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -82,12 +85,12 @@ def _pieces(roll: np.ndarray, prefix: np.ndarray, starts: np.ndarray, ends: np.n
     return out
 
 
-def fingerprint(col: pa.Array) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-    """(block sizes, signatures, signatures at twice the block size) of the rows."""
+def fingerprint(col: pa.Array) -> tuple[np.ndarray, list[bytes], list[bytes], np.ndarray]:
+    """(block sizes, signatures, signatures at twice the block size, hashes of the whole texts) of the rows."""
     data, starts, ends = column_bytes(col)
     n = len(data) - 16
     if n <= 0:
-        return np.full(len(col), LEAST), [b""] * len(col), [b""] * len(col)
+        return np.full(len(col), LEAST), [b""] * len(col), [b""] * len(col), np.zeros(len(col), U64)
     roll = rolling(data, starts, ends)
     # pieces are sums of mixed bytes that know the seven bytes before them, so their order counts
     prefix = np.concatenate([[U64(0)], np.cumsum(mix(roll.astype(U64) * U64(256) + data[:n]))])
@@ -101,61 +104,138 @@ def fingerprint(col: pa.Array) -> tuple[np.ndarray, list[bytes], list[bytes]]:
         again = _pieces(roll, prefix, starts[short], ends[short], exp[short])
         for i, x in zip(short.tolist(), again, strict=True):
             one[i] = x
-    return LEAST << exp, one, _pieces(roll, prefix, starts, ends, exp + 1)
+    return LEAST << exp, one, _pieces(roll, prefix, starts, ends, exp + 1), mix((prefix[ends] - prefix[starts]) ^ (ends - starts).astype(U64))
+
+
+_CODE = np.full(256, 64, np.uint8)
+_CODE[SIGNS] = np.arange(64)
+SMALL, PIVOTS, BLOCK, PAIRS = 64, 8, 1024, 1 << 17
+
+
+class Signatures:
+    """Signatures (rows of signs, padded with 0) laid out for comparisons of many pairs at once."""
+
+    def __init__(self, raw: np.ndarray) -> None:
+        self.code = _CODE[raw]
+        self.size = (raw > 0).sum(1)
+        n, width = raw.shape
+        rows = np.arange(n)
+        self.places = np.zeros((n, 65), U64)  # bit j: the sign is at place j; the last column is padding and has none
+        self.count = np.zeros((n, 65), np.uint8)
+        for j in range(width):
+            self.places[rows, self.code[:, j]] |= U64(1 << j)
+            self.count[rows, self.code[:, j]] += 1
+        self.places[:, 64] = 0
+        self.count = np.ascontiguousarray(self.count[:, :64])
+
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Insertions and deletions between rows a and b: a bit-parallel longest common subsequence."""
+        v = np.full(len(a), ~U64(0))
+        flat, at, code = self.places.ravel(), b * 65, self.code[a]
+        for j in range(int(self.size[a].max(initial=0))):
+            u = v & flat[at + code[:, j]]
+            v = (v + u) | (v - u)
+        return self.size[a] + self.size[b] - 2 * (64 - np.bitwise_count(v).astype(np.int64))
+
+    def scores(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Score from 0 to 100 of the pairs."""
+        return np.floor(100 * (1 - self.distance(a, b) / np.maximum(self.size[a] + self.size[b], 1)) + 1e-9).astype(np.int64)
+
+    def match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs reach ``MIN_SCORE``; only those whose signs in common, each as often as both have it, allow it are measured."""
+        out = np.zeros(len(a), bool)
+        for lo in range(0, len(a), PAIRS):
+            x, y = a[lo : lo + PAIRS], b[lo : lo + PAIRS]
+            shared = np.minimum(self.count[x], self.count[y]).sum(1, dtype=np.int64)
+            may = np.flatnonzero(200 * shared >= MIN_SCORE * (self.size[x] + self.size[y]))
+            out[lo + may] = self.scores(x[may], y[may]) >= MIN_SCORE
+        return out
+
+    def candidates(self, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (of left, of right) whose signs in common allow a match, block by block: counts as levels, so that a product adds up their minima."""
+        levels = self.count[np.concatenate([left, right])]
+        one = np.concatenate([levels >= k for k in range(1, int(levels.max(initial=0)) + 1)], 1).astype(np.float32)
+        one = one[:, one.any(0)]
+        l, r = one[: len(left)], np.ascontiguousarray(one[len(left) :].T)
+        for lo in range(0, len(left), BLOCK):
+            rows = left[lo : lo + BLOCK]
+            i, j = np.nonzero(200 * (l[lo : lo + BLOCK] @ r) >= MIN_SCORE * (self.size[rows][:, None] + self.size[right]) - 0.5)
+            yield rows[i], right[j]
+
+
+def _connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least row that each row is connected with."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for x in (a, b, label[a], label[b]):
+            np.minimum.at(new, x, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
 
 
-def distance(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Insertions and deletions between row 0 of ``one`` (or each row) and the rows of ``many``; rows are padded with 0.
+def links(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, least row it is connected with) in the buckets [s, e).
 
-    Bit-parallel longest common subsequence: a row of ``many`` is a 64-bit word, its signs are bits.
+    Small buckets are compared pair by pair, all of them at once. In a large one a few pivots take
+    what is like them; what is left is compared block by block.
     """
-    if len(one) == 1 and len(many) != 1:
-        one = np.broadcast_to(one, many.shape)
-    la, lb = (one > 0).sum(1), (many > 0).sum(1)
-    bits = U64(1) << np.arange(many.shape[1], dtype=U64)
-    v = np.full(len(many), ~U64(0))
-    for j in range(int(la.max(initial=0))):
-        sign = one[:, j]
-        m = np.where((many == sign[:, None]) & (sign[:, None] > 0), bits, U64(0)).sum(1, dtype=U64)
-        u = v & m
-        v = np.where(sign > 0, (v + u) | (v - u), v)
-    zeros = 64 - np.bitwise_count(v).astype(np.int64)
-    return la + lb - 2 * zeros
-
-
-def scores(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Score from 0 to 100 of padded signatures."""
-    total = (one > 0).sum(1) + (many > 0).sum(1)
-    return np.floor(100 * (1 - distance(one, many) / np.maximum(total, 1)) + 1e-9).astype(np.int64)
-
-
-def _close(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Rows of ``many`` within the threshold; distances only where the signs in common allow it."""
-    if len(one) != 1 or len(many) < 2:
-        return scores(one, many) >= MIN_SCORE
-    signs = np.zeros(256, bool)
-    signs[one[0]] = True
-    signs[0] = False
-    total = (one > 0).sum() + (many > 0).sum(1)
-    ok = 200 * signs[many].sum(1) + 1e-6 >= MIN_SCORE * total  # as many may be common, at most
-    ok[ok] = scores(one, many[ok]) >= MIN_SCORE
-    return ok
+    sig, n, size = Signatures(raw), len(raw), e - s
+    few = size <= SMALL
+    rows = np.concatenate([np.zeros(0, np.int64), *(np.arange(x, y) for x, y in zip(s[few].tolist(), e[few].tolist(), strict=True))])
+    end = np.repeat(e[few], size[few])
+    left, right = [], []
+    for d in range(1, int(size[few].max(initial=1))):
+        rows, end = rows[rows + d < end], end[rows + d < end]
+        hit = rows[sig.match(rows, rows + d)]
+        left.append(hit)
+        right.append(hit + d)
+    for lo, hi in zip(s[~few].tolist(), e[~few].tolist(), strict=True):
+        rest, front, done = np.arange(lo + 1, hi), [lo], 0
+        while len(rest):
+            if not front:
+                front, rest = [int(rest[0])], rest[1:]
+                continue
+            at = front.pop()
+            ok = sig.match(np.full(len(rest), at), rest)
+            left.append(np.full(ok.sum(), at))
+            right.append(rest[ok])
+            front += rest[ok].tolist()
+            done = 0 if 20 * ok.sum() > len(rest) else done + 1  # pivots that find little
+            rest = rest[~ok]
+            if done >= PIVOTS:
+                break
+        if len(rest):
+            for a, b in sig.candidates(np.concatenate([np.array(front, np.int64), rest]), rest):
+                own = (a < b) | ~np.isin(a, rest)  # pairs within the rest come twice
+                a, b = a[own], b[own]
+                ok = sig.match(a, b)
+                left.append(a[ok])
+                right.append(b[ok])
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+    label = _connected(n, a, b)
+    member = np.flatnonzero(label != np.arange(n))
+    return label[member], member
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, hi in slices(b.column("text"), 2 << 20):
             part = b.column("text").slice(lo, hi - lo)
-            size, one, two = fingerprint(part)
+            size, one, two, whole = fingerprint(part)
             gone = np.asarray(part.is_null())
             text = [pa.array([None if g else x.decode() for x, g in zip(s, gone, strict=True)], pa.string()) for s in (one, two)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(size, mask=gone), *text], ["doc_id", "block_size", "signature", "signature2"])
+            cols = [b.column("doc_id").slice(lo, hi - lo), pa.array(size, mask=gone), *text, pa.array(as_i64(whole), mask=gone)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "block_size", "signature", "signature2", "whole"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, block_size, signature, signature2) of every row."""
+    """(doc_id, block_size, signature, signature2, whole) of every row; whole is a hash of all its bytes."""
     chosen = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return chosen.mapInArrow(_fingerprints, "doc_id bigint, block_size bigint, signature string, signature2 string")
+    return chosen.mapInArrow(_fingerprints, "doc_id bigint, block_size bigint, signature string, signature2 string, whole bigint")
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,16 +258,20 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def families(prints: DataFrame) -> DataFrame:
     """(doc_id, family) of every document of ``prints`` that matches another."""
-    entry = prints.where("doc_id is not null and signature is not null").select("doc_id", F.explode(F.array(F.struct(F.col("block_size").alias("size"), F.col("signature").alias("s")), F.struct((F.col("block_size") * 2).alias("size"), F.col("signature2").alias("s")))).alias("e"))
-    entry = entry.select("doc_id", "e.size", F.rpad("e.s", LENGTH, "\0").cast("binary").alias("sig")).where(F.length("e.s") >= GRAM)
-    # a distinct signature is named by its hash; nodes of the graph are documents
-    reps = entry.groupBy("size", "sig").agg(F.min("doc_id").alias("doc")).withColumn("id", F.xxhash64("size", "sig")).checkpoint()
-    same = entry.join(reps, ["size", "sig"]).where("doc_id <> doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
-    hits = shared_keys(reps.select("id", "size", "sig").mapInArrow(_grams, "key bigint, id bigint"))
-    pairs = forest(hits.join(reps, "id").select("key", "id", "sig"), _close, "sig")
+    known = prints.where("doc_id is not null and signature <> ''")
+    both = F.array(F.struct(F.col("block_size").alias("size"), F.col("signature").alias("s")), F.struct((F.col("block_size") * 2).alias("size"), F.col("signature2").alias("s")))
+    entry = known.select("doc_id", "whole", F.explode(both).alias("e"))
+    entry = entry.select("doc_id", "e.size", F.when(F.length("e.s") < GRAM, F.col("whole")).alias("short"), F.rpad("e.s", LENGTH, "\0").cast("binary").alias("sig"))
+    # a distinct signature is a row, numbered once it is written; nodes of the graph are documents
+    reps = entry.groupBy("size", "sig", "short").agg(F.min("doc_id").alias("doc")).withColumn("id", F.monotonically_increasing_id()).checkpoint()
+    fits = (entry["size"] == reps["size"]) & (entry["sig"] == reps["sig"]) & entry["short"].eqNullSafe(reps["short"])
+    same = entry.join(reps, fits).where("doc_id <> doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+    long = reps.where("short is null")
+    hits = shared_keys(long.select("id", "size", "sig").mapInArrow(_grams, "key bigint, id bigint"))
+    pairs = forest(hits.join(long.select("id", "sig"), "id"), links, "sig")
     ids = reps.select("id", "doc")
-    pairs = pairs.join(ids.withColumnsRenamed({"id": "a", "doc": "da"}), "a").join(ids.withColumnsRenamed({"id": "b", "doc": "db"}), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
-    return components(same.unionByName(pairs)).select(F.col("id").alias("doc_id"), F.col("root").alias("family"))
+    pairs = pairs.join(ids.withColumnsRenamed({"id": "a", "doc": "da"}), "a").join(ids.withColumnsRenamed({"id": "b", "doc": "db"}), "b")
+    return components(same.unionByName(pairs.select(F.col("da").alias("a"), F.col("db").alias("b")))).select(F.col("id").alias("doc_id"), F.col("root").alias("family"))
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:

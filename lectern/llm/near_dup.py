@@ -13,12 +13,14 @@ Groups are the connected components of the pairs within the threshold. Equal sig
 folded into one before the join, and inside a bucket a spanning forest of verified pairs is
 written rather than all of them, so groups of thousands of copies cost what they hold.
 
-Defined cases: a null or wordless text has no signature and is in no group; a text of fewer
-than ``SHINGLE`` words is one shingle of all its words; a null doc_id is in no group (the
-filter keeps such rows as they are); rows that repeat a doc_id are one document, which has the
-signatures of all its rows, and the filter keeps one of those rows, the one whose (text, lang,
-source) sorts first, nulls first; ties go to the smallest doc_id. An empty table gives an
-empty result. Only doc_id and text are read, so further columns pass through the filter untouched.
+Defined cases: a document is a doc_id with a text. A null or wordless text has no signature, is in
+no group and stays; a text of fewer than ``SHINGLE`` words is one shingle of all its words, one of any
+length is read whole; a null doc_id is in no group, and the filter keeps such rows as they are. Of a
+group the document with the smallest doc_id stays, ties going to the smaller hash of the text. Rows
+that repeat both doc_id and text are one document, of which the filter keeps one row, the first by
+its other columns as text; rows that repeat a doc_id with another text are documents of their own. An
+empty table gives an empty result. Only doc_id and text are read, and further columns, whatever their
+names, pass through the filter untouched.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm._graph import components, forest, shared_keys
+from lectern.llm._graph import by_close, components, forest, shared_keys
+from lectern.llm._small import free, small
 from lectern.llm._vec import U64, as_i64, mix, row_words, shingles, slices
 
 SHINGLE, K, CHUNKS, MAX_DIST = 3, 64, 16, 31
@@ -88,7 +91,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig, has = signatures(b.column("text").slice(lo, hi - lo))
             rows = np.flatnonzero(has)
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * K), len(rows), [None, pa.py_buffer(sig[rows].tobytes())])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo).take(pa.array(rows)), raw.cast(pa.binary())], ["doc_id", "sig"])
+            own = [b.column(c).slice(lo, hi - lo).take(pa.array(rows)) for c in ("doc_id", "h")]
+            yield pa.RecordBatch.from_arrays([*own, raw.cast(pa.binary())], ["doc_id", "h", "sig"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,24 +110,41 @@ def _close(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, group_id) of every document that has a near duplicate; group_id is the group's smallest doc_id."""
-    signed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null").mapInArrow(_sign, "doc_id bigint, sig binary").checkpoint()
-    reps = signed.groupBy("sig").agg(F.min("doc_id").alias("id")).checkpoint()
-    same = signed.join(reps, "sig").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    """(group, doc_id, h, rows, n, first): each document with words, by the hash of its text, with its rows, its group, the group's documents and their first."""
+    text = F.col("text").cast("string")
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).where("doc_id is not null and text is not null")
+    signed = chosen.mapInArrow(_sign, "doc_id bigint, h bigint, sig binary").checkpoint()
+    reps = signed.select("sig").distinct().withColumn("id", F.monotonically_increasing_id()).checkpoint()  # numbers stand once written
     hits = shared_keys(reps.select("id", "sig").mapInArrow(_keys, "key bigint, id bigint"))
-    pairs = forest(hits.join(reps, "id"), _close, "sig")
-    return components(same.unionByName(pairs)).select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"))
+    pairs = forest(hits.join(reps, "id"), by_close(_close), "sig")
+    named = reps.join(components(pairs), "id", "left").select("sig", F.coalesce("root", "id").alias("group"))
+    members = signed.join(named, "sig").groupBy("group", "doc_id", "h").agg(F.count("*").alias("rows")).checkpoint()
+    return members.join(members.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h")).alias("first")), "group")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, group_id, kept): the members of every group of two or more; the smallest doc_id is kept."""
-    return groups(docs).withColumn("kept", F.expr("doc_id = group_id"))
+    """(doc_id, group_id, kept): the documents of every group of two or more; group_id is the smallest doc_id, whose document is kept."""
+    return groups(docs).where("n > 1").select("doc_id", F.col("first.doc_id").alias("group_id"), F.expr("struct(doc_id, h) = first").alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group, the smallest doc_id; the columns stay as they are."""
-    gone = groups(docs).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
-    one = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_first() for c in ("text", "lang", "source") if c in docs.columns])
-    kept = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    kept = kept.withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """``docs`` with one document of each group; the columns stay as they are.
+
+    What goes is broadcast where its measured size allows, so that no text is shuffled; beyond that
+    the texts are shuffled once, by doc_id and hash. Only rows that are there more than once meet in a window.
+    """
+    goes, hash_ = free("goes", docs.columns), free("hash", docs.columns)
+    known = groups(docs).where("n > 1 or rows > 1").select(F.col("doc_id").alias(goes), F.col("h").alias(hash_), F.expr("struct(doc_id, h) <> first").alias("loses"), "rows").checkpoint()
+
+    def matches(keys: DataFrame) -> Column:
+        return (docs["doc_id"].cast("bigint") == keys[goes]) & (F.xxhash64(docs["text"].cast("string")) == keys[hash_])
+
+    kept = docs.join(out := small(known.where("loses").drop("loses", "rows")), matches(out), "left_anti")
+    again = known.where("not loses and rows > 1").drop("loses", "rows")
+    if again.isEmpty():
+        return kept
+    again = small(again)
+    twice = docs.join(again, matches(again), "left_semi").select(F.struct("*").alias("row"))
+    rank = Window.partitionBy("row.doc_id", F.xxhash64("row.text")).orderBy(F.to_json("row"))
+    first = twice.withColumn("place", F.row_number().over(rank)).where("place = 1").select("row.*")
+    return kept.join(again, matches(again), "left_anti").unionByName(first)

@@ -6,9 +6,11 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import fingerprints, near_dup
-from lectern.llm._graph import components
+from lectern.llm._graph import by_close, components, forest
+from lectern.llm._small import small
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, sig int, key string, group_id int"
 
@@ -53,7 +55,7 @@ def test_groups_are_exactly_the_components_of_close_signatures(spark):
     close = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (sig[i] != sig[j]).sum() <= near_dup.MAX_DIST]
     want = roots(len(texts), close)
     want = {i: r for i, r in want.items() if list(want.values()).count(r) > 1}
-    got = {r.doc_id: r.group_id for r in near_dup.groups(frame(spark, enumerate(texts))).collect()}
+    got = {r.doc_id: r.group_id for r in near_dup.near_duplicates(frame(spark, enumerate(texts))).collect()}
     assert got == want and len(want) > 20
 
 
@@ -84,12 +86,23 @@ def test_defined_cases(spark):
     assert got == {(1, 1, True), (2, 1, False), (6, 6, True), (7, 6, False), (8, 8, True), (9, 8, False)}
     kept = near_dup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 4, 5, None, None, 6, 8, 10]))
-    same = frame(spark, [(5, "b b b b"), (5, "a a a a"), (5, None)])
-    assert [r.text for r in near_dup.drop_near_duplicates(same).collect()] == [None]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, None, None, 6, 8, 10]))
+    same = frame(spark, [(5, "b b b b"), (5, "a a a a"), (5, None), (5, "a a a a"), (5, None)])
+    assert sorted(str(r.text) for r in near_dup.drop_near_duplicates(same).collect()) == ["None", "None", "a a a a", "b b b b"]
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0 and near_dup.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_names_that_clash_and_either_join(spark, monkeypatch, limit):
+    monkeypatch.setattr(near_dup, "small", lambda df: small(df, limit))
+    docs = spark.createDataFrame([(1, "x y z w", 7, 1), (1, "x y z w", 6, 2), (2, "x y z w v", 7, 3), (3, "quite other words", 7, 4)], "doc_id int, text string, goes int, hash int")
+    docs = docs.withColumnsRenamed({"hash": "Goes_"}).withColumns({"hash": F.lit(1), "__gone": F.lit(2), "__row": F.lit(3)})
+    kept = near_dup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    groups = {frozenset(g) for g in ((1, 3), (1, 2, 3))}
+    assert frozenset(r.doc_id for r in kept.collect()) in groups and kept.where("doc_id = 1").collect()[0].goes == 6
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(100 + i, 101 + i) for i in range(40)]
@@ -121,7 +134,7 @@ def test_families_are_the_components_of_matching_signatures(spark):
     texts = [t * 4 for t in made(7, 48)] + ["short", "short", ""]
     out = fingerprints.document_fingerprints(frame(spark, enumerate(texts))).orderBy("doc_id").collect()
     prints = [(r.doc_id, r.block_size, r.signature, r.signature2) for r in out]
-    pairs = [(p[0], q[0]) for p, q in itertools.combinations(prints, 2) if matches(p, q) or (p[1:] == q[1:] and len(p[2]) >= fingerprints.GRAM)]
+    pairs = [(p[0], q[0]) for p, q in itertools.combinations(prints, 2) if matches(p, q) or texts[p[0]] == texts[q[0]] != ""]
     assert {r.doc_id: r.family for r in out} == roots(len(texts), pairs)
     assert len(pairs) > 20
 
@@ -147,18 +160,51 @@ def reference_print(data: bytes, size: int) -> bytes:
 
 def test_signatures_by_definition():
     texts = ["a", "hello world " * 30, "é" * 50, "".join(random.Random(2).choice("abcdef ") for _ in range(3000)), "same", "same", "x" * 700]
-    sizes, one, two = fingerprints.fingerprint(pa.array([*texts, None, ""]))
+    sizes, one, two, whole = fingerprints.fingerprint(pa.array([*texts, None, ""]))
     for t, n, s, d in zip(texts, sizes, one, two, strict=False):
         assert s == reference_print(t.encode(), int(n)) and d == reference_print(t.encode(), int(n) * 2)
-    assert one[-1] == one[-2] == b"" and one[4] == one[5]
+    assert one[-1] == one[-2] == b"" and one[4] == one[5] and len(set(whole[: len(texts)].tolist())) == len(set(texts))
+
+
+def padded(words):
+    return np.array([list(w.encode().ljust(64, b"\0")) for w in words], np.uint8)
 
 
 def test_distance():
     rng = random.Random(4)
     words = ["".join(rng.choice("ABC") for _ in range(rng.randint(0, 64))) for _ in range(40)]
-    raw = np.array([list(w.encode().ljust(64, b"\0")) for w in words], np.uint8)
+    sig = fingerprints.Signatures(padded(words))
     for i, w in enumerate(words[:8]):
-        assert fingerprints.distance(raw[i : i + 1], raw).tolist() == [edits(w, x) for x in words]
+        assert sig.distance(np.full(len(words), i), np.arange(len(words))).tolist() == [edits(w, x) for x in words]
+
+
+@pytest.mark.parametrize(("small", "pivots", "block"), [(64, 8, 1024), (3, 1, 4), (2, 50, 7)])
+def test_buckets_of_any_size_lose_no_link(monkeypatch, small, pivots, block):
+    """Whatever is compared all at once, by pivots or by blocks: the components are those of all pairs in a bucket."""
+    for name, value in (("SMALL", small), ("PIVOTS", pivots), ("BLOCK", block), ("PAIRS", 50)):
+        monkeypatch.setattr(fingerprints, name, value)
+    rng = random.Random(9)
+    seeds = ["".join(rng.choice("ABCDEFGH") for _ in range(50)) for _ in range(12)]
+    words = []
+    for _ in range(90):
+        w = list(rng.choice(seeds))
+        for _ in range(rng.choice([0, 5, 15, 25])):
+            w[rng.randrange(50)] = rng.choice("ABCDEFGH")
+        words.append("".join(w))
+    ends = [1, 3, 33, 90]
+    s, e = np.array([0, *ends[:-1]]), np.array(ends)
+    pairs = [(i, j) for a, b in zip(s, e, strict=True) for i in range(a, b) for j in range(i + 1, b) if int(100 * (1 - edits(words[i], words[j]) / 100) + 1e-9) >= fingerprints.MIN_SCORE]
+    a, b = fingerprints.links(padded(words), s, e)
+    assert roots(90, list(zip(a.tolist(), b.tolist(), strict=True))) == roots(90, pairs) and len(pairs) > 30
+
+
+def test_buckets_cut_into_blocks_lose_no_link(spark):
+    rows = [(k % 3, i, 60 if k % 3 == 0 else 30, bytearray(bytes([i % 7 + 1]) * 64)) for k in range(3) for i in range(60 if k == 0 else 30)]
+    members = spark.createDataFrame(rows, "key bigint, id bigint, n bigint, sig binary")
+    close = by_close(lambda one, many: (one != many).sum(1) == 0)
+    for split in (1000, 7):
+        edges = [(r.a, r.b) for r in forest(members, close, "sig", split).collect()]
+        assert roots(60, edges) == {i: i % 7 for i in range(60)}
 
 
 def test_fingerprint_cases(spark):
@@ -167,4 +213,6 @@ def test_fingerprint_cases(spark):
     assert len(rows) == 5
     by = {(r.doc_id, r.signature is None): r for r in rows}
     assert by[1, True].family is None and by[2, False].signature == "" and by[2, False].family == 2
+    short = frame(spark, [(4, "hello there"), (5, "hello there"), (6, "hello"), (7, ""), (8, "")])
+    assert {r.doc_id: r.family for r in fingerprints.document_fingerprints(short).collect()} == {4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
     assert fingerprints.document_fingerprints(docs.limit(0)).count() == 0
