@@ -2,10 +2,12 @@
 
 A logistic model over the words of a sentence and their beginnings (3 to 8 bytes, so that inflected
 forms count together) is trained on the sentences of labelled documents. Every sentence that holds
-an identity term is also swapped: the term is replaced by each other term of its group, and the
-squared change of the score is penalised. The penalty pulls the scores of a group's terms together
-and, with the ridge term, towards what the rest of the sentence does not explain, so naming a
-group is no evidence by itself.
+an identity term is also swapped: the term is replaced, wherever it stands in the sentence, by each
+other term of its group, the features of the swapped sentence are taken anew, and the squared change
+of the score is penalised, averaged over the other terms. The penalty pulls the scores of a group's
+terms together and, with the ridge term, towards what the rest of the sentence does not explain, so
+naming a group is no evidence by itself. ``IDENTITY_GROUPS`` (English, German, French, Spanish) is the
+default of a parameter.
 
 A document's labels don't say which of its sentences they are for, and in a long document some word
 looks like a toxic one by chance. So a second logistic model, of three numbers (the log-odds of the
@@ -13,14 +15,15 @@ most and of the second most toxic sentence, and the logarithm of the number of s
 the same labelled documents, turns sentence scores into the document's.
 
 ``MAX_LABELLED`` bounds the labelled documents the model is fitted on (a hash sample of the
-labelled ids); everything else reads all rows. Equal sentences are one training row with their
+labelled ids) and ``MAX_SENTENCE_BYTES`` their sentences (a hash sample too, where there are more);
+everything else reads all rows. Equal sentences are one training row with their
 mean label. Labels are noisy and belong to documents, so a feature enters the model only if its
 sentences' labels stray from the mean by ``MIN_Z`` standard deviations, with documents as the
 units of chance (a word of one long toxic document proves little); identity terms always enter, and
 a beginning brings along the word that equals it, so that a stem alone is told from its forms.
 
-Defined cases: a null, empty or wordless text scores 0 and is not toxic; the filter keeps it. A
-null label or doc_id in ``labels`` is ignored; several labels of a document count as their
+Defined cases: a null, empty or wordless text scores 0 and is not toxic; the filter keeps it; a text of
+any length is scored whole; a score at the threshold is toxic. A null label or doc_id in ``labels`` is ignored; several labels of a document count as their
 maximum. Without at least one label of each class every score is 0. Rows are scored one by one,
 so repeated rows get equal scores; an empty table gives an empty result; only text is read, and
 the filter passes all other columns through.
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +45,20 @@ from lectern.llm._vec import _MASK, U64, column_bytes, load8, mix, slices, span_
 
 MAX_LABELLED, MIN_Z, THRESHOLD, PREFIXES = 4000, 7.0, 0.5, range(3, 9)
 RIDGE, SWAP_PENALTY, ROUNDS = 1.0, 50.0, 150
-IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
-    ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "african", "european"), ("gay", "straight", "lesbian", "bisexual", "queer", "transgender"),
-    ("immigrant", "native", "refugee", "foreigner"), ("immigrants", "natives", "refugees", "foreigners"),
-    ("old", "young", "elderly"), ("disabled", "deaf", "blind", "autistic"),
-)
+MAX_SENTENCE_BYTES = 64 << 20
+_GROUPS = """women men girls boys / woman man girl boy / muslim christian jewish hindu buddhist atheist
+muslims christians jews hindus buddhists atheists / black white asian latino african european / gay straight lesbian bisexual queer transgender
+immigrant native refugee foreigner / immigrants natives refugees foreigners / old young elderly / disabled deaf blind autistic
+frauen männer mädchen jungen / frau mann / muslime christen juden hindus buddhisten atheisten / muslimisch christlich jüdisch hinduistisch buddhistisch
+muslimische christliche jüdische hinduistische buddhistische / schwarze weiße asiaten afrikaner europäer / schwul lesbisch hetero bisexuell queer trans
+schwule lesben heteros bisexuelle / ausländer einheimische flüchtlinge migranten / alte junge senioren / behinderte gehörlose blinde autisten
+femmes hommes filles garçons / femme homme fille garçon / musulmans chrétiens juifs hindous bouddhistes athées / musulman chrétien juif hindou bouddhiste athée
+noirs blancs asiatiques africains européens / noir blanc asiatique africain européen / gays lesbiennes hétéros bisexuels / immigrés réfugiés étrangers migrants
+vieux jeunes âgés / handicapés sourds aveugles autistes
+mujeres hombres niñas niños / mujer hombre niña niño / musulmanes cristianos judíos hindúes budistas ateos / musulmán cristiano judío hindú budista ateo
+negros blancos asiáticos africanos europeos / negro blanco asiático africano europeo / gais lesbianas heteros bisexuales
+inmigrantes refugiados extranjeros nativos / viejos jóvenes ancianos / discapacitados sordos ciegos autistas"""
+IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = tuple(tuple(g.split()) for line in _GROUPS.splitlines() for g in line.split("/"))
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?\n\r;")] = True
 
@@ -152,6 +163,63 @@ def calibrate(model: Model, x: np.ndarray, label: np.ndarray) -> Model:
     return model
 
 
+class Swaps(NamedTuple):
+    """Changes of the features by swapping terms: entry k says that change ``row[k]`` adds (1) or takes (-1) ``feature[k]``; ``times`` weighs each change."""
+
+    row: np.ndarray
+    feature: np.ndarray
+    sign: np.ndarray
+    times: np.ndarray
+
+
+def _swaps(parts: list[tuple], groups: tuple[tuple[str, ...], ...], keys: np.ndarray) -> Swaps:
+    """The changes that swapped sentences make. Sentences that stand alike to a group's features have one change."""
+    data, ts, te = column_bytes(pc.utf8_lower(pa.array([x for g in groups for x in g], pa.string())))
+    names = span_hashes(data, ts, te) if len(ts) else np.zeros(0, U64)
+    word, feat = features(data, ts, te) if len(ts) else (np.zeros(0, np.int64), np.zeros(0, U64))
+
+    def code_of(feat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.minimum(np.searchsorted(keys, feat), max(len(keys) - 1, 0))
+        return place, (keys[place] == feat if len(keys) else np.zeros(len(feat), bool))
+
+    place, ok = code_of(feat)
+    own = [set(place[ok & (word == t)].tolist()) for t in range(len(ts))]
+    found: dict[tuple, float] = {}
+    for _, data, s, e, sent in parts:
+        hashes = span_hashes(data, s, e) if len(s) else np.zeros(0, U64)
+        held = np.unique(sent[np.isin(hashes, names)])
+        at = np.flatnonzero(np.isin(sent, held))  # words of sentences with terms
+        if not len(at):
+            continue
+        w, f = features(data, s[at], e[at])
+        code, ok = code_of(f)
+        cell, count = np.unique(sent[at[w[ok]]] * len(keys) + code[ok], return_counts=True)  # words of a sentence with a feature
+        first = 0
+        for g in groups:
+            terms = range(first, first + len(g))
+            first += len(g)
+            codes = np.array(sorted(set().union(*(own[t] for t in terms))), np.int64)
+            for t in terms:
+                mine, m = np.unique(sent[at[hashes[at] == names[t]]], return_counts=True)
+                if not len(mine) or len(g) < 2:
+                    continue
+                want = mine[:, None] * len(keys) + codes
+                where = np.minimum(np.searchsorted(cell, want), len(cell) - 1)
+                n = np.where(cell[where] == want, count[where], 0)
+                status = np.where(n == 0, 0, np.where(n == m[:, None], 1, 2))  # no word has it, the term alone, others too
+                for row, times in zip(*np.unique(status, axis=0, return_counts=True), strict=True):
+                    has = dict(zip(codes.tolist(), row.tolist(), strict=True))
+                    for other in terms:
+                        if other != t:
+                            lost = [c for c in own[t] if has[c] == 1 and c not in own[other]]
+                            new = [c for c in own[other] if has[c] == 0]
+                            key = (tuple(sorted(lost)), tuple(sorted(new)))
+                            found[key] = found.get(key, 0.0) + times / (len(g) - 1)
+    rows = [(r, c, sign) for r, (lost, new) in enumerate(sorted(found)) for cs, sign in ((lost, -1.0), (new, 1.0)) for c in cs]
+    r, c, sign = zip(*rows, strict=True) if rows else ([], [], [])
+    return Swaps(np.array(r, np.int64), np.array(c, np.int64), np.array(sign, float), np.array([found[k] for k in sorted(found)], float))
+
+
 def fit(texts: pa.Array, label: np.ndarray, doc: np.ndarray, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, ridge: float = RIDGE, penalty: float = SWAP_PENALTY, rounds: int = ROUNDS, min_z: float = MIN_Z) -> Model:
     """Model of sentences: a text, a label from 0 to 1 and a document number each."""
     if not len(label) or label.max() <= 0 or label.min() >= 1:
@@ -186,7 +254,6 @@ def fit(texts: pa.Array, label: np.ndarray, doc: np.ndarray, groups: tuple[tuple
     keys, code = np.unique(np.concatenate([x[0] for x in stats]), return_inverse=True)
     stray, chance = (np.bincount(code, weights=np.concatenate([x[k] for x in stats])) for k in (1, 2))
     term_data, ts, te = column_bytes(pc.utf8_lower(pa.array([x for g in groups for x in g], pa.string())))
-    term, term_feat = features(term_data, ts, te)
     whole = span_hashes(term_data, ts, te) if len(ts) else np.zeros(0, U64)
     keys = keys[np.abs(stray) >= min_z * np.sqrt(chance * base * (1 - base))]
     bare = [whole]  # a beginning brings the word that is nothing more, which may well be harmless
@@ -214,31 +281,16 @@ def fit(texts: pa.Array, label: np.ndarray, doc: np.ndarray, groups: tuple[tuple
             hit = np.unique(word[code_of(feat)[1]])
             begins.append(np.unique(_beginnings(part[1], part[2][hit], part[3][hit])))
     sent, x = np.concatenate(sents), np.concatenate(xs)
-    # swapped sentences differ from their origin in the features of two terms
-    place, ok = code_of(term_feat)
-    terms = np.zeros((len(ts), len(keys)))
-    terms[term[ok], place[ok]] = 1
-    seen = np.bincount(x, minlength=len(keys))[code_of(whole)[0]] if len(whole) else np.zeros(0)
-    left, right, times, at = [], [], [], 0
-    for g in groups:
-        for i in range(at, at + len(g)):
-            for j in range(at, at + len(g)):
-                if i != j and seen[i]:
-                    left.append(i)
-                    right.append(j)
-                    times.append(seen[i] / (len(g) - 1))
-        at += len(g)
-    left, right, times = np.array(left, np.int64), np.array(right, np.int64), np.array(times, float)
+    swaps = _swaps(parts, groups, keys)
     w, bias = np.zeros(len(keys)), float(np.log(base / (1 - base)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = np.bincount(sent, weights=w[x], minlength=len(label)) + bias
         r = 1 / (1 + np.exp(np.clip(-z, -500, 500))) - label
         g = np.bincount(x, weights=r[sent], minlength=len(w)) + ridge * w
-        if len(left):
-            u = terms @ w
-            d = penalty * times * (u[left] - u[right])
-            g += (np.bincount(left, weights=d, minlength=len(u)) - np.bincount(right, weights=d, minlength=len(u))) @ terms
+        if len(swaps.times):
+            change = np.bincount(swaps.row, weights=swaps.sign * w[swaps.feature], minlength=len(swaps.times))
+            g += penalty * np.bincount(swaps.feature, weights=swaps.sign * (swaps.times * change)[swaps.row], minlength=len(w))
         gb = float(r.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -270,7 +322,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     sample = d.where(draw).join(y.where(draw), "doc_id").select("doc_id", "text", "toxic").checkpoint()
     rows = sample.mapInArrow(_labelled, "text string, toxic double, doc bigint")
-    got = rows.groupBy("text").agg(F.avg("toxic").alias("toxic"), F.min("doc").alias("doc")).toArrow().combine_chunks().sort_by("text")  # the same model however rows arrive
+    rows = rows.groupBy("text").agg(F.avg("toxic").alias("toxic"), F.min("doc").alias("doc")).checkpoint()
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    share = F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1_000_003)) < int(1_000_003 * min(1.0, MAX_SENTENCE_BYTES / max(size, 1)) + 1)
+    got = rows.where(share).toArrow().combine_chunks().sort_by("text")  # the same model however rows arrive
     text = got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string())
     model = fit(text, got["toxic"].to_numpy(), got["doc"].to_numpy(), **kw)
     shipped = docs.sparkSession.sparkContext.broadcast(model)

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lectern.llm import toxicity as tox
+from lectern.llm._vec import column_bytes, word_spans
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, toxic string"
 
@@ -60,6 +61,82 @@ def test_swapped_identity_terms_hardly_change_the_score(data, model):
     assert np.ptp(held.evidence(pair)[:, 0]) < 0.3 * np.ptp(free.evidence(pair)[:, 0])
 
 
+def dense_fit(texts, label, groups, keys, rounds):
+    """The same model by dense matrices over sets of features; every swapped sentence is written out."""
+    def bag(words):
+        data, s, e = column_bytes(pa.array([" ".join(words)]))
+        ws, we, _ = word_spans(data, s, e)
+        return set(tox.features(data, ws, we)[1].tolist()) if len(ws) else set()
+
+    place = {int(k): i for i, k in enumerate(keys)}
+
+    def row(words):
+        out = np.zeros(len(keys))
+        out[[place[f] for f in bag(words) if f in place]] = 1
+        return out
+
+    sents = [t.split() for t in texts]
+    x = np.stack([row(w) for w in sents])
+    swapped, weight = [], []
+    for k, words in enumerate(sents):
+        for g in groups:
+            for t in set(words) & set(g):
+                for other in set(g) - {t}:
+                    swapped.append(row([other if w == t else w for w in words]) - x[k])
+                    weight.append(1 / (len(g) - 1))
+    d, c = np.stack(swapped), np.array(weight)
+    base = label.mean()
+    w, bias = np.zeros(len(keys)), np.log(base / (1 - base))
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    for t in range(1, rounds + 1):
+        r = 1 / (1 + np.exp(-(x @ w + bias))) - label
+        g, gb = x.T @ r + tox.RIDGE * w + tox.SWAP_PENALTY * d.T @ (c * (d @ w)), r.sum()
+        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        rate = 0.2 * (1 - 0.8 * t / rounds)
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-9)
+    return w, bias
+
+
+def test_against_a_dense_fit_with_every_sentence_swapped():
+    """Sentences that hold two terms of a group, a term twice, or words that begin like one."""
+    rng = random.Random(6)
+    groups = (("muslim", "christian", "jewish"), ("women", "men"), ("frauen", "männer"))
+    words = [f"w{i}" for i in range(12)] + ["vilex", "muslims", "womens", "menace", "jewishness"]
+    texts, label = [], []
+    for i in range(150):
+        own = [rng.choice(words) for _ in range(rng.randint(2, 6))] + rng.choices([x for g in groups for x in g], k=rng.randint(0, 3))
+        rng.shuffle(own)
+        texts.append(" ".join(own))
+        label.append(float("vilex" in own or rng.random() < 0.1 + 0.3 * ("muslim" in own)))
+    label = np.array(label)
+    model = tox.fit(pa.array(texts), label, np.arange(150), groups=groups, rounds=40, min_z=0.5)
+    w, bias = dense_fit(texts, label, groups, model.keys, 40)
+    assert len(model.keys) > 30 and np.allclose(model.weights, w, atol=1e-6) and abs(model.bias - bias) < 1e-6
+
+
+@pytest.mark.parametrize("terms", [("muslim", "christian"), ("muslimische", "jüdische"), ("musulmans", "juifs"), ("judíos", "ateos")])
+def test_fewer_false_positives_on_neutral_mentions(terms):
+    """A group that is named in toxic sentences mostly: neutral mentions are rejected without the penalty, and no more with it."""
+    rng = random.Random(3)
+    words = [f"plain{i}" for i in range(60)]
+    texts, label = [], []
+    for i in range(900):
+        toxic, own = i % 3 == 0, [rng.choice(words) for _ in range(6)]
+        if toxic:
+            own.append(rng.choice(["vilex", "scumz"]) if rng.random() < 0.6 else rng.choice(words))
+        if rng.random() < (0.8 if toxic else 0.02):
+            own.append(terms[0])
+        rng.shuffle(own)
+        texts.append(" ".join(own))
+        label.append(float(toxic))
+    neutral = pa.array([" ".join([rng.choice(words) for _ in range(6)] + [terms[0]]) for _ in range(200)])
+    bad = pa.array([" ".join([rng.choice(words) for _ in range(5)] + ["vilex"]) for _ in range(200)])
+    free, held = (tox.fit(pa.array(texts), np.array(label), np.arange(900), penalty=p) for p in (0.0, tox.SWAP_PENALTY))
+    rate = lambda model, x: (model.evidence(x)[:, 0] > 0).mean()
+    assert rate(free, neutral) > 0.8 and rate(held, neutral) < 0.05 and rate(held, bad) > 0.95
+
+
 def test_held_out_documents_of_the_corpus(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
