@@ -1,27 +1,33 @@
 """Exact repeated passages: per-shard suffix arrays, merged across shards.
 
 A passage is a run of at least ``MIN_WORDS`` words that also occurs in another document. The
-result is exact: the union of all windows of ``MIN_WORDS`` words that two documents share.
+result is the union of all windows of ``MIN_WORDS`` words that two documents share. Words are
+compared by 64-bit hashes, windows of different shards by 128 bits.
 
 1. *Candidates.* Each window of ``MIN_WORDS`` words is named by the least hash of its
    ``GRAM``-word grams. Equal windows have equal names, so windows whose name no second
    document has are dropped without loss; about one name in eighteen words is shuffled.
-2. *Shards.* Documents with candidates are laid out by their least shared name, so that copies
-   meet in one shard; a shard is about ``SHARD_WORDS`` words, and a name that very many
-   documents have is spread over several.
-3. *Suffix array* of each shard's candidate segments by Larsson-Sadakane refinement in numpy:
-   only groups not yet told apart are sorted again, by the rank ``h`` words on, h doubling.
+2. *Shards.* The segments of candidate windows are cut out where a text meets its shared names, and
+   only they travel on. They are laid out by their document's least shared name, so that copies
+   meet in one shard; a shard is about ``SHARD_WORDS`` words, and a name that very many documents
+   have is spread over several.
+3. *Suffix array* of each shard's segments by Larsson-Sadakane refinement in numpy: only groups not
+   yet told apart are sorted again, by the rank ``h`` words on, h doubling.
 4. *Kasai.* Common prefixes of neighbours. The recurrence plcp[i] >= plcp[i-1] - 1 holds with
    equality wherever the words before both suffixes agree, so only the other positions are
    compared word by word, all of them at once.
 5. *Merge.* Runs of suffixes with common prefixes of ``MIN_WORDS`` words that two documents
-   share are settled inside the shard. The other runs go, by window hash, to range-free hash
-   partitions of sorted runs, where binary search counts the documents of each.
+   share are settled inside the shard. Of the other runs each shard sends its windows, and of the
+   settled ones a witness, as a run sorted by the window's hash, cut into hash ranges. Where a range's
+   runs meet, every shard's run is looked up in every other's by binary search.
 
-Defined cases: a null text, or one of fewer than ``MIN_WORDS`` words, has no passages; a null
-doc_id takes no part; rows that repeat a doc_id are one document, so they don't repeat each
-other; ``across=False`` also counts repeats inside one document. Every occurrence is reported,
-the first too. An empty table gives an empty result; columns but doc_id and text aren't read.
+``drop_repeated`` removes what ``repeated_passages`` finds, but for the first occurrence.
+
+Defined cases: a null text, or one of fewer than ``MIN_WORDS`` words, has no passages; a text of any
+length is taken whole; a null doc_id takes no part (its row stays as it is); rows that repeat a doc_id
+are one document, so they don't repeat each other; ``across=False`` also counts repeats inside one
+document. Every occurrence is reported, the first too. Ties can't arise. An empty table gives an empty
+result; columns but doc_id and text aren't read, and ``drop_repeated`` passes them on.
 """
 
 from __future__ import annotations
@@ -35,11 +41,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm._graph import _by_key
-from lectern.llm._vec import U64, as_i64, column_bytes, gram_hashes, runs, slices, span_hashes, word_spans
+from lectern.llm._small import free
+from lectern.llm._vec import U64, as_i64, column_bytes, gram_hashes, mix, runs, slices, span_hashes, word_spans
 
 MIN_WORDS, GRAM, SHARD_WORDS, SHARD_DOCS = 50, 16, 1_500_000, 4000
 SPANS = "doc_id bigint, w0 bigint, w1 bigint, c0 bigint, c1 bigint"
-RECORDS = "key bigint, id bigint, many boolean, settled boolean, w0 bigint, w1 bigint, c0 bigint, c1 bigint"
+RECORDS = "key bigint, check bigint, shard bigint, id bigint, many boolean, settled boolean, w0 bigint, w1 bigint, c0 bigint, c1 bigint"
+SEGMENTS = "place bigint, salt bigint, doc_id bigint, w0 bigint, c0 bigint, text string"
+_RECORD = [x.split()[0] for x in RECORDS.split(", ")]
+
+
+def window_keys(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the window that begins at each word."""
+    return gram_hashes(words, length), gram_hashes(mix(words ^ U64(0xD6E8FEB86659FD93)), length)
 
 
 def _slide(x: np.ndarray, w: int, op: Callable) -> np.ndarray:
@@ -194,47 +208,76 @@ class _Shard:
         s, e = runs(label)
         d = doc[own]
         twice = (np.minimum.reduceat(d, s) != np.maximum.reduceat(d, s)) if across else (e - s > 1)
-        key = gram_hashes(words, length)
+        key, check = window_keys(words, length)
+        name = int(mix(np.array([words[0] ^ U64(len(words)), words[-1] ^ U64(int(doc[0]) & (1 << 63) - 1)], U64)).view(np.int64).sum())  # whose run it is
         settled = np.repeat(twice, e - s)
         # settled suffixes become intervals of neighbouring windows; the others travel by window hash
         hit = np.sort(own[settled])
         out = []
+
+        def put(k: np.ndarray, c: np.ndarray, ids: np.ndarray, many: bool, done: bool, *place: np.ndarray) -> None:
+            n = len(ids)
+            out.append((k, c, np.full(n, name), ids, np.full(n, many), np.full(n, done), *place))
+
         if len(hit):
             gap = np.ones(len(hit), bool)
             gap[1:] = (hit[1:] != hit[:-1] + 1) | (at[hit[1:]] != at[hit[:-1]] + 1) | (doc[hit[1:]] != doc[hit[:-1]])
             b = np.flatnonzero(gap)
             last = np.append(b[1:], len(hit)) - 1
             p, q = hit[b], hit[last] + length - 1
-            out.append((np.zeros(len(p), np.int64), doc[p], np.zeros(len(p), bool), np.ones(len(p), bool), at[p], at[q] + 1, c0[p], c1[q]))
-        heads = own[s[twice]]
-        z = np.zeros(len(heads), np.int64)
-        out.append((as_i64(key[heads]), doc[heads], np.ones(len(heads), bool), np.zeros(len(heads), bool), z, z, z, z))
+            zero = np.zeros(len(p), np.int64)
+            put(zero, zero, doc[p], False, True, at[p], at[q] + 1, c0[p], c1[q])
+        p = own[s[twice]]
+        z = np.zeros(len(p), np.int64)
+        put(as_i64(key[p]), as_i64(check[p]), doc[p], True, False, z, z, z, z)
         p = own[~settled]
-        out.append((as_i64(key[p]), doc[p], np.zeros(len(p), bool), np.zeros(len(p), bool), at[p], at[p] + length, c0[p], c1[p + length - 1]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "id", "many", "settled", "w0", "w1", "c0", "c1"])
+        put(as_i64(key[p]), as_i64(check[p]), doc[p], False, False, at[p], at[p] + length, c0[p], c1[p + length - 1])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], _RECORD)
+
 
+def _cut(length: int, gram: int) -> Callable:
+    """The candidate segments of texts (doc_id, text, hot, place, salt), lower-cased, each with the number of its first word and character."""
 
-def _segments(length: int, gram: int, across: bool, shard_words: int) -> Callable:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard()
         for b in batches:
-            ids, hot = b.column("doc_id").to_numpy(), b.column("hot")
+            ids, hot, place, salt = (b.column(c) for c in ("doc_id", "hot", "place", "salt"))
             for lo, hi in slices(b.column("text")):
                 data, s, e = column_bytes(pc.utf8_lower(b.column("text").slice(lo, hi - lo)))
                 ws, we, first = word_spans(data, s, e)
                 words = span_hashes(data, ws, we) if len(ws) else np.zeros(0, U64)
                 names, ok = window_names(words, first, length, gram)
                 chars = np.cumsum((data & 0xC0) != 0x80) - 1  # index of the character at each byte, over the slice
+                rows, w0, c0, text, raw = [], [], [], [], data.tobytes()
                 for r in range(lo, hi):
                     f, g = first[r - lo], first[r - lo + 1]
                     cand = np.flatnonzero(ok[f:g] & np.isin(as_i64(names[f:g]), hot[r].values.to_numpy()))
-                    if not len(cand):
-                        continue
-                    base = chars[s[r - lo]] if len(chars) else 0
-                    cut = np.flatnonzero(np.diff(cand) > length) + 1
-                    for seg in np.split(cand, cut):
-                        p, q = f + seg[0], f + seg[-1] + length
-                        shard.add(ids[r], words[p:q], np.arange(p - f, q - f), chars[ws[p:q]] - base, chars[we[p:q] - 1] + 1 - base)
+                    for seg in np.split(cand, np.flatnonzero(np.diff(cand) > length) + 1) if len(cand) else ():
+                        p, q = f + seg[0], f + seg[-1] + length - 1
+                        rows.append(r)
+                        w0.append(p - f)
+                        c0.append(chars[ws[p]] - chars[s[r - lo]])
+                        text.append(raw[ws[p] : we[q]].decode())
+                pick = pa.array(rows, pa.int64())
+                cols = [place.take(pick), salt.take(pick), ids.take(pick), pa.array(w0, pa.int64()), pa.array(c0, pa.int64()), pa.array(text, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["place", "salt", "doc_id", "w0", "c0", "text"])
+
+    return go
+
+
+def _shards(length: int, across: bool, shard_words: int) -> Callable:
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = _Shard()
+        for b in batches:
+            ids, w0, c0 = (b.column(c).to_numpy() for c in ("doc_id", "w0", "c0"))
+            for lo, hi in slices(b.column("text")):
+                data, s, e = column_bytes(b.column("text").slice(lo, hi - lo))
+                ws, we, first = word_spans(data, s, e)
+                words = span_hashes(data, ws, we) if len(ws) else np.zeros(0, U64)
+                chars = np.cumsum((data & 0xC0) != 0x80) - 1
+                for r in range(lo, hi):
+                    f, g = first[r - lo], first[r - lo + 1]
+                    base = c0[r] - chars[s[r - lo]]
+                    shard.add(ids[r], words[f:g], w0[r] + np.arange(g - f), chars[ws[f:g]] + base, chars[we[f:g] - 1] + 1 + base)
                     if shard.size >= shard_words:
                         if (out := shard.records(length, across)) is not None:
                             yield out
@@ -245,36 +288,114 @@ def _segments(length: int, gram: int, across: bool, shard_words: int) -> Callabl
     return go
 
 
+def _met(name: np.ndarray, shard: np.ndarray, ids: np.ndarray, many: np.ndarray, across: bool) -> np.ndarray:
+    """Which rows, sorted by name, meet another document's row of the same name (``across=False``: another row): every shard's sorted run is looked up in the others' by binary search."""
+    hit = np.zeros(len(name), bool)
+    order = np.argsort(shard, kind="stable")  # each shard's run stays sorted
+    s, e = runs(shard[order])
+    for a, b in zip(s.tolist(), e.tolist(), strict=True):
+        one = order[a:b]
+        lo, hi = np.searchsorted(name, name[one], "left"), np.searchsorted(name, name[one], "right")
+        cuts = np.stack([lo, hi], 1).ravel()
+        witness = np.logical_or.reduceat(np.append(many, False), cuts)[::2]
+        if across:
+            least, most = (op.reduceat(np.append(ids, 0), cuts)[::2] for op in (np.minimum, np.maximum))
+            hit[one] = witness | (least != ids[one]) | (most != ids[one])
+        else:
+            hit[one] = witness | (hi - lo > 1)
+    return hit
+
+
 def _merge(across: bool) -> Callable:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_key(batches):
-            key, ids = t["key"].to_numpy(), t["id"].to_numpy()
-            many = t["many"].to_numpy()
-            pair = np.unique(np.stack([key, ids], 1), axis=0)[:, 0] if across else key  # sorted runs of the shards, merged
-            held = np.searchsorted(pair, key, "right") - np.searchsorted(pair, key, "left")
-            s, e = runs(key)
-            some = np.repeat(np.logical_or.reduceat(many, s), e - s)
-            keep = pa.array(~many & (some | (held > 1)))
-            yield t.select(["id", "w0", "w1", "c0", "c1"]).filter(keep).rename_columns(["doc_id", "w0", "w1", "c0", "c1"]).combine_chunks().to_batches()[0] if pc.any(keep).as_py() else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, ["doc_id", "w0", "w1", "c0", "c1"])
+            key, check, shard, ids, many = (t[c].to_numpy() for c in ("key", "check", "shard", "id", "many"))
+            order = np.lexsort((check, key))
+            new = np.append(True, (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1]))
+            name = np.empty(len(key), np.int64)
+            name[order] = np.cumsum(new) - 1
+            s, e = runs(name[order])
+            alone = np.repeat(e - s == 1, e - s)  # most windows meet nobody
+            look = order[~alone]
+            keep = np.zeros(len(key), bool)
+            if len(look):
+                keep[look] = _met(name[look], shard[look], ids[look], many[look], across) & ~many[look]
+            out = t.select(["id", "w0", "w1", "c0", "c1"]).filter(pa.array(keep)).rename_columns(["doc_id", "w0", "w1", "c0", "c1"])
+            yield from out.combine_chunks().to_batches()
 
     return go
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, across: bool = True, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, start_char, end_char, start_word, n_words): the maximal unions of repeated windows, in characters of the text."""
+def _occurrences(docs: DataFrame, min_words: int, gram: int, across: bool, shard_words: int) -> DataFrame:
+    """(doc_id, w0, w1, c0, c1): intervals whose windows are all repeated."""
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     names = text.mapInArrow(_names(min_words, gram), "key bigint, id bigint")
     hot = names.repartition("key").sortWithinPartitions("key").mapInArrow(_held_twice(across), "key bigint, id bigint")
     hot = hot.groupBy("id").agg(F.collect_set("key").alias("hot"), F.min("key").alias("place")).checkpoint()
     crowd = hot.groupBy("place").agg(F.ceil(F.count("*") / F.lit(SHARD_DOCS)).alias("split"))
-    placed = hot.join(crowd, "place").withColumn("salt", F.expr("pmod(hash(id), split)"))
-    found = text.join(placed, F.col("doc_id") == F.col("id")).repartition("place", "salt").select("doc_id", "text", "hot")
-    records = found.mapInArrow(_segments(min_words, gram, across, shard_words), RECORDS).checkpoint()
+    placed = hot.join(crowd, "place").withColumn("salt", F.expr("cast(pmod(hash(id), split) as bigint)"))
+    segments = text.join(placed, F.col("doc_id") == F.col("id")).select("doc_id", "text", "hot", "place", "salt").mapInArrow(_cut(min_words, gram), SEGMENTS)
+    records = segments.repartition("place", "salt").mapInArrow(_shards(min_words, across, shard_words), RECORDS).checkpoint()
     settled = records.where("settled").select(F.col("id").alias("doc_id"), "w0", "w1", "c0", "c1")
     merged = records.where("not settled").repartition("key").sortWithinPartitions("key").mapInArrow(_merge(across), SPANS)
+    return settled.unionByName(merged)
+
+
+def _united(spans: DataFrame) -> DataFrame:
+    """(doc_id, w0, w1, c0, c1) of the unions of overlapping or touching intervals."""
     w = Window.partitionBy("doc_id").orderBy("w0", "w1")
-    spans = settled.unionByName(merged)
-    spans = spans.withColumn("new", (F.col("w0") > F.coalesce(F.max("w1").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+    before = F.coalesce(F.max("w1").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    spans = spans.withColumn("new", (F.col("w0") > before).cast("int"))
     spans = spans.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = spans.groupBy("doc_id", "island").agg(F.min("c0").alias("start_char"), F.max("c1").alias("end_char"), F.min("w0").alias("start_word"), (F.max("w1") - F.min("w0")).alias("n_words"))
-    return out.drop("island")
+    return spans.groupBy("doc_id", "island").agg(F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("island")
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, across: bool = True, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(doc_id, start_char, end_char, start_word, n_words): the maximal unions of repeated windows, in characters of the text."""
+    out = _united(_occurrences(docs, min_words, gram, across, shard_words))
+    return out.select("doc_id", F.col("c0").alias("start_char"), F.col("c1").alias("end_char"), F.col("w0").alias("start_word"), (F.col("w1") - F.col("w0")).alias("n_words"))
+
+
+def _windows(length: int) -> Callable:
+    """(key, check, doc_id, w0, w1, c0, c1) of every window inside the passages of texts (doc_id, text, spans)."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, spans = b.column("doc_id").to_numpy(), b.column("spans")
+            for lo, hi in slices(b.column("text")):
+                data, s, e = column_bytes(pc.utf8_lower(b.column("text").slice(lo, hi - lo)))
+                ws, we, first = word_spans(data, s, e)
+                key, check = window_keys(span_hashes(data, ws, we) if len(ws) else np.zeros(0, U64), length)
+                chars = np.cumsum((data & 0xC0) != 0x80) - 1
+                for r in range(lo, hi):
+                    f, base = first[r - lo], chars[s[r - lo]] if len(ws) else 0
+                    w0 = np.concatenate([np.arange(x["start_word"], x["start_word"] + x["n_words"] - length + 1) for x in spans[r].as_py()])
+                    p = f + w0
+                    cols = (as_i64(key[p]), as_i64(check[p]), np.full(len(p), ids[r]), w0, w0 + length, chars[ws[p]] - base, chars[we[p + length - 1] - 1] + 1 - base)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "check", "doc_id", "w0", "w1", "c0", "c1"])
+
+    return go
+
+
+def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``docs`` without repeated passages: of equal windows the first (by doc_id, then by place) stays, the others' words are cut out.
+
+    What is cut takes the characters up to its last word with it; an n_chars column that held the length is
+    renewed. Rows that repeat a doc_id keep their texts, since it is unknown which of them a place is in.
+    """
+    again = docs.groupBy(F.col("doc_id").cast("bigint").alias("d")).agg(F.count("*").alias("n")).where("n > 1").select("d").checkpoint()
+    spans = repeated_passages(docs, min_words, gram, True, shard_words).join(again, F.col("doc_id") == F.col("d"), "left_anti")
+    spans = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_word", "n_words"))).alias("spans"))
+    held = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(spans, "doc_id")
+    windows = held.mapInArrow(_windows(min_words), "key bigint, check bigint, " + SPANS).checkpoint()
+    first = windows.groupBy("key", "check").agg(F.min(F.struct("doc_id", "w0")).alias("first"))
+    gone = _united(windows.join(first, ["key", "check"]).where("struct(doc_id, w0) <> first").select("doc_id", "w0", "w1", "c0", "c1"))
+    mine, cuts = free("cut_id", docs.columns), free("cuts", docs.columns)
+    gone = gone.groupBy(F.col("doc_id").alias(mine)).agg(F.array_sort(F.collect_list(F.struct("c0", "c1"))).alias(cuts))
+    both = docs.join(gone, docs["doc_id"].cast("bigint") == F.col(mine), "left")
+    start = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(cuts, lambda c: c["c1"]))
+    stop = F.concat(F.transform(cuts, lambda c: c["c0"]), F.array(F.length("text").cast("bigint")))
+    kept = F.array_join(F.transform(F.arrays_zip(start.alias("a"), stop.alias("b")), lambda p: F.substring(docs["text"], (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int"))), "")
+    changed = F.when(F.col(cuts).isNull(), docs["text"]).otherwise(kept)
+    columns = [changed.alias(c) if c == "text" else F.when((docs[c] == F.length(docs["text"])) & F.col(cuts).isNotNull(), F.length(kept)).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    return both.select(*columns)

@@ -4,11 +4,15 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lectern.llm import suffix_dedup as sd
+from lectern.llm._vec import row_words
 
 SCHEMA = "doc_id bigint, text string, id int, key string, hot string, place int"
 
@@ -100,3 +104,63 @@ def test_many_copies_of_one_document(spark):
     p = " ".join(f"c{i}" for i in range(70))
     rows = [(i, f"{p} own{i}") for i in range(300)]
     assert found(sd.repeated_passages(frame(spark, rows), shard_words=2000)) == {i: set(range(70)) for i in range(300)}
+
+
+@pytest.mark.parametrize("across", [True, False])
+def test_exact_where_hashes_collide(monkeypatch, across):
+    """Window hashes of four bits: what tells windows of different shards apart is the second hash."""
+    whole = sd.window_keys
+    monkeypatch.setattr(sd, "window_keys", lambda words, length: (whole(words, length)[0] & np.uint64(15), whole(words, length)[1]))
+    rows = made(4)
+    hot = pa.array([sorted({int(x) for x in sd.window_names(*words_of(t), 12, 4)[0].view(np.int64)}) for _, t in rows], pa.list_(pa.int64()))
+    n = len(rows)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows]), hot, pa.array([0] * n), pa.array([0] * n)], ["doc_id", "text", "hot", "place", "salt"])
+    segments = list(sd._cut(12, 4)(iter([batch])))
+    records = pa.Table.from_batches(list(sd._shards(12, across, 60)(iter(segments))))
+    settled = records.filter(records["settled"]).to_pylist()
+    rest = records.filter(pc.invert(records["settled"])).sort_by("key")
+    merged = [r for b in sd._merge(across)(iter(rest.combine_chunks().to_batches())) for r in b.to_pylist()]
+    out = {}
+    for r in [*({**x, "doc_id": x["id"]} for x in settled), *merged]:
+        out.setdefault(r["doc_id"], set()).update(range(r["w0"], r["w1"]))
+    assert out == brute(rows, 12, across) and len({r["shard"] for r in records.to_pylist()}) > 5
+
+
+def words_of(text):
+    return row_words(pa.array([text]))
+
+
+@pytest.mark.parametrize("seed", [1, 5])
+def test_dropped_repeats_against_brute_force(spark, seed):
+    """Of equal windows the first stays; words of the others go."""
+    rows = made(seed)
+    words = [(i, [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", t)]) for i, t in rows]
+    first, gone = {}, {}
+    repeated = brute(rows, 12)
+    for i, w in words:
+        for k in range(len(w) - 11):
+            key = tuple(x[0] for x in w[k : k + 12])
+            if first.setdefault(key, (i, k)) != (i, k) and set(range(k, k + 12)) <= repeated.get(i, set()):
+                gone.setdefault(i, set()).update(range(k, k + 12))
+    want = {}
+    for (i, w), (_, text) in zip(words, rows, strict=True):
+        out, at = "", 0
+        for a in sorted(gone.get(i, ())):
+            if a - 1 not in gone[i]:
+                out += text[at : w[a][1]]
+            at = w[a][2]
+        want[i] = out + text[at:]
+    docs = frame(spark, rows).withColumn("n_chars", F.length("text")).withColumn("cuts", F.lit(3))
+    got = sd.drop_repeated(docs, 12, 4)
+    assert got.columns == docs.columns and got.schema == docs.schema
+    rows_out = got.collect()
+    assert {r.doc_id: r.text for r in rows_out} == want and sum(map(len, want.values())) < sum(len(t) for _, t in rows)
+    assert all(r.n_chars == len(r.text) for r in rows_out)
+
+
+def test_dropped_repeats_in_odd_tables(spark):
+    p = " ".join(f"Wort{i}" for i in range(60))
+    rows = [(1, "äö " + p + "!"), (2, p.lower() + " x"), (3, p), (3, p), (4, None), (None, p), (5, "")]
+    got = sorted(((r.doc_id, r.text) for r in sd.drop_repeated(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, "äö " + p + "!"), (2, " x"), (3, p), (3, p), (4, None), (None, p), (5, "")], key=str)
+    assert sd.drop_repeated(frame(spark, rows).limit(0)).count() == 0
