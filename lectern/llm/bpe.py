@@ -198,6 +198,7 @@ class Codec:
 
     def _forget(self) -> None:
         self.seen, self.seen_at, self.seen_n, self.flat = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.seen_check = np.zeros(0, U64)
 
     def _known(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Rank of each span that is a token, -1 for the others."""
@@ -217,6 +218,7 @@ class Codec:
     def _merged(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``flat``, number of ids) of spans that are no tokens."""
         uniq, one, back = np.unique(h, return_index=True, return_inverse=True)
+        check = span_hashes(data, s, e, 0x5EED)
         at = np.searchsorted(self.seen, uniq)
         have = (at < len(self.seen)) & (self.seen[np.minimum(at, max(len(self.seen) - 1, 0))] == uniq) if len(self.seen) else np.zeros(len(uniq), bool)
         new = np.flatnonzero(~have)
@@ -233,8 +235,15 @@ class Codec:
             self.seen = np.insert(self.seen, place, uniq[new])
             self.seen_at = np.insert(self.seen_at, place, begin)
             self.seen_n = np.insert(self.seen_n, place, n)
+            self.seen_check = np.insert(self.seen_check, place, check[one[new]])
             at = np.searchsorted(self.seen, uniq)
-        return self.seen_at[at][back], self.seen_n[at][back]
+        place, n = self.seen_at[at][back], self.seen_n[at][back]
+        other = np.flatnonzero(self.seen_check[at][back] != check)  # equal names, other bytes: merged one by one
+        for k in other.tolist():
+            ids = np.array(merge_bytes(data[s[k] : e[k]].tobytes(), self.ranks), np.int32)
+            place[k], n[k] = len(self.flat), len(ids)
+            self.flat = np.concatenate([self.flat, ids])
+        return place, n
 
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first id of each row plus the total)."""
@@ -305,6 +314,24 @@ def encode(docs: DataFrame, vocabulary: str, columns: tuple[str, ...] = ("doc_id
     return chosen.mapInArrow(go, schema)
 
 
+def count(docs: DataFrame, vocabulary: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``columns`` of ``docs`` with n_tokens; no ids are kept."""
+    raw = _vocabulary(docs, vocabulary)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(raw.value)
+        for b in batches:
+            col = b.column("__text")
+            for lo, hi in slices(col, SLICE):
+                part = col.slice(lo, hi - lo)
+                _, first = own.encode(*column_bytes(part))
+                n = pa.array(np.diff(first).astype(np.int64), mask=np.asarray(part.is_null()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in columns), n], [*columns, "n_tokens"])
+
+    chosen = docs.select(*columns, docs["text"].cast("string").alias("__text"))
+    return chosen.mapInArrow(go, StructType([*(chosen.schema[c] for c in columns), StructField("n_tokens", LongType())]))
+
+
 def decode(tokens: DataFrame, vocabulary: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` of ``tokens`` with the text of token_ids."""
     raw = _vocabulary(tokens, vocabulary)

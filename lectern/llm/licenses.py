@@ -11,10 +11,12 @@ reach ``MIN_SCORE`` of the longer of the two, and of each group of ``MARKS`` tha
 (what tells a licence from its siblings: name, version, conditions) the span must hold one, or have
 it at most ``DRIFT`` words off, which makes it part of the span.
 
-The template table is fixed and small (its rows are counted before it is broadcast); the votes
-are combined before they are shuffled; texts are read again only for documents with spans.
+The template table is fixed and small (its bytes are bounded before it is broadcast); the votes
+are combined before they are shuffled; the documents with spans are broadcast where their measured
+size allows, and joined by shuffle beyond that; texts are read again only for them. Templates are
+notices, grants and conditions of licences, and the lines that name one by its SPDX identifier.
 
-Defined cases: a null, empty or shorter text has no grams and no spans; a null doc_id is carried
+Defined cases: a text of any length is scanned whole; a null, empty or shorter text has no grams and no spans; a null doc_id is carried
 along and told apart by its text; rows that repeat a doc_id with the same text give the spans
 once; of spans that overlap, whatever the template, the one with the most words in common stays, ties going
 to the better score and then to the first; an empty table gives an empty result; columns other than doc_id and text aren't read.
@@ -30,10 +32,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.llm._small import MAX_BROADCAST_BYTES, small
 from lectern.llm._vec import U64, as_i64, column_bytes, gram_hashes, mix, row_words, slices, span_hashes, word_spans
 
-K, DRIFT, MIN_VOTES, MIN_SCORE, MAX_BROADCAST_ROWS = 3, 3, 0.2, 0.7, 50_000
+K, DRIFT, MIN_VOTES, MIN_SCORE = 3, 3, 0.2, 0.7
 
+#: Identifiers that a line of ``SPDX-License-Identifier`` may name.
+SPDX = tuple(
+    """0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0
+    CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.2
+    GFDL-1.3-only GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only
+    LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 OSL-3.0 PostgreSQL Python-2.0 Unlicense UPL-1.0 WTFPL Zlib""".split()
+)
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -76,6 +86,29 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("BSD-4-Clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at"),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2 or, as soon they will be approved by the European Commission, subsequent versions of the EUPL"),
+    ("CDDL-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\"). You may not use this file except in compliance with the License."),
+    ("MS-PL", "This license governs use of the accompanying software. If you use the software, you accept this license. If you do not accept the license, do not use the software."),
+    ("PostgreSQL", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("GFDL-1.3", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation"),
+    ("GFDL-1.2", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.2 or any later version published by the Free Software Foundation"),
+    ("Artistic-2.0", "Licensed under the Artistic License 2.0."),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+    ("CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("NCSA", "Licensed under the University of Illinois/NCSA Open Source License."),
+    ("LGPL-2.1", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation"),
+    *((name, f"SPDX-License-Identifier: {name}") for name in SPDX),
 )
 
 #: Groups of equivalent phrases; a template asks for those groups that its own text holds.
@@ -84,6 +117,9 @@ MARKS: tuple[tuple[str, ...], ...] = (
     ("gnu general public", "gnu gpl"), ("gnu lesser general public", "gnu lgpl"), ("gnu affero general public", "gnu agpl"),
     *((f"version {v}", f"v {v}", f"v{v}", f"license {v}", f"licence {v}") for v in ("1.0", "1.1", "2.0", "2.1")), ("version 2", "v 2", "v2"), ("version 3", "v 3", "v3"),
     ("cc by 4.0", "attribution 4.0"), ("by sa 4.0", "attribution sharealike 4.0"), ("by nd 4.0", "attribution noderivatives 4.0", "attribution noderivs 4.0"), ("by nc 4.0", "attribution noncommercial 4.0"),
+    ("attribution 3.0",), ("attribution sharealike 3.0",), ("by advertising", "all advertising"), ("boost software",), ("eclipse public license 2.0", "eclipse public license v 2.0", "eclipse public license v2.0"),
+    ("eclipse public license 1.0", "eclipse public license v 1.0", "eclipse public license v1.0"), ("eupl",), ("common development and distribution",), ("without a written agreement",), ("open font",), ("artistic",), ("ncsa",),
+    ("free documentation license version 1.3",), ("free documentation license version 1.2",), ("person or organization",), ("you want to public license",), ("unencumbered",), *((f"identifier {name}",) for name in SPDX),
     ("by nc sa 4.0", "attribution noncommercial sharealike 4.0"), ("by nc nd 4.0", "attribution noncommercial noderivatives 4.0", "attribution noncommercial noderivs 4.0"),
 )
 
@@ -159,15 +195,36 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 def best_window(words: np.ndarray, template: np.ndarray, lo: int, hi: int, marks: list[list[np.ndarray]] = ()) -> tuple[float, int, int]:
     """(score, first word, end) of the span around [lo, hi) that fits the template best: its ends sit on common words. 0 without its marks."""
     shared = np.isin(words, template)
-    margin = len(template)
-    a, b = max(0, lo - margin), min(len(words), hi + margin)
-    start, end = lo, hi
-    while start > a and shared[start - 1]:
-        start -= 1
-    while end < b and shared[end]:
-        end += 1
-    spans = {span for x in ((lo, hi), (start, end)) if (span := marked(words, *x, marks))}
-    return max(((common(words[p:q], template) / max(q - p, len(template), 1), p, q) for p, q in spans), default=(0.0, lo, hi))
+    size = len(template)
+    a, b = max(0, lo - size), min(len(words), hi + size)
+    room = size * (1 - MIN_SCORE) / MIN_SCORE  # words of its own that a good span may have
+
+    def outward(at: int, step: int) -> list[int]:
+        """Ends of the span on one side: behind common words, then over gaps of up to ``DRIFT`` words to the next common ones."""
+        out, foreign = [], 0
+        while True:
+            begin = at
+            while a <= at + min(step, 0) and at + max(step, 0) <= b and shared[at + min(step, 0)]:
+                at += step
+            if not out or at != begin:
+                out.append(at)
+            gap = next((g for g in range(1, DRIFT + 1) if a <= at + step * g + min(step, 0) and at + step * g + max(step, 0) <= b and shared[at + step * g + min(step, 0)]), None)
+            if gap is None or (foreign := foreign + gap) > room:
+                return out
+            at += step * gap
+
+    def measured(p: int, q: int) -> tuple[float, int, int]:
+        if (span := marked(words, p, q, marks)) is None:
+            return 0.0, lo, hi
+        p, q = span
+        return common(words[p:q], template) / max(q - p, size, 1), p, q
+
+    starts, ends = outward(lo, -1), outward(hi, 1)
+    best = max(measured(lo, hi), measured(starts[0], ends[0]))
+    if best[0] < 1.0 and (len(starts) > 1 or len(ends) > 1):  # edits near the ends
+        start = max(starts, key=lambda p: measured(p, ends[0])[0])
+        best = max(best, *(measured(start, q) for q in ends))
+    return best
 
 
 def unions(spans: list[dict], sizes: list[int]) -> list[tuple[int, int, int]]:
@@ -190,7 +247,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
     sizes = [len(w) for w in template_words(templates)]
     text = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")).where("text is not null")
     where = template_table(spark, templates)
-    if sum(sizes) <= MAX_BROADCAST_ROWS:
+    if 16 * sum(sizes) <= MAX_BROADCAST_BYTES:  # a row of it is three numbers
         where = F.broadcast(where)
     hits = text.mapInArrow(_grams, "doc_id bigint, row bigint, p int, gram bigint").join(where, "gram")
     votes = hits.groupBy("doc_id", "row", "t", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.count_distinct("p").alias("votes"), F.min("p").alias("p0"), (F.max("p") + K).alias("p1"))
@@ -205,8 +262,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
     least = F.greatest(F.lit(1.0), F.lit(MIN_VOTES) * (size - (K - 1)))
     spans = spans.withColumn("all", F.sum("votes").over(Window.partitionBy("doc_id", "row", "t", "cluster"))).where(F.col("all") >= least)
     found = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("t", "cluster", "p0", "p1", "votes"))).alias("spans")).withColumnsRenamed({"doc_id": "d"}).checkpoint()
-    small = F.broadcast(found) if found.count() <= MAX_BROADCAST_ROWS else found
-    back = text.join(small, text["doc_id"].eqNullSafe(small["d"])).select("doc_id", "text", "row", "spans")
+    found = small(found)
+    back = text.join(found, text["doc_id"].eqNullSafe(found["d"])).select("doc_id", "text", "row", "spans")
     names = [n for n, _ in templates]
     bodies = template_words(templates)
     marks = template_marks(bodies)

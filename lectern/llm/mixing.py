@@ -12,26 +12,33 @@ documents in the order of md5(seed/epoch/doc_id), doc_id, as long as the running
 stays within the rest. The cut is found without a window over a whole leaf: 4096 hash buckets
 per leaf are summed, and only the bucket that holds the cut is sorted.
 
-Tokens are estimated as ceil(characters / 4).
+Tokens are those of a column that the caller counts (``tokens``); without one they are estimated by
+script, ceil(dense characters / 1.5 + others / 4). The tables at hand name no domain, so the default
+``domain_of`` makes one of a source's number; any other column expression can stand in for it.
 
-Defined cases: a document without text (null or empty) has no tokens and is not selected; a null
-language or source counts as the leaf named ``none``, a source without a number as domain
+Defined cases: a document without tokens (a null or empty text, or none counted) is not selected; a
+null language or source counts as the leaf named ``none``, a source without a number as domain
 ``misc``; a null doc_id sorts as -1 within its leaf; rows that repeat a doc_id in one leaf stand or
-fall together at the cut; an unknown name has weight 1 and a weight of 0 excludes; an empty table
-gives an empty result. Columns besides doc_id, text, lang and source are carried along.
+fall together at the cut; texts of any length count whole; an unknown name has weight 1 and a weight
+of 0 excludes; an empty table gives an empty result. The caller's columns travel inside one struct,
+so they are carried along whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import DENSE_RANGES, count_dense
+from lectern.llm._small import small
+
 SEED, MAX_EPOCHS, SHARE = 7, 3, 1.0
 DOMAIN_WEIGHTS = {"d0": 5, "d1": 3, "d2": 2}
 LANG_WEIGHTS = {"en": 6, "de": 2, "fr": 2, "es": 1}
 SOURCE_WEIGHTS: dict[str, int] = {}
-LEVELS = ("__domain", "__lang", "__source")
-MAX_BROADCAST_ROWS = 50_000
+LEVELS = ("domain", "lang", "source")
 
 
 def domain_of(source: Column) -> Column:
@@ -46,15 +53,20 @@ def _weight(name: Column, weights: dict[str, int]) -> Column:
     return out.cast("bigint")
 
 
-def with_leaf(docs: DataFrame) -> DataFrame:
+def estimated_tokens(text: Column) -> Column:
+    """ceil(dense / 1.5 + others / 4) in whole numbers; 0 for a null text."""
+    dense, size = count_dense(text), F.length(text)
+    return F.coalesce(F.floor((F.lit(5) * dense + F.lit(3) * size + 11) / 12), F.lit(0)).cast("bigint")
+
+
+def with_leaf(docs: DataFrame, tokens: str | None = None, domain: Callable[[Column], Column] = domain_of) -> DataFrame:
+    """(row, domain, lang, source, tokens, id): ``docs`` packed into ``row`` beside its leaf; ``tokens`` names a column that holds their number."""
     source = docs["source"].cast("string")
-    return docs.withColumns({
-        "__domain": domain_of(source),
-        "__lang": F.coalesce(docs["lang"].cast("string"), F.lit("none")),
-        "__source": F.coalesce(source, F.lit("none")),
-        "__tokens": F.expr("(length(coalesce(cast(text as string), '')) + 3) div 4"),
-        "__id": F.coalesce(docs["doc_id"].cast("bigint"), F.lit(-1)),
-    })
+    number = estimated_tokens(docs["text"].cast("string")) if tokens is None else F.coalesce(docs[tokens].cast("bigint"), F.lit(0))
+    return docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), domain(source).alias("domain"), F.coalesce(docs["lang"].cast("string"), F.lit("none")).alias("lang"),
+        F.coalesce(source, F.lit("none")).alias("source"), number.alias("tokens"), F.coalesce(docs["doc_id"].cast("bigint"), F.lit(-1)).alias("id"),
+    )
 
 
 def _fill(nodes: DataFrame, parent: list[str], name: str, weights: dict[str, int]) -> DataFrame:
@@ -88,50 +100,47 @@ def leaf_plan(leaves: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPO
 
 
 def _order(seed: int, epochs: str = "epochs") -> Column:
-    return F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(epochs).cast("string"), F.col("__id").cast("string")))
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(epochs).cast("string"), F.col("id").cast("string")))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` is written down; it is broadcast where its counted rows allow, else joined as it is."""
-    df = df.checkpoint()
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
-
-
-def plan(docs: DataFrame, seed: int = SEED, **budget) -> DataFrame:
+def plan(docs: DataFrame, seed: int = SEED, tokens: str | None = None, domain: Callable[[Column], Column] = domain_of, **budget) -> DataFrame:
     """Per leaf: epochs to take whole, and the last (hash, id) of the next epoch's prefix (null: none)."""
-    slim = with_leaf(docs).select(*LEVELS, "__tokens", "__id").where("__tokens > 0").checkpoint()
-    leaves = leaf_plan(slim.groupBy(*LEVELS).agg(F.sum("__tokens").alias("tokens")), **budget)
-    leaves = _small(leaves)
-    hashed = slim.join(leaves.drop("tokens", "budget").where("rest > 0"), list(LEVELS)).withColumn("__h", _order(seed)).withColumn("__b", F.substring("__h", 1, 3))
+    slim = with_leaf(docs, tokens, domain).select(*LEVELS, "tokens", "id").where("tokens > 0").checkpoint()
+    leaves = small(leaf_plan(slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), **budget).checkpoint())
+    hashed = slim.join(leaves.drop("tokens", "budget").where("rest > 0"), list(LEVELS)).withColumn("h", _order(seed)).withColumn("b", F.substring("h", 1, 3))
     leaf = Window.partitionBy(*LEVELS)
-    sums = hashed.groupBy(*LEVELS, "__b").agg(F.sum("__tokens").alias("t"), F.first("rest").alias("rest"), F.max(F.struct("__h", "__id")).alias("top"))
-    sums = sums.withColumn("upto", F.sum("t").over(leaf.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))).checkpoint()
+    sums = hashed.groupBy(*LEVELS, "b").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"), F.max(F.struct("h", "id")).alias("top"))
+    sums = sums.withColumn("upto", F.sum("t").over(leaf.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))).checkpoint()
     whole = sums.where("upto <= rest").groupBy(*LEVELS).agg(F.max("top").alias("cut"))
-    edge = sums.where("upto > rest and upto - t < rest").select(*LEVELS, "__b", (F.col("upto") - F.col("t")).alias("before"))
-    inside = hashed.join(_small(edge), [*LEVELS, "__b"]).withColumn("run", F.col("before") + F.sum("__tokens").over(leaf.orderBy("__h", "__id")))
-    part = inside.where("run <= rest").groupBy(*LEVELS).agg(F.max(F.struct("__h", "__id")).alias("cut"))
+    edge = sums.where("upto > rest and upto - t < rest").select(*LEVELS, "b", (F.col("upto") - F.col("t")).alias("before"))
+    inside = hashed.join(small(edge.checkpoint()), [*LEVELS, "b"]).withColumn("run", F.col("before") + F.sum("tokens").over(leaf.orderBy("h", "id")))
+    part = inside.where("run <= rest").groupBy(*LEVELS).agg(F.max(F.struct("h", "id")).alias("cut"))
     cuts = whole.unionByName(part).groupBy(*LEVELS).agg(F.max("cut").alias("cut"))
     return leaves.join(cuts, list(LEVELS), "left").select(*LEVELS, "epochs", "cut")
 
 
-def mix(docs: DataFrame, seed: int = SEED, **budget) -> DataFrame:
-    """``docs`` with one row for each copy taken, and ``__epoch``, the epoch it is from, with the leaf's columns."""
-    chosen = _small(plan(docs, seed, **budget).withColumnsRenamed({"epochs": "__epochs", "cut": "__cut"}))
-    rows = with_leaf(docs).where("__tokens > 0").join(chosen, list(LEVELS)).withColumn("__h", _order(seed, "__epochs"))
-    copies = F.col("__epochs") + F.coalesce((F.struct("__h", "__id") <= F.col("__cut")).cast("bigint"), F.lit(0))
-    rows = rows.withColumn("__copies", copies).where("__copies > 0")
-    return rows.withColumn("__epoch", F.explode(F.expr("sequence(0L, __copies - 1)"))).drop("__epochs", "__cut", "__h", "__copies")
+def take(docs: DataFrame, planned: DataFrame, seed: int = SEED, tokens: str | None = None, domain: Callable[[Column], Column] = domain_of) -> DataFrame:
+    """(row, epoch, domain, lang, source, tokens): a row of ``docs`` for each copy that the plan takes.
 
+    Where ``docs`` lacks the column of the counts that ``planned`` was made with, documents with a text are those with tokens.
+    """
+    rows = with_leaf(docs, tokens, domain).where("tokens > 0")
+    chosen = small(planned.withColumnRenamed("epochs", "whole").checkpoint())
+    rows = rows.join(chosen, list(LEVELS)).withColumn("h", _order(seed, "whole"))
+    rows = rows.withColumn("copies", F.col("whole") + F.coalesce((F.struct("h", "id") <= F.col("cut")).cast("bigint"), F.lit(0))).where("copies > 0")
+    return rows.select("row", F.explode(F.expr("sequence(0L, copies - 1)")).alias("epoch"), *LEVELS, "tokens")
 
-def select_mix(docs: DataFrame, **kw) -> DataFrame:
-    """The columns of ``docs``, a row for each copy."""
-    return mix(docs, **kw).select(*docs.columns)
 
+def select_mix(docs: DataFrame, counted: DataFrame | None = None, tokens: str | None = None, seed: int = SEED, domain: Callable[[Column], Column] = domain_of, **budget) -> DataFrame:
+    """The columns of ``docs``, a row for each copy. ``counted`` (doc_id, lang, source, ``tokens``) may stand in for ``docs`` in the plan, so that texts are counted once."""
+    planned = plan(docs if counted is None else counted, seed, tokens, domain, **budget)
+    return take(docs, planned, seed, tokens if counted is None else None, domain).select("row.*")
 
-def report(docs: DataFrame, **kw) -> DataFrame:
+
+def report(docs: DataFrame, tokens: str | None = None, seed: int = SEED, domain: Callable[[Column], Column] = domain_of, **budget) -> DataFrame:
     """(doc_id, epoch, domain, lang, source, tokens) of every copy taken."""
-    slim = docs.select("doc_id", "text", "lang", "source")
-    return mix(slim, **kw).select("doc_id", F.col("__epoch").alias("epoch"), F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("tokens"))
+    slim = docs.select("doc_id", "lang", "source", tokens or "text")
+    return take(slim, plan(slim, seed, tokens, domain, **budget), seed, tokens, domain).select("row.doc_id", "epoch", *LEVELS, "tokens")
 
 
 def _sql_weight(name: str, weights: dict[str, int]) -> str:
@@ -151,9 +160,11 @@ def _sql_fill(cte: str, source: str, parent: list[str], name: str, weights: dict
 {cte} AS (SELECT {cols}, tokens, CASE WHEN level IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, level * w) END AS budget FROM {cte}_d)"""
 
 
+_SQL_DENSE = "[" + "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in DENSE_RANGES) + "]"
+
 SQL = f"""
 WITH d AS (SELECT doc_id, coalesce('d' || (try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1), '') AS BIGINT) % 3), 'misc') AS domain,
-    coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source, (length(coalesce(text, '')) + 3) // 4 AS tokens, coalesce(doc_id, -1) AS id FROM documents),
+    coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source, coalesce((5 * (length(text) - length(regexp_replace(text, '{_SQL_DENSE}', '', 'g'))) + 3 * length(text) + 11) // 12, 0) AS tokens, coalesce(doc_id, -1) AS id FROM documents),
 s AS (SELECT * FROM d WHERE tokens > 0),
 leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, sum(tokens)::BIGINT * {MAX_EPOCHS} AS cap0 FROM s GROUP BY ALL),
 n1 AS (SELECT domain, sum(tokens)::BIGINT AS tokens, sum(cap0)::BIGINT AS cap0, (SELECT sum(tokens)::DOUBLE * {SHARE} FROM s) AS budget0 FROM leaves GROUP BY domain),
