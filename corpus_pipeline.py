@@ -5,6 +5,13 @@ columns of ``documents``. ``run`` applies them in order and writes each result t
 folder before the next stage reads it, so a stage that scans its input twice never computes
 its predecessors again, and a lost executor costs no more than the stage at hand. A stage's
 input goes once its output stands.
+
+Defined cases, each as the stage's operator has it: a null or empty text is never toxic, has no near
+duplicate and no private span, and is left out by the mix, since it has no tokens; a null doc_id passes
+the filters and is mixed under the number -1; texts of any length are judged, compared, redacted and
+encoded whole; rows that repeat doc_id and text are one document to the near-duplicate filter; ties go
+to the smallest doc_id; empty tables give an empty result; further columns, whatever their names, pass
+through all stages but the last, which keeps doc_id, lang and source.
 """
 
 from __future__ import annotations
@@ -36,9 +43,10 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their target weights; a document taken in several epochs is several rows."""
+    """Sources are brought to their target weights in tokens of the vocabulary; a document taken in several epochs is several rows."""
     prepare(spark)
-    return mixing.select_mix(docs)
+    counted = bpe.count(docs, VOCABULARY, ("doc_id", "lang", "source"))
+    return mixing.select_mix(docs, counted=counted, tokens="n_tokens")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
