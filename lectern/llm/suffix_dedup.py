@@ -9,17 +9,17 @@ compared by 64-bit hashes, windows of different shards by 128 bits.
    document has are dropped without loss; about one name in eighteen words is shuffled.
 2. *Shards.* The segments of candidate windows are cut out where a text meets its shared names, and
    only they travel on. They are laid out by their document's least shared name, so that copies
-   meet in one shard; a shard is about ``SHARD_WORDS`` words, and a name that very many documents
-   have is spread over several.
+   meet in one shard; a shard is about ``SHARD_WORDS`` words, and a name with more than that is spread
+   over several. Names that documents of more than one shard have are marked as crossing.
 3. *Suffix array* of each shard's segments by Larsson-Sadakane refinement in numpy: only groups not
    yet told apart are sorted again, by the rank ``h`` words on, h doubling.
 4. *Kasai.* Common prefixes of neighbours. The recurrence plcp[i] >= plcp[i-1] - 1 holds with
    equality wherever the words before both suffixes agree, so only the other positions are
    compared word by word, all of them at once.
 5. *Merge.* Runs of suffixes with common prefixes of ``MIN_WORDS`` words that two documents
-   share are settled inside the shard. Of the other runs each shard sends its windows, and of the
-   settled ones a witness, as a run sorted by the window's hash, cut into hash ranges. Where a range's
-   runs meet, every shard's run is looked up in every other's by binary search.
+   share are settled inside the shard. Of the other runs with crossing names each shard sends its
+   windows, and of the settled ones a witness, as a run sorted by the window's hash, cut into hash
+   ranges. Where a range's runs meet, every shard's run is looked up in the others' by binary search.
 
 ``drop_repeated`` removes what ``repeated_passages`` finds, but for the first occurrence.
 
@@ -44,10 +44,10 @@ from lectern.llm._graph import _by_key
 from lectern.llm._small import free
 from lectern.llm._vec import U64, as_i64, column_bytes, gram_hashes, mix, runs, slices, span_hashes, word_spans
 
-MIN_WORDS, GRAM, SHARD_WORDS, SHARD_DOCS = 50, 16, 1_500_000, 4000
+MIN_WORDS, GRAM, SHARD_WORDS = 50, 16, 1_500_000
 SPANS = "doc_id bigint, w0 bigint, w1 bigint, c0 bigint, c1 bigint"
 RECORDS = "key bigint, check bigint, shard bigint, id bigint, many boolean, settled boolean, w0 bigint, w1 bigint, c0 bigint, c1 bigint"
-SEGMENTS = "place bigint, salt bigint, doc_id bigint, w0 bigint, c0 bigint, text string"
+SEGMENTS = "place bigint, salt bigint, doc_id bigint, w0 bigint, c0 bigint, text string, cross array<bigint>"
 _RECORD = [x.split()[0] for x in RECORDS.split(", ")]
 
 
@@ -178,15 +178,15 @@ class _Shard:
         self.size = 0
         self.parts: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, doc: int, words: np.ndarray, at: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> None:
-        self.parts.append((words, np.full(len(words), doc), at, c0, c1))
+    def add(self, doc: int, words: np.ndarray, at: np.ndarray, c0: np.ndarray, c1: np.ndarray, cross: np.ndarray) -> None:
+        self.parts.append((words, np.full(len(words), doc), at, c0, c1, cross))
         self.size += len(words) + 1
 
     def records(self, length: int, across: bool) -> pa.RecordBatch | None:
         if not self.parts:
             return None
         words = np.concatenate([p[0] for p in self.parts])
-        doc, at, c0, c1 = (np.concatenate([p[k] for p in self.parts]) for k in range(1, 5))
+        doc, at, c0, c1, cross = (np.concatenate([p[k] for p in self.parts]) for k in range(1, 6))
         sizes = np.array([len(p[0]) for p in self.parts])
         ends = np.cumsum(sizes)
         left = np.repeat(ends, sizes) - np.arange(len(words))
@@ -228,26 +228,27 @@ class _Shard:
             zero = np.zeros(len(p), np.int64)
             put(zero, zero, doc[p], False, True, at[p], at[q] + 1, c0[p], c1[q])
         p = own[s[twice]]
+        p = p[cross[p]]
         z = np.zeros(len(p), np.int64)
         put(as_i64(key[p]), as_i64(check[p]), doc[p], True, False, z, z, z, z)
-        p = own[~settled]
+        p = own[~settled & cross[own]]
         put(as_i64(key[p]), as_i64(check[p]), doc[p], False, False, at[p], at[p] + length, c0[p], c1[p + length - 1])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], _RECORD)
 
 
 def _cut(length: int, gram: int) -> Callable:
-    """The candidate segments of texts (doc_id, text, hot, place, salt), lower-cased, each with the number of its first word and character."""
+    """The candidate segments of texts (doc_id, text, hot, cross, place, salt), lower-cased, each with the number of its first word and character and its crossing names."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hot, place, salt = (b.column(c) for c in ("doc_id", "hot", "place", "salt"))
+            ids, hot, crossing, place, salt = (b.column(c) for c in ("doc_id", "hot", "cross", "place", "salt"))
             for lo, hi in slices(b.column("text")):
                 data, s, e = column_bytes(pc.utf8_lower(b.column("text").slice(lo, hi - lo)))
                 ws, we, first = word_spans(data, s, e)
                 words = span_hashes(data, ws, we) if len(ws) else np.zeros(0, U64)
                 names, ok = window_names(words, first, length, gram)
                 chars = np.cumsum((data & 0xC0) != 0x80) - 1  # index of the character at each byte, over the slice
-                rows, w0, c0, text, raw = [], [], [], [], data.tobytes()
+                rows, w0, c0, text, cross, raw = [], [], [], [], [], data.tobytes()
                 for r in range(lo, hi):
                     f, g = first[r - lo], first[r - lo + 1]
                     cand = np.flatnonzero(ok[f:g] & np.isin(as_i64(names[f:g]), hot[r].values.to_numpy()))
@@ -257,31 +258,38 @@ def _cut(length: int, gram: int) -> Callable:
                         w0.append(p - f)
                         c0.append(chars[ws[p]] - chars[s[r - lo]])
                         text.append(raw[ws[p] : we[q]].decode())
+                        cross.append(np.intersect1d(as_i64(names[f + seg]), crossing[r].values.to_numpy()).tolist())
                 pick = pa.array(rows, pa.int64())
-                cols = [place.take(pick), salt.take(pick), ids.take(pick), pa.array(w0, pa.int64()), pa.array(c0, pa.int64()), pa.array(text, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, ["place", "salt", "doc_id", "w0", "c0", "text"])
+                cols = [place.take(pick), salt.take(pick), ids.take(pick), pa.array(w0, pa.int64()), pa.array(c0, pa.int64()), pa.array(text, pa.string()), pa.array(cross, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["place", "salt", "doc_id", "w0", "c0", "text", "cross"])
 
     return go
 
 
-def _shards(length: int, across: bool, shard_words: int) -> Callable:
+def _shards(length: int, gram: int, across: bool, shard_words: int) -> Callable:
+    """Records of segments sorted by place and salt; a shard ends where these change, so that all of a place and salt are in one."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard()
+        shard, last = _Shard(), None
         for b in batches:
             ids, w0, c0 = (b.column(c).to_numpy() for c in ("doc_id", "w0", "c0"))
+            where = list(zip(b.column("place").to_pylist(), b.column("salt").to_pylist(), strict=True))
             for lo, hi in slices(b.column("text")):
                 data, s, e = column_bytes(b.column("text").slice(lo, hi - lo))
                 ws, we, first = word_spans(data, s, e)
                 words = span_hashes(data, ws, we) if len(ws) else np.zeros(0, U64)
+                names, _ = window_names(words, first, length, gram)
                 chars = np.cumsum((data & 0xC0) != 0x80) - 1
                 for r in range(lo, hi):
-                    f, g = first[r - lo], first[r - lo + 1]
-                    base = c0[r] - chars[s[r - lo]]
-                    shard.add(ids[r], words[f:g], w0[r] + np.arange(g - f), chars[ws[f:g]] + base, chars[we[f:g] - 1] + 1 + base)
-                    if shard.size >= shard_words:
+                    if shard.size >= shard_words and where[r] != last:
                         if (out := shard.records(length, across)) is not None:
                             yield out
                         shard = _Shard()
+                    last = where[r]
+                    f, g = first[r - lo], first[r - lo + 1]
+                    base = c0[r] - chars[s[r - lo]]
+                    cross = np.isin(as_i64(names[f:g]), b.column("cross")[r].values.to_numpy())
+                    shard.add(ids[r], words[f:g], w0[r] + np.arange(g - f), chars[ws[f:g]] + base, chars[we[f:g] - 1] + 1 + base, cross)
         if (out := shard.records(length, across)) is not None:
             yield out
 
@@ -332,10 +340,15 @@ def _occurrences(docs: DataFrame, min_words: int, gram: int, across: bool, shard
     names = text.mapInArrow(_names(min_words, gram), "key bigint, id bigint")
     hot = names.repartition("key").sortWithinPartitions("key").mapInArrow(_held_twice(across), "key bigint, id bigint")
     hot = hot.groupBy("id").agg(F.collect_set("key").alias("hot"), F.min("key").alias("place")).checkpoint()
-    crowd = hot.groupBy("place").agg(F.ceil(F.count("*") / F.lit(SHARD_DOCS)).alias("split"))
-    placed = hot.join(crowd, "place").withColumn("salt", F.expr("cast(pmod(hash(id), split) as bigint)"))
-    segments = text.join(placed, F.col("doc_id") == F.col("id")).select("doc_id", "text", "hot", "place", "salt").mapInArrow(_cut(min_words, gram), SEGMENTS)
-    records = segments.repartition("place", "salt").mapInArrow(_shards(min_words, across, shard_words), RECORDS).checkpoint()
+    words = F.sum(F.size("hot") * F.lit((min_words - gram + 2) / 2) + min_words)  # about as many as its names stand for
+    crowd = hot.groupBy("place").agg(F.ceil(words / F.lit(shard_words)).alias("split"))
+    placed = hot.join(crowd, "place").withColumn("salt", F.expr("cast(pmod(hash(id), split) as bigint)")).drop("split")
+    pairs = placed.select("id", F.explode("hot").alias("key"), F.struct("place", "salt").alias("at"))
+    cross = pairs.groupBy("key").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("key")
+    cross = pairs.join(cross, "key").groupBy(F.col("id").alias("doc")).agg(F.collect_list("key").alias("cross"))
+    placed = placed.join(cross, F.col("id") == F.col("doc"), "left").withColumn("cross", F.coalesce("cross", F.array().cast("array<bigint>")))
+    cut = text.join(placed, F.col("doc_id") == F.col("id")).select("doc_id", "text", "hot", "cross", "place", "salt").mapInArrow(_cut(min_words, gram), SEGMENTS)
+    records = cut.repartition("place", "salt").sortWithinPartitions("place", "salt").mapInArrow(_shards(min_words, gram, across, shard_words), RECORDS).checkpoint()
     settled = records.where("settled").select(F.col("id").alias("doc_id"), "w0", "w1", "c0", "c1")
     merged = records.where("not settled").repartition("key").sortWithinPartitions("key").mapInArrow(_merge(across), SPANS)
     return settled.unionByName(merged)

@@ -114,9 +114,9 @@ def test_exact_where_hashes_collide(monkeypatch, across):
     rows = made(4)
     hot = pa.array([sorted({int(x) for x in sd.window_names(*words_of(t), 12, 4)[0].view(np.int64)}) for _, t in rows], pa.list_(pa.int64()))
     n = len(rows)
-    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows]), hot, pa.array([0] * n), pa.array([0] * n)], ["doc_id", "text", "hot", "place", "salt"])
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows]), hot, hot, pa.array(range(n)), pa.array([0] * n)], ["doc_id", "text", "hot", "cross", "place", "salt"])
     segments = list(sd._cut(12, 4)(iter([batch])))
-    records = pa.Table.from_batches(list(sd._shards(12, across, 60)(iter(segments))))
+    records = pa.Table.from_batches(list(sd._shards(12, 4, across, 60)(iter(segments))))
     settled = records.filter(records["settled"]).to_pylist()
     rest = records.filter(pc.invert(records["settled"])).sort_by("key")
     merged = [r for b in sd._merge(across)(iter(rest.combine_chunks().to_batches())) for r in b.to_pylist()]
