@@ -10,7 +10,8 @@ Unicode lower-casing. A null text has no words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,21 @@ _MASK = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], U64)
 _M1, _M2, _GOLD = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
 
 
+def releasing(go: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``go`` over batches, after which the worker gives freed memory back: workers live on between tasks, beside the JVM."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from go(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (splitmix64)."""
     h = (h ^ (h >> U64(30))) * _M1

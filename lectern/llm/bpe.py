@@ -30,9 +30,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from lectern.llm._vec import _MASK, U64, column_bytes, load8, mix, slices, span_hashes
+from lectern.llm._vec import _MASK, U64, column_bytes, load8, mix, releasing, slices, span_hashes
 
-KEPT = 2_000_000  # merged pre-tokens a worker keeps; beyond that it starts afresh
+KEPT = 500_000  # merged pre-tokens a worker keeps; beyond that it starts afresh
 SLICE = 2 << 20
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -197,7 +197,7 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.seen, self.seen_at, self.seen_n, self.flat = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.seen, self.seen_at, self.seen_n, self.flat = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.seen_check = np.zeros(0, U64)
 
     def _known(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -237,7 +237,7 @@ class Codec:
             self.seen_n = np.insert(self.seen_n, place, n)
             self.seen_check = np.insert(self.seen_check, place, check[one[new]])
             at = np.searchsorted(self.seen, uniq)
-        place, n = self.seen_at[at][back], self.seen_n[at][back]
+        place, n = self.seen_at[at][back].astype(np.int64), self.seen_n[at][back].astype(np.int64)
         other = np.flatnonzero(self.seen_check[at][back] != check)  # equal names, other bytes: merged one by one
         for k in other.tolist():
             ids = np.array(merge_bytes(data[s[k] : e[k]].tobytes(), self.ranks), np.int32)
@@ -311,7 +311,7 @@ def encode(docs: DataFrame, vocabulary: str, columns: tuple[str, ...] = ("doc_id
 
     chosen = docs.select(*columns, docs["text"].cast("string").alias("__text"))
     schema = StructType([*(chosen.schema[c] for c in columns), StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("exact", BooleanType())])
-    return chosen.mapInArrow(go, schema)
+    return chosen.mapInArrow(releasing(go), schema)
 
 
 def count(docs: DataFrame, vocabulary: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -329,7 +329,7 @@ def count(docs: DataFrame, vocabulary: str, columns: tuple[str, ...] = ("doc_id"
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in columns), n], [*columns, "n_tokens"])
 
     chosen = docs.select(*columns, docs["text"].cast("string").alias("__text"))
-    return chosen.mapInArrow(go, StructType([*(chosen.schema[c] for c in columns), StructField("n_tokens", LongType())]))
+    return chosen.mapInArrow(releasing(go), StructType([*(chosen.schema[c] for c in columns), StructField("n_tokens", LongType())]))
 
 
 def decode(tokens: DataFrame, vocabulary: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -348,7 +348,7 @@ def decode(tokens: DataFrame, vocabulary: str, columns: tuple[str, ...] = ("doc_
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(text, pa.string())], [*columns, "text"])
 
     chosen = tokens.select(*columns, "token_ids")
-    return chosen.mapInArrow(go, StructType([*(chosen.schema[c] for c in columns), StructField("text", StringType())]))
+    return chosen.mapInArrow(releasing(go), StructType([*(chosen.schema[c] for c in columns), StructField("text", StringType())]))
 
 
 __all__: list[str] = ["Codec", "PerfectHash", "decode", "encode", "merge_bytes", "pre_tokens"]

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm._graph import by_close, components, forest, shared_keys
 from lectern.llm._small import free, small
-from lectern.llm._vec import U64, as_i64, mix, row_words, shingles, slices
+from lectern.llm._vec import U64, as_i64, mix, releasing, row_words, shingles, slices
 
 SHINGLE, K, CHUNKS, MAX_DIST = 3, 64, 16, 31
 
@@ -113,9 +113,9 @@ def groups(docs: DataFrame) -> DataFrame:
     """(group, doc_id, h, rows, n, first): each document with words, by the hash of its text, with its rows, its group, the group's documents and their first."""
     text = F.col("text").cast("string")
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).where("doc_id is not null and text is not null")
-    signed = chosen.mapInArrow(_sign, "doc_id bigint, h bigint, sig binary").checkpoint()
+    signed = chosen.mapInArrow(releasing(_sign), "doc_id bigint, h bigint, sig binary").checkpoint()
     reps = signed.select("sig").distinct().withColumn("id", F.monotonically_increasing_id()).checkpoint()  # numbers stand once written
-    hits = shared_keys(reps.select("id", "sig").mapInArrow(_keys, "key bigint, id bigint"))
+    hits = shared_keys(reps.select("id", "sig").mapInArrow(releasing(_keys), "key bigint, id bigint"))
     pairs = forest(hits.join(reps, "id"), by_close(_close), "sig")
     named = reps.join(components(pairs), "id", "left").select("sig", F.coalesce("root", "id").alias("group"))
     members = signed.join(named, "sig").groupBy("group", "doc_id", "h").agg(F.count("*").alias("rows")).checkpoint()

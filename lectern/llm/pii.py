@@ -31,6 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm._vec import releasing
+
 THRESHOLD, ROUNDS = 0.5, 100
 KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "secret", "birth", "person", "address")
 LABELERS = ("format", "checksum", "gazetteer", "cue", "anti_cue", "boundary", "variety")
@@ -377,4 +379,4 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 cols[names.index("n_chars")] = pc.replace_with_mask(size, pa.array(where), fresh)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(go, docs.schema)
+    return docs.mapInArrow(releasing(go), docs.schema)

@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._vec import _MASK, U64, column_bytes, load8, mix, slices, span_hashes, word_spans
+from lectern.llm._vec import _MASK, U64, column_bytes, load8, mix, releasing, slices, span_hashes, word_spans
 
 MAX_LABELLED, MIN_Z, THRESHOLD, PREFIXES = 4000, 7.0, 0.5, range(3, 9)
 RIDGE, SWAP_PENALTY, ROUNDS = 1.0, 50.0, 150
@@ -351,7 +351,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 p = shipped.value.score(b.column("text").slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(p), pa.array(p >= threshold)], ["doc_id", "score", "toxic"])
 
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(go, "doc_id bigint, score double, toxic boolean")
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(releasing(go), "doc_id bigint, score double, toxic boolean")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -368,4 +368,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
             keep = [shipped.value.score(text.slice(lo, hi - lo)) < threshold for lo, hi in slices(text)]
             yield b.filter(pa.array(np.concatenate(keep))) if keep else b
 
-    return docs.mapInArrow(go, docs.schema)
+    return docs.mapInArrow(releasing(go), docs.schema)
