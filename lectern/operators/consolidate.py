@@ -162,6 +162,12 @@ def plan_rows(spark: SparkSession, source: str, plan: Plan) -> tuple[DataFrame,
     return parts, spark.createDataFrame([(source, rel) for rel in plan.unreached], "source string, rel string")
 
 
+def consolidated(parts: DataFrame, texts: DataFrame, title: str | None = None) -> DataFrame:
+    """(source, text): the files (path, text) of plans (source, seq, rel, caption) as one document each; files a plan names and nobody has are empty."""
+    rows = parts.join(texts.withColumnRenamed("path", "rel"), "rel", "left")
+    return render(rows, ["source"], title=title)
+
+
 def caption_changes(parts: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     """``parts`` with ``new_caption``: the caption where it differs from the last one before it, empty ones passed over."""
     caption = F.nullif(F.col("caption"), F.lit(""))

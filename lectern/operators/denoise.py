@@ -101,7 +101,7 @@ def detect_filters(text: Column) -> Column:
 
 
 def clean(df: DataFrame, text: str = "text", filters: Names | None = None) -> DataFrame:
-    """``df`` with its text cleaned, lines_before, lines_after, percent_removed, tokens_before, tokens_after and applied.
+    """``df`` with its text cleaned, lines_before, lines_after, percent_removed, tokens_before, tokens_after, tokens_saved, percent_saved and applied.
 
     Without ``filters`` each document's own are detected; unknown names are passed over. A null text is an empty one.
     """
@@ -122,9 +122,17 @@ def clean(df: DataFrame, text: str = "text", filters: Names | None = None) -> Da
     joined = F.concat(strip(F.array_join("__cleaned.kept", "\n")), F.lit("\n"))
     share = F.when(before == 0, F.lit(0.0)).otherwise(F.round(F.lit(100.0) * (before - after) / before, 1))
     out = out.withColumns({"lines_before": before, "lines_after": after, "percent_removed": share, "tokens_before": estimate_tokens(value), "tokens_after": estimate_tokens(joined)})
+    saved = F.col("tokens_before") - F.col("tokens_after")
+    out = out.withColumns({"tokens_saved": saved, "percent_saved": F.when(F.col("tokens_before") == 0, F.lit(0.0)).otherwise(F.round(F.lit(100.0) * saved / F.col("tokens_before"), 1))})
     return out.withColumn(text, joined).drop("__cleaned")
 
 
+def write_cleaned(cleaned: DataFrame, keys: list[str], path: str, text: str = "text") -> None:
+    """``cleaned`` as two tables under ``path``: ``text``, and ``report`` as JSON, a row for each document."""
+    cleaned.select(*keys, text).write.mode("overwrite").parquet(f"{path}/text")
+    cleaned.drop(text).write.mode("overwrite").json(f"{path}/report")
+
+
 def filtered_lines(df: DataFrame, name: str, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, line_no, line): what one filter keeps, counted anew."""
     kept = df.select(*keys, F.posexplode(FILTERS[name](split_lines(F.col(text)))).alias("pos", "line"))

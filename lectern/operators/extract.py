@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import count_words, estimate_tokens, file_format, file_name, page_estimate
-from lectern.operators.lines import running_total, source_spans
+from lectern.operators.lines import block_size, running_total, source_spans
 from lectern.operators.sanitize import sanitize
 from lectern.operators.structure import detect_structure
 
@@ -25,12 +25,17 @@ def measure(df: DataFrame, text: str = "text", pages: str | None = None) -> Data
     })
 
 
+def placed(df: DataFrame, order: list[str], pages: str | None = None, text: str = "text") -> DataFrame:
+    """``df`` without its text, measured, with its span in the corpus. Texts are read once; only their measures are written down and ordered."""
+    sized = measure(df, text, pages).withColumn("__lines", block_size(F.col(text))).drop("headings", text).withColumnRenamed("chapters", "chapters_detected").checkpoint()
+    return sized.join(source_spans(sized, order, size="__lines"), order).drop("__lines")
+
+
 def extract(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sources, failures) of parsed files (seq, path, text, pages, error); sources keep their sanitised text."""
     named = parsed.withColumns({"filename": file_name(F.col("path")), "format": file_format(F.col("path"))})
     good = named.where("error is null").drop("error").withColumn("text", sanitize(F.coalesce("text", F.lit("")))).checkpoint()
-    sized = measure(good.withColumnRenamed("pages", "own_pages"), pages="own_pages").drop("headings", "own_pages").withColumnRenamed("chapters", "chapters_detected")
-    sources = sized.join(source_spans(good, ["seq"]), "seq")
+    sources = placed(good.withColumnRenamed("pages", "own_pages"), ["seq"], "own_pages").drop("own_pages").join(good.select("seq", "text"), "seq")
     failures = named.where("error is not null").select("seq", "filename", "path", "format", F.col("error"))
     return sources, failures
 

@@ -272,6 +272,19 @@ def token_gate(files: DataFrame, budget: int, body_only: bool = False, text: str
     return files.withColumn("tokens", estimate_tokens(F.coalesce(value, F.lit("")))).withColumn("over", F.col("tokens") > budget)
 
 
+def gate_totals(gated: DataFrame) -> DataFrame:
+    """(files, over, total_tokens, passes) of a token gate's rows."""
+    return gated.agg(F.count("*").alias("files"), F.count_if("over").alias("over"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"), (~F.coalesce(F.bool_or("over"), F.lit(False))).alias("passes"))
+
+
+def reports(violations: DataFrame) -> DataFrame:
+    """(library, errors, warnings, passes, report): the violations of each library as one JSON array, ordered."""
+    item = F.struct("severity", "check", "subject", "detail")
+    counts = [F.count_if(F.col("severity") == s).alias(n) for s, n in (("error", "errors"), ("warning", "warnings"))]
+    out = violations.groupBy("library").agg(*counts, F.to_json(F.array_sort(F.collect_list(item))).alias("report"))
+    return out.select("library", "errors", "warnings", (F.col("errors") == 0).alias("passes"), "report")
+
+
 def tripwires(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, code_lines, table_lines, total_lines): the signals of technical text, on text that isn't sanitised yet."""
     counted = df.select(*keys, split_lines(F.coalesce(F.col(text), F.lit(""))).alias("__lines"))

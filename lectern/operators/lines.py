@@ -35,9 +35,14 @@ def body_lines(text: Column) -> Column:
     return F.regexp_count(text, F.lit("\n")) + F.when(text.endswith("\n"), 0).otherwise(1)
 
 
-def source_spans(df: DataFrame, order: list[str], text: str = "text") -> DataFrame:
-    """The order columns, start_line and end_line of each source's body in the fenced corpus."""
-    sized = df.select(*order, (F.lit(FENCE_LINES) + body_lines(F.coalesce(F.col(text), F.lit("")))).cast("bigint").alias("__size"))
+def block_size(text: Column) -> Column:
+    """Lines of a source with its fence."""
+    return (F.lit(FENCE_LINES) + body_lines(F.coalesce(text, F.lit("")))).cast("bigint")
+
+
+def source_spans(df: DataFrame, order: list[str], text: str = "text", size: str | None = None) -> DataFrame:
+    """The order columns, start_line and end_line of each source's body in the fenced corpus; ``size`` names a column of ``block_size``, if there is one."""
+    sized = df.select(*order, (F.col(size) if size else block_size(F.col(text))).alias("__size"))
     total = running_total(sized, order, "__size", "__before")
     return total.select(*order, (F.col("__before") + FENCE_LINES + 1).alias("start_line"), (F.col("__before") + F.col("__size")).alias("end_line"))
 
@@ -53,6 +58,21 @@ def slice_lines(rows: DataFrame, start: int, end: int) -> DataFrame:
     return rows.where(F.col("line_no").between(start, end))
 
 
+SLICE = 4096
+
+
+def slice_sources(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Lines (line_no, line) of the corpus with the columns of the span (start_line, end_line) they are in.
+
+    A range join as an equi-join: both sides meet by blocks of ``SLICE`` lines, of which a span is in as many as it touches.
+    """
+    block = F.lit(SLICE).cast("bigint")
+    first, last = F.expr(f"start_line div {SLICE}"), F.expr(f"end_line div {SLICE}")
+    held = spans.where("start_line <= end_line").withColumn("__block", F.explode(F.sequence(first, last)))
+    near = rows.withColumn("__block", F.floor(F.col("line_no") / block).cast("bigint")).join(held, "__block")
+    return near.where(F.col("line_no").between(F.col("start_line"), F.col("end_line"))).drop("__block")
+
+
 def fenced_blocks(df: DataFrame, name: Column, path: Column, text: Column) -> DataFrame:
     """``df`` with ``block``: the source behind its fence, ending in a line break."""
     body = F.when(text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import BLANK, let, split_lines, strip, strip_chars
@@ -132,6 +132,12 @@ def best(probed: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return top.select(id_column, "b.strategy", "b.n", "b.score")
 
 
+def ranked(probed: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(id, strategy, n, score, place): all strategies, the best-scored first; ties go by name."""
+    order = Window.partitionBy(id_column).orderBy(F.col("score").desc(), "strategy")
+    return probed.select(id_column, "strategy", "n", "score", F.row_number().over(order).alias("place"))
+
+
 def shown(probed: DataFrame, first: int, id_column: str = "doc_id") -> DataFrame:
     """``probed`` with the first candidates of each strategy only, for a report; 0 shows all."""
     return probed.withColumn("candidates", F.slice("candidates", 1, first)) if first > 0 else probed

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import excerpt, link_host, split_lines
@@ -86,6 +86,23 @@ def unreadable(parsed: DataFrame, keys: list[str]) -> DataFrame:
     return parsed.where("error is not null").select(*keys, F.lit(0).alias("line"), F.lit("LOW").alias("severity"), F.lit("unreadable").alias("rule"), F.col("error").alias("why"), F.lit("").alias("excerpt"), F.lit(-1).alias("rule_no"))
 
 
+def scan_parsed(parsed: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Findings of the files that could be read, and one for each that couldn't be."""
+    return scan(parsed.where("error is null"), keys, text).unionByName(unreadable(parsed, keys))
+
+
+def outcomes(findings: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
+    """(keys, findings, any_high, passes): ``strict`` lets nothing with a HIGH finding pass."""
+    out = findings.groupBy(*keys).agg(F.count("*").alias("findings"), F.bool_or(F.col("severity") == "HIGH").alias("any_high"))
+    return out.withColumn("passes", ~F.col("any_high") if strict else F.lit(True))
+
+
+def ranked(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """``findings`` with ``place``: its place among those of its keys, by severity, line and rule."""
+    order = Window.partitionBy(*keys).orderBy(severity_rank(F.col("severity")), "line", "rule_no", "excerpt")
+    return findings.withColumn("place", F.row_number().over(order))
+
+
 def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), severity)
 

@@ -105,7 +105,7 @@ _CLEANED = f"""WITH {_ROWS}, {_BOOKS}, {_FLAGS}, start AS (SELECT r.*, want_pdf,
 {", ".join(_step(f"f_{k}", f"(SELECT s.*, want_{k} FROM {p} s JOIN flags USING (doc_id))", f"want_{k}") for k, p in (("pdf", "rows"), ("rst", "f_pdf"), ("nav", "f_rst"), ("quiz", "f_nav")))},
 {_step("f_repeats", "f_quiz")}, {_step("f_blanks", "f_repeats")},
 after AS (SELECT doc_id, {strip("string_agg(t, chr(10) ORDER BY line)")} || chr(10) AS kept, count(*)::INT AS lines_after FROM f_blanks GROUP BY doc_id)
-SELECT doc_id, total_lines AS lines_before, lines_after, round(100.0::DOUBLE * (total_lines - lines_after) / total_lines, 1) AS percent_removed, {tokens("text")} AS tokens_before, {tokens("kept")} AS tokens_after, md5(kept) AS digest FROM books JOIN after USING (doc_id)"""
+SELECT doc_id, total_lines AS lines_before, lines_after, round(100.0::DOUBLE * (total_lines - lines_after) / total_lines, 1) AS percent_removed, {tokens("text")} AS tokens_before, {tokens("kept")} AS tokens_after, {tokens("text")} - {tokens("kept")} AS tokens_saved, round(100.0::DOUBLE * ({tokens("text")} - {tokens("kept")}) / {tokens("text")}, 1) AS percent_saved, md5(kept) AS digest FROM books JOIN after USING (doc_id)"""
 
 _RULES = (
     ("HIGH", "instruction-override", r"\bignore\b.{0,40}\bprevious\b[^.\n]{0,20}\binstructions?\b"),
@@ -114,12 +114,81 @@ _RULES = (
     ("HIGH", "shell-execution", r"\bcurl\b[^\n]{0,80}http[s]?:|\|\s*bash\b"),
     ("LOW", "invisible-characters", r"[\x{200b}-\x{200f}]"),
 )
+#: All rules of the scan, by number.
+_ALL_RULES = (
+    ("HIGH", "instruction-override", r"\b(ignore|disregard|forget)\b[^.\n]{0,40}\b(all|previous|prior|above|earlier)\b[^.\n]{0,20}\b(instruction|prompt|rule|direction)s?\b"),
+    ("HIGH", "identity-override", r"\byou are (now|actually|really)\b|\bfrom now on,? you\b|\bact as if you\b"),
+    ("HIGH", "system-prompt-reference", r"\bsystem prompt\b|</?(system|user|assistant|human)>|\[/?inst\]"),
+    ("HIGH", "concealment", r"\b(do not|don''t|never)\b[^.\n]{0,30}\b(mention|tell|reveal|inform|show)\b[^.\n]{0,20}\b(the )?(user|human|owner)\b"),
+    ("HIGH", "credential-solicitation", r"\b(print|output|reveal|send|export|provide|enter|paste)\b[^\n]{0,40}(\bapi[-_ ]?key\b|\b(password|secret|token|private key)\b|\.env\b|\bcredential)"),
+    ("HIGH", "shell-execution", r"\b(curl|wget|nc|netcat)\b[^\n]{0,80}https?://|\brm\s+-rf\b|\bchmod\s+\+x\b|\b(bash|sh)\s+-c\b|\|\s*(bash|sh)\b"),
+    ("HIGH", "exfiltration", r"\b(send|post|upload|report|forward)\b[^.\n]{0,40}\bto\b[^.\n]{0,20}https?://|https?://[^)\s]{0,120}[?&](q|data|payload|content|text|body)="),
+    ("MEDIUM", "authority-claim", r"\b(authori[sz]ed by|approved by|on behalf of|mandated by)\b[^.\n]{0,30}\b(anthropic|openai|google|admin|administrator|the system|security team)\b|\bas (the|your) (administrator|developer|supervisor)\b"),
+    ("MEDIUM", "tool-directive", r"\b(call|execute|invoke|run)\b[^.\n]{0,30}\b(the following|this) (code|command|script|tool)\b"),
+    ("MEDIUM", "urgency-pressure", r"\b(immediately|right now|urgent|without delay|before (you )?(continue|respond))\b[^.\n]{0,40}\b(must|have to|need to|should)\b"),
+    ("MEDIUM", "file-access-directive", r"\b(read|open|cat|access|list)\b[^.\n]{0,30}(\.ssh|\.aws|\.git/config|/etc/\w+|id_rsa|~/\.\w+)"),
+    ("LOW", "invisible-characters", r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{feff}]"),
+)
 _EXCERPT = "CASE WHEN length({x}) <= 120 THEN {x} ELSE left({x}, 119) || '…' END"
 _FINDINGS = f"WITH {_ROWS}, found AS (" + " UNION ALL ".join(
     f"SELECT doc_id, line, '{sev}' AS severity, '{name}' AS rule, {_EXCERPT.format(x=strip('t'))} AS excerpt FROM rows WHERE regexp_matches(t, '(?i){p}')" for sev, name, p in _RULES
 ) + r""" UNION ALL SELECT doc_id, line, 'LOW', 'external-link', url FROM (SELECT doc_id, line, unnest(regexp_extract_all(t, '\[[^\]]*\]\((http[s]?:[^)]+)\)', 1)) AS url FROM rows)
   WHERE lower(regexp_extract(url, '^https?://([^/:]*)', 1)) NOT IN ('github.com', 'www.github.com', 'doi.org', 'www.doi.org', 'en.wikipedia.org', 'archive.org', 'web.archive.org'))"""
 
+
+
+def _all_findings(rows: str) -> str:
+    """CTE ``found`` (doc_id, line, severity, rule, rule_no, excerpt) of ``rows`` (doc_id, line, t) under every rule."""
+    own = " UNION ALL ".join(f"SELECT doc_id, line, '{sev}' AS severity, '{name}' AS rule, {i} AS rule_no, {_EXCERPT.format(x=strip('t'))} AS excerpt FROM {rows} WHERE regexp_matches(t, '(?i){p}')" for i, (sev, name, p) in enumerate(_ALL_RULES))
+    return "found AS (" + own + rf""" UNION ALL SELECT doc_id, line, 'LOW', 'external-link', {len(_ALL_RULES)}, url FROM (SELECT doc_id, line, unnest(regexp_extract_all(t, '\[[^\]]*\]\((https?://[^)]+)\)', 1)) AS url FROM {rows})
+  WHERE lower(regexp_extract(url, '^https?://([^/:]*)', 1)) NOT IN ('github.com', 'www.github.com', 'doi.org', 'www.doi.org', 'en.wikipedia.org', 'archive.org', 'web.archive.org'))"""
+
+
+_FORGED = f"forged AS (SELECT p_brand AS doc_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INT AS line, {inputs.FORGED_LINE} AS t FROM part), " + _all_findings("forged")
+_RANK = "CASE severity WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END"
+
+
+def sanitized(x: str) -> str:
+    """A text without anything forged, as the sanitiser leaves it."""
+    return rf"""CASE WHEN {x} = '' THEN '' ELSE {strip(rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({x}), '\r\n?', chr(10), 'g'), '[\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{2064}}\x{{feff}}]', '', 'g'), '[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t]{{3,}}', '  ', 'g'), '(?m)[ \t]+$', '', 'g'), '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g')")} || chr(10) END"""
+
+
+_TOC = f"lower({strip('t')}) IN ('contents', 'table of contents', 'index', 'inhalt', 'inhaltsverzeichnis', 'sommaire', 'índice', 'indice')"
+_BLOCK = r"regexp_extract(text, '(?s)^---\n(.*?)\n---\n', 1)"
+
+
+def _audit(allowed: tuple[str, ...]) -> str:
+    return rf"""WITH skills AS (SELECT s_suppkey AS library, {inputs.SKILL} AS text FROM supplier),
+f AS (SELECT library, text, regexp_matches(text, '(?s)^---\n.*?\n---\n') AS has, {_BLOCK} AS block, {tokens(_BODY_TEXT)} AS body FROM skills),
+g AS (SELECT *, trim(regexp_extract(block, '(?m)^name:(.*)$', 1)) AS name, trim(regexp_extract(block, '(?m)^description:(.*)$', 1)) AS about FROM f),
+v AS (SELECT library, text, has, name, about, body, unnest([
+  CASE WHEN NOT has THEN {{'s': 'error', 'c': 'no-frontmatter', 'd': ''}} END, CASE WHEN has AND name = '' THEN {{'s': 'error', 'c': 'no-name', 'd': ''}} END,
+  CASE WHEN has AND name <> '' AND NOT regexp_full_match(name, '[a-z0-9]+(-[a-z0-9]+)*') THEN {{'s': 'error', 'c': 'bad-name', 'd': name}} END, CASE WHEN length(name) > 64 THEN {{'s': 'error', 'c': 'long-name', 'd': length(name)::VARCHAR}} END,
+  CASE WHEN regexp_matches(lower(name), 'claude|anthropic') THEN {{'s': 'error', 'c': 'reserved-name', 'd': name}} END, CASE WHEN has AND about = '' THEN {{'s': 'error', 'c': 'no-description', 'd': ''}} END,
+  CASE WHEN about <> '' AND length(about) < 40 THEN {{'s': 'error', 'c': 'short-description', 'd': length(about)::VARCHAR}} END, CASE WHEN length(about) > 1024 THEN {{'s': 'warning', 'c': 'long-description', 'd': length(about)::VARCHAR}} END,
+  CASE WHEN has AND body > 12000 THEN {{'s': 'warning', 'c': 'long-body', 'd': body::VARCHAR}} END, CASE WHEN has AND NOT regexp_matches(text, '(?m)^#\s+\S') THEN {{'s': 'warning', 'c': 'no-heading', 'd': ''}} END,
+  CASE WHEN has AND name <> '' AND name <> 'skill' THEN {{'s': 'warning', 'c': 'name-differs-from-directory', 'd': 'skill'}} END]) AS x FROM g)
+SELECT library, x.s AS severity, x.c AS "check", 'SKILL.md' AS subject, x.d AS detail FROM v WHERE x IS NOT NULL
+UNION ALL SELECT library, 'warning', 'unknown-key', 'SKILL.md', k FROM (SELECT library, unnest(regexp_extract_all(block, '(?m)^([\w-]+):', 1)) AS k FROM f WHERE has) WHERE k NOT IN ({", ".join(f"'{x}'" for x in allowed)})"""
+
+
+_FAULTS = rf"""files AS ({inputs.DUCK_FAULTY}), m AS (SELECT library, text, regexp_matches(text, '(?s)^---\n.*?\n---\n') AS has, {_BLOCK} AS block, contains(text, '## Which book') AS router,
+  regexp_extract(text, '(?s)## Which book[^\n]*\n(.*?)(?:\n## |$)', 1) AS links, regexp_extract(text, '(?s)## Topic Index\n(.*)$', 1) AS own FROM files WHERE path = 'SKILL.md'),
+i AS (SELECT m.library, f.text IS NOT NULL AS spilled, contains(m.text, 'topic-index.md') AS pointed, len(regexp_extract_all(own, '(?m)^[*-]\s+.*->.*$')) AS own, len(regexp_extract_all(coalesce(f.text, own), '(?m)^[*-]\s+.*->.*$')) AS n FROM m LEFT JOIN files f ON f.library = m.library AND f.path = 'references/topic-index.md'),
+r AS (SELECT library, path[12:] AS name, text, regexp_extract(text, '[*]{{2}}Sections[*]{{2}}:\s*~?(\d+)', 1) AS sections FROM files WHERE regexp_full_match(path, 'references/reference-[a-z0-9]+(-[a-z0-9]+)*\.md')),
+faults AS (SELECT library, 'error' AS severity, 'no-frontmatter' AS "check", 'SKILL.md' AS subject, '' AS detail FROM m WHERE NOT has
+  UNION ALL SELECT library, 'error', 'no-name', 'SKILL.md', '' FROM m WHERE has AND NOT regexp_matches(block, '(?m)^name:')
+  UNION ALL SELECT library, 'error', 'reserved-name', 'SKILL.md', trim(regexp_extract(block, '(?m)^name:(.*)$', 1)) FROM m WHERE regexp_matches(regexp_extract(block, '(?m)^name:(.*)$', 1), 'claude|anthropic')
+  UNION ALL SELECT library, 'error', 'no-router-section', 'SKILL.md', '' FROM m WHERE NOT router
+  UNION ALL SELECT library, 'error', 'placeholder-link', l, '' FROM (SELECT library, unnest(regexp_extract_all(links, '\[[^\]]+\]\(([^)]+)\)', 1)) AS l FROM m) WHERE regexp_matches(l, '[{{}}<>]')
+  UNION ALL SELECT library, 'error', 'index-not-spilled', 'topic-index.md', own::VARCHAR FROM i WHERE spilled AND own > 1
+  UNION ALL SELECT library, 'error', 'index-unreachable', 'topic-index.md', '' FROM i WHERE spilled AND NOT pointed
+  UNION ALL SELECT library, 'warning', 'index-too-long', 'topic-index.md', n::VARCHAR FROM i WHERE n > 40
+  UNION ALL SELECT library, 'error', 'no-title', name, '' FROM r WHERE NOT regexp_matches(text, '^#\s+\S') UNION ALL SELECT library, 'warning', 'no-sections', name, '' FROM r WHERE sections = ''
+  UNION ALL SELECT library, 'warning', 'unexpected-root-file', path, '' FROM files WHERE path NOT LIKE '%/%' AND path <> 'SKILL.md'
+  UNION ALL SELECT library, 'error', 'extra-folder', string_split(path, '/')[1], '' FROM files WHERE path LIKE '%/%' AND path NOT LIKE 'references/%' UNION ALL SELECT library, 'error', 'nested-folder', string_split(path, '/')[2], '' FROM files WHERE path LIKE 'references/%/%'
+  UNION ALL SELECT library, 'warning', 'unexpected-reference-file', path[12:], '' FROM files WHERE path LIKE 'references/%' AND path NOT LIKE 'references/%/%' AND path NOT LIKE 'references/reference-%' AND path <> 'references/topic-index.md')"""
+
 _SIZE = {"study": 2250, "reference": 1700}
 
 
@@ -178,11 +247,31 @@ _TURNS = r"""turns AS (SELECT conv_id, turn, nullif(role, '') AS role, coalesce(
 changes AS (SELECT *, last_value(role IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM turns)"""
 
 ORACLES: dict[str, str] = {
-    "extract_documents": f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_BODY} + 3 AS n FROM (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents)),
+    "extract_documents": f"""WITH c0 AS (SELECT doc_id, lang, {sanitized("coalesce(text, '')")} AS text FROM documents), d AS (SELECT *, {_BODY} + 3 AS n FROM c0),
 rows AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line FROM d), {_HEADS},
-c AS (SELECT doc_id, count(*)::INT AS k FROM heads GROUP BY doc_id), toc AS (SELECT DISTINCT doc_id FROM rows WHERE lower({strip("t")}) IN ('contents', 'table of contents', 'index', 'inhalt', 'inhaltsverzeichnis', 'sommaire', 'índice', 'indice'))
+c AS (SELECT doc_id, count(*)::INT AS k FROM heads GROUP BY doc_id), toc AS (SELECT DISTINCT doc_id FROM rows WHERE {_TOC})
 SELECT d.doc_id, lang, length(text)::INT AS chars, {words("text")}::INT AS words, {tokens("text")} AS estimated_tokens, {_PAGES} AS pages, coalesce(k, 0) AS chapters_detected, toc.doc_id IS NOT NULL AS has_toc,
   (sum(n) OVER o - n + 4)::BIGINT AS start_line, (sum(n) OVER o)::BIGINT AS end_line FROM d LEFT JOIN c USING (doc_id) LEFT JOIN toc USING (doc_id) WINDOW o AS (ORDER BY d.doc_id)""",
+    "extracted_books": f"""WITH {_ROWS.replace("rows AS", "rows0 AS", 1)}, {_BOOKS.replace("FROM rows", "FROM rows0")}, b AS (SELECT row_number() OVER (ORDER BY doc_id)::INT AS seq, doc_id, {sanitized("text")} AS text FROM books), d AS (SELECT *, {_BODY} + 3 AS n FROM b WHERE seq % 5 <> 0),
+rows AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line FROM d), {_HEADS},
+c AS (SELECT doc_id, count(*)::INT AS k FROM heads GROUP BY doc_id), toc AS (SELECT DISTINCT doc_id FROM rows WHERE {_TOC})
+SELECT seq, d.doc_id || '.MD' AS filename, 'shelf/' || d.doc_id || '.MD' AS path, 'md' AS format, length(text)::INT AS chars, {words("text")}::INT AS words, {tokens("text")} AS estimated_tokens, {_PAGES} AS pages, coalesce(k, 0) AS chapters_detected, toc.doc_id IS NOT NULL AS has_toc,
+  (sum(n) OVER o - n + 4)::BIGINT AS start_line, (sum(n) OVER o)::BIGINT AS end_line, md5(text) AS digest, '' AS error FROM d LEFT JOIN c USING (doc_id) LEFT JOIN toc USING (doc_id) WINDOW o AS (ORDER BY seq)
+UNION ALL SELECT seq, doc_id || '.MD', 'shelf/' || doc_id || '.MD', 'md', 0, 0, 0, 0, 0, false, 0, 0, '', 'broken' FROM b WHERE seq % 5 = 0""",
+    "forged_findings": f"WITH {_FORGED} SELECT doc_id, line, severity, rule, excerpt FROM found",
+    "scan_outcomes": f"WITH {_FORGED}, g AS (SELECT doc_id, severity FROM found WHERE doc_id NOT LIKE '%3' UNION ALL SELECT DISTINCT doc_id, 'LOW' FROM forged WHERE doc_id LIKE '%3') SELECT doc_id, count(*) AS findings, bool_or(severity = 'HIGH') AS any_high, NOT bool_or(severity = 'HIGH') AS passes FROM g GROUP BY doc_id",
+    "ranked_findings": f"WITH {_FORGED} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY {_RANK}, line, rule_no, excerpt)::INT AS place, severity, line, rule FROM found",
+    "scanned_documents": f"WITH dl AS (SELECT doc_id, unnest(a) AS t, unnest(generate_series(1, len(a)))::INT AS line FROM (SELECT doc_id, {_DOC_LINES} AS a FROM documents)), {_all_findings('dl')} SELECT doc_id, line, severity, rule, excerpt FROM found",
+    "probe_ranked": f"WITH {_ROWS}, {_BOOKS}, {_SCORES} SELECT doc_id, strategy, n, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, strategy)::INT AS place FROM scores",
+    **{f"skill_audit_{lens}": _audit(keys) for lens, keys in (("claude", ("name", "description", "license", "version", "metadata", "allowed-tools")), ("copilot", ("name", "description", "license", "version")), ("amp", ("name", "description", "license", "version")))},
+    "faulty_libraries": f"WITH {_FAULTS} SELECT {_VIOLATION} FROM faults",
+    "library_reports": f"""WITH {_FAULTS} SELECT library, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') = 0 AS passes,
+  to_json(list({{'severity': severity, 'check': "check", 'subject': subject, 'detail': detail}} ORDER BY severity, "check", subject, detail))::VARCHAR AS report FROM faults GROUP BY library""",
+    "token_gate_totals": f"SELECT count(*) AS files, count(*) FILTER (k > 1000) AS over, sum(k)::BIGINT AS total_tokens, NOT bool_or(k > 1000) AS passes FROM (SELECT {tokens('t')} AS k FROM (SELECT coalesce(text, '') AS t FROM documents))",
+    "sliced_sources": f"""WITH c AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id), n AS (SELECT *, {_BODY} + 3 AS n FROM c), s AS (SELECT *, sum(n) OVER (ORDER BY conv_id) AS e FROM n)
+SELECT conv_id, line_no::BIGINT AS line_no, line FROM (SELECT conv_id, e, unnest(string_split(text, chr(10))) AS line, e - n + 3 + unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no FROM s WHERE conv_id % 7 = 3) WHERE line_no <= e""",
+    "parsed_formats": f"""SELECT 'in/' || s_suppkey || '.' || kind AS path, CASE WHEN kind IN ('xyz', 'epubx') OR k = {len(inputs.KINDS) - 1} THEN NULL ELSE s_name || ' nation ' || s_nationkey END AS text, CASE WHEN kind IN ('xyz', 'epubx') THEN 'UnsupportedFormat' WHEN k = {len(inputs.KINDS) - 1} THEN 'BadZipFile' END AS error, NOT (kind IN ('xyz', 'epubx') OR k = {len(inputs.KINDS) - 1}) AS same
+  FROM (SELECT *, s_suppkey % {len(inputs.KINDS)} AS k, {list(inputs.KINDS)}[s_suppkey % {len(inputs.KINDS)} + 1] AS kind FROM supplier)""",
     "document_totals": f"SELECT count(*) AS total_sources, sum(k)::BIGINT AS total_tokens, sum(k)::BIGINT * 1.3::DOUBLE AS cost_tokens FROM (SELECT {tokens('coalesce(text, chr(48)[2:])')} AS k FROM documents)",
     "dense_scripts": f"SELECT p_partkey, {dense('t')}::INT AS dense, {tokens('t')} AS tokens, {words('t')}::INT AS words FROM (SELECT p_partkey, p_name || ' ' || repeat('汉字 ', p_size % 7) || repeat('かな', p_size % 5) || ' ไทย한x ' || p_type AS t FROM part)",
     "sanitized_documents": rf"""SELECT doc_id, length(t)::INT AS chars, md5(t) AS digest FROM (SELECT doc_id, CASE WHEN text = '' THEN '' ELSE

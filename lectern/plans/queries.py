@@ -11,8 +11,8 @@ from lectern.functions import budgets, numerals
 from lectern.functions import text as tx
 from lectern.operators import consolidate, denoise, extract, library, lines, probe, sanitize, scan, structure
 from lectern.plans import inputs, oracles
-from lectern.session import table
-from lectern.sources.files import decoded, parse_files
+from lectern.session import spread, table
+from lectern.sources.files import decoded, parse_files, read_parts
 from lectern.sources.markup import html_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,9 +26,22 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def extract_documents(spark, sf_dir):
     """Documents measured, with their chapters and their span in the fenced corpus."""
-    docs = table(spark, sf_dir, "documents")
-    sized = extract.measure(docs).select("doc_id", "lang", "chars", "words", "estimated_tokens", "pages", F.col("chapters").alias("chapters_detected"), "has_toc")
-    return sized.join(lines.source_spans(docs, ["doc_id"]), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return extract.placed(docs.withColumn("text", sanitize.sanitize(F.coalesce("text", F.lit("")))), ["doc_id"])
+
+
+@query
+def extracted_books(spark, sf_dir):
+    """Books as parsed files, from sanitising to their place in the corpus; every fifth one failed."""
+    from pyspark.sql import Window
+
+    parsed = inputs.books(spark, sf_dir).withColumn("seq", F.row_number().over(Window.orderBy("doc_id")))  # a row for each brand
+    failed = F.col("seq") % 5 == 0
+    parsed = parsed.select("seq", F.concat(F.lit("shelf/"), F.col("doc_id"), F.lit(".MD")).alias("path"), F.when(~failed, F.col("text")).alias("text"), F.lit(None).cast("int").alias("pages"), F.when(failed, F.lit("broken")).alias("error"))
+    sources, failures = extract.extract(parsed)
+    cols = ["seq", "filename", "path", "format"]
+    good = sources.select(*cols, "chars", "words", "estimated_tokens", "pages", "chapters_detected", "has_toc", "start_line", "end_line", F.md5("text").alias("digest"), F.lit("").alias("error"))
+    return good.unionByName(failures.select(*cols, "error"), allowMissingColumns=True).fillna(0).fillna("").fillna(False)
 
 
 @query
@@ -88,6 +101,11 @@ def probe_best(spark, sf_dir):
     return probe.best(probe.probe(inputs.books(spark, sf_dir)))
 
 
+@query
+def probe_ranked(spark, sf_dir):
+    return probe.ranked(probe.probe(inputs.books(spark, sf_dir)))
+
+
 def _filtered(name: str) -> None:
     QUERIES[f"filter_{name}"] = lambda spark, sf_dir: denoise.filtered_lines(inputs.books(spark, sf_dir), name, ["doc_id"])
 
@@ -111,7 +129,7 @@ def detected_filters(spark, sf_dir):
 @query
 def cleaned_books(spark, sf_dir):
     out = denoise.clean(inputs.books(spark, sf_dir))
-    return out.select("doc_id", "lines_before", "lines_after", "percent_removed", "tokens_before", "tokens_after", F.md5("text").alias("digest"))
+    return out.select("doc_id", "lines_before", "lines_after", "percent_removed", "tokens_before", "tokens_after", "tokens_saved", "percent_saved", F.md5("text").alias("digest"))
 
 
 @query
@@ -119,6 +137,30 @@ def scan_findings(spark, sf_dir):
     return scan.scan(inputs.books(spark, sf_dir), ["doc_id"]).select("doc_id", "line", "severity", "rule", "excerpt")
 
 
+@query
+def forged_findings(spark, sf_dir):
+    return scan.scan(inputs.forged(spark, sf_dir), ["doc_id"]).select("doc_id", "line", "severity", "rule", "excerpt")
+
+
+@query
+def scan_outcomes(spark, sf_dir):
+    """Which texts pass a strict scan, those that couldn't be read among them."""
+    forged = inputs.forged(spark, sf_dir).withColumn("error", F.when(F.col("doc_id").endswith("3"), F.lit("not UTF-8")))
+    return scan.outcomes(scan.scan_parsed(forged, ["doc_id"]), ["doc_id"], strict=True)
+
+
+@query
+def ranked_findings(spark, sf_dir):
+    found = scan.ranked(scan.scan(inputs.forged(spark, sf_dir), ["doc_id"]), ["doc_id"])
+    return found.select("doc_id", "place", "severity", "line", "rule")
+
+
+@query
+def scanned_documents(spark, sf_dir):
+    """The injection scan over all documents."""
+    return scan.scan(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "line", "severity", "rule", "excerpt")
+
+
 @query
 def findings_by_severity(spark, sf_dir):
     return scan.by_severity(scan.scan(inputs.books(spark, sf_dir), ["doc_id"]))
@@ -223,6 +265,35 @@ def skill_audit(spark, sf_dir):
     return library.audit(skills.withColumn("directory", F.lit("skill")), "amp")
 
 
+for _lens in library.LENSES:
+    QUERIES[f"skill_audit_{_lens}"] = lambda spark, sf_dir, lens=_lens: library.audit(inputs.skills(spark, sf_dir).withColumn("directory", F.lit("skill")), lens)
+
+
+@query
+def faulty_libraries(spark, sf_dir):
+    return library.validate(inputs.faulty_libraries(spark, sf_dir))
+
+
+@query
+def library_reports(spark, sf_dir):
+    """The violations of each library as a report."""
+    return library.reports(library.validate(inputs.faulty_libraries(spark, sf_dir)))
+
+
+@query
+def token_gate_totals(spark, sf_dir):
+    return library.gate_totals(library.token_gate(table(spark, sf_dir, "documents"), 1000))
+
+
+@query
+def sliced_sources(spark, sf_dir):
+    """Conversations as sources of the corpus: the corpus' lines by number, joined back to the sources they are in."""
+    said = lines.concat_ordered(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")), ["conv_id"], ["turn"], "text", "\n")
+    spans = lines.source_spans(said, ["conv_id"]).checkpoint()
+    corpus = said.join(spans, "conv_id").select("start_line", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select((F.col("start_line") + F.col("pos")).alias("line_no"), "line")
+    return lines.slice_sources(corpus, spans.where("conv_id % 7 = 3")).select("conv_id", "line_no", "line")
+
+
 @query
 def input_budget_gate(spark, sf_dir):
     """Documents read in order against an output budget."""
@@ -285,6 +356,15 @@ def decoded_documents(spark, sf_dir):
     return docs.select("doc_id", F.md5(decoded(F.when(F.col("lang") == "en", F.encode("text", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))))).alias("digest"))
 
 
+@query
+def parsed_formats(spark, sf_dir):
+    """Suppliers as files of every format that needs no backend, parsed; what can't be is decoded as it is."""
+    files = inputs.built_files(table(spark, sf_dir, "supplier"))
+    parsed = parse_files(files).join(read_parts(files).withColumnRenamed("text", "part"), "path")
+    kind = F.element_at(F.split("error", ":"), 1)
+    return parsed.select("path", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"), kind.alias("error"), F.col("text").eqNullSafe(F.col("part")).alias("same"))
+
+
 @query
 def parsed_pages(spark, sf_dir):
     """Pages as files of a source: parsed, sanitised and measured; those without a known format fail."""

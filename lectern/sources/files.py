@@ -14,11 +14,14 @@ from collections.abc import Iterator
 from importlib.util import find_spec
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lectern.errors import LecternError, MissingDependency, ParseFailure, UnsupportedFormat
 from lectern.functions.text import file_format
+from lectern.operators.lines import running_total
+from lectern.session import bounded
 from lectern.sources.markup import docx_to_text, epub_to_text, html_to_text, rtf_to_text
 
 _FAMILIES = {"text": "txt md markdown rst adoc", "html": "html htm", "docx": "docx", "epub": "epub", "rtf": "rtf", "pdf": "pdf", "ebook": "mobi azw azw3"}
@@ -70,25 +73,25 @@ def _pdf_pages(data: bytes, backend: str) -> list[str]:
 def pdf_to_text(data: bytes, mode: str = "text") -> tuple[str, int]:
     backend = pdf_backend(mode)
     if not backend:
-        raise ValueError(f"no PDF backend is installed ({', '.join(PDF_BACKENDS)})")
+        raise MissingDependency(f"no PDF backend is installed ({', '.join(PDF_BACKENDS)})")
     pages = _pdf_pages(data, backend)
     text = "\n\n".join(filter(None, (p.strip() for p in pages)))
     if pages and len(text) / len(pages) < LEAST_PER_PAGE:
-        raise ValueError(f"{len(text)} characters on {len(pages)} pages: a scan without a text layer")
+        raise ParseFailure(f"{len(text)} characters on {len(pages)} pages: a scan without a text layer")
     return text, len(pages)
 
 
 def ebook_to_text(data: bytes, extension: str) -> str:
     """Through the external converter; its files live in the task's own scratch folder and only while it runs."""
     if not shutil.which(CONVERTER):
-        raise ValueError(f"{CONVERTER} is not on PATH")
+        raise MissingDependency(f"{CONVERTER} is not on PATH", remedy=f"install {CONVERTER}")
     with tempfile.TemporaryDirectory() as folder:
         source, target = os.path.join(folder, "book" + extension), os.path.join(folder, "book.txt")
         with open(source, "wb") as f:
             f.write(data)
         done = subprocess.run([CONVERTER, source, target], capture_output=True, text=True, timeout=CONVERTER_SECONDS, check=False)
         if done.returncode or not os.path.exists(target):
-            raise ValueError(f"{CONVERTER} failed: {(done.stderr or done.stdout).strip()[-200:]}")
+            raise ParseFailure(f"{CONVERTER} failed: {(done.stderr or done.stdout).strip()[-200:]}")
         with open(target, "rb") as f:
             return decode(f.read())
 
@@ -98,7 +101,7 @@ def parse(path: str, data: bytes, mode: str = "text") -> tuple[str, int | None]:
     extension = os.path.splitext(path)[1].lower()
     family = FORMATS.get(extension)
     if family is None:
-        raise ValueError(f"unsupported extension '{extension}'")
+        raise UnsupportedFormat(f"unsupported extension '{extension}'")
     if family == "pdf":
         return pdf_to_text(data, mode)
     if family == "docx":
@@ -111,10 +114,10 @@ def parse(path: str, data: bytes, mode: str = "text") -> tuple[str, int | None]:
     return {"html": html_to_text, "rtf": rtf_to_text}.get(family, str)(text), None
 
 
-def parse_files(files: DataFrame, mode: str = "text") -> DataFrame:
-    """(path, text, pages, error) of (path, content) rows; whatever goes wrong with a file becomes its error."""
+def parse_files(files: DataFrame, mode: str = "text", lossy: bool = False) -> DataFrame:
+    """(path, text, pages, error) of (path, content) rows; whatever goes wrong with a file becomes its error, or with ``lossy`` its bytes are decoded as they are."""
     if mode not in MODES:
-        raise ValueError(f"unknown mode '{mode}': one of {MODES}")
+        raise LecternError(f"unknown mode '{mode}': one of {MODES}")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,29 +127,48 @@ def parse_files(files: DataFrame, mode: str = "text") -> DataFrame:
                     text, pages = parse(path, content.as_py() or b"", mode)
                     text = _surrogates(text)
                 except Exception as e:  # noqa: BLE001 - any fault of a file is that file's row
-                    error = f"{type(e).__name__}: {e}"
+                    if lossy:
+                        text, pages = (content.as_py() or b"").decode("utf-8", "replace"), None
+                    else:
+                        text, pages, error = None, None, f"{type(e).__name__}: {e}"
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text], pa.string()), pa.array([pages], pa.int32()), pa.array([error], pa.string())], ["path", "text", "pages", "error"])
 
     return files.select("path", "content").mapInArrow(go, PARSED)
 
 
+def read_parts(files: DataFrame, mode: str = "text") -> DataFrame:
+    """(path, text) of (path, content) rows: parsed where a parser can, else decoded as UTF-8, what isn't replaced."""
+    return parse_files(files, mode, lossy=True).select("path", "text")
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool | None:
+    """What the file system says of ``path``; None where nothing has that name, so that it is a glob."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.getFileStatus(where).isDirectory() if system.exists(where) else None
+
+
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(seq, path, content) of files, folders (whole trees) and globs: supported formats only, except that a file named outright is always taken; each file once, in the order of its first argument and then of its path's components."""
+    """(seq, path, content) of files, folders (whole trees) and globs.
+
+    Supported formats only, except that a file named outright is always taken; each file once, in the order of its
+    first argument and then of its path's components. Numbers are prefix sums, so no task sees all names.
+    """
     found = None
     for arg, path in enumerate(paths):
+        folder = _is_folder(spark, path)
         reader = spark.read.format("binaryFile")
-        suffix = os.path.splitext(path)[1]
-        outright = suffix != "" and not any(c in path for c in "*?[{")
-        rows = (reader if outright else reader.option("recursiveFileLookup", "true")).load(path).select("path", "content")
-        if not outright:
+        rows = (reader.option("recursiveFileLookup", "true") if folder else reader).load(path).select("path", "content")
+        if folder is not False:
             rows = rows.where(F.concat(F.lit("."), file_format(F.col("path"))).isin(*FORMATS))
         rows = rows.withColumn("arg", F.lit(arg))
         found = rows if found is None else found.unionByName(rows)
     if found is None:
-        raise ValueError("no paths")
+        raise LecternError("no paths")
     rank = found.drop("content").groupBy("path").agg(F.min("arg").alias("arg"))
-    seq = rank.select("path", "arg", F.row_number().over(Window.orderBy("arg", F.split("path", "/"))).alias("seq"))  # file names only, as a listing is
-    return found.join(F.broadcast(seq) if seq.count() <= 100_000 else seq, ["path", "arg"]).select("seq", "path", "content")
+    seq = running_total(rank.select("arg", F.split("path", "/").alias("parts"), F.lit(1).alias("one")), ["arg", "parts"], "one", "before")
+    seq = seq.select("arg", F.array_join("parts", "/").alias("path"), (F.col("before") + 1).cast("int").alias("seq")).checkpoint()
+    return found.join(bounded(seq), ["path", "arg"]).select("seq", "path", "content")
 
 
 def capabilities() -> list[dict]:

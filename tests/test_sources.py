@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.errors import LecternError
 from lectern.operators import consolidate, extract, library
 from lectern.sources import files
 from lectern.sources.markup import _OPF, _PAGES, _W, docx_to_text, epub_to_text, html_to_text, rtf_to_text
@@ -95,8 +96,67 @@ def test_files_to_sources(spark, tmp_path):
     assert [r.filename for r in sources.orderBy("start_line").collect()] == [r.filename for r in sources.orderBy("seq").collect()]
     meta = extract.metadata_json(sources, failures).first().metadata
     assert '"total_sources":4' in meta and "bad.docx" in meta
-    with pytest.raises(ValueError, match="mode"):
+    with pytest.raises(LecternError, match="mode"):
         files.parse_files(found, "strange")
+    errors = {r.filename: r.error.split(":")[0] for r in failures.collect()}
+    assert errors["skip.xyz"] == "UnsupportedFormat" and errors["bad.docx"] == "BadZipFile" and (errors["p.pdf"] == "MissingDependency" or files.pdf_backend())
+
+
+def test_folders_with_dots_files_without_suffix_and_order(spark, tmp_path):
+    book = tmp_path / "book.v2"
+    (book / "sub").mkdir(parents=True)
+    for name in ("c.xyz", "sub/b.txt", "a.txt", "B.txt", "sub2.md"):
+        (book / name).write_text(name)
+    (tmp_path / "NOEXT").write_text("bare")
+    found = files.read_files(spark, [str(tmp_path / "NOEXT"), str(book), str(tmp_path / "book.v2" / "a.txt"), str(book / "*.md")])
+    got = [(r.seq, r.path.rpartition("/book.v2/")[2] if "book.v2" in r.path else "NOEXT") for r in found.orderBy("seq").collect()]
+    assert got == [(1, "NOEXT"), (2, "B.txt"), (3, "a.txt"), (4, "sub/b.txt"), (5, "sub2.md")]
+    with pytest.raises(LecternError, match="no paths"):
+        files.read_files(spark, [])
+
+
+def test_parts_are_read_whatever_they_are(spark):
+    rows = [("a.Rmd", b"# R\xff"), ("b.ipynb", b"{}"), ("c.html", b"<p>x</p>"), ("d.docx", b"no zip"), ("e.md", None)]
+    got = {r.path: r.text for r in files.read_parts(spark.createDataFrame([(p, bytearray(c) if c is not None else None) for p, c in rows], "path string, content binary")).collect()}
+    assert got["a.Rmd"] == "# R\ufffd" and got["b.ipynb"] == "{}" and got["c.html"].strip() == "x" and got["d.docx"] == "no zip" and got["e.md"] == ""
+    parts, _ = consolidate.plan_rows(spark, "s", consolidate.Plan("natural", parts=[("c.html", "One"), ("a.Rmd", None), ("gone.md", None)]))
+    texts = spark.createDataFrame(list(got.items()), "path string, text string")
+    assert consolidate.consolidated(parts, texts, "T").first().text == "# T\n\n\n\n# Part: One\n\n\n\n<!-- FILE: c.html -->\n\n" + got["c.html"] + "\n\n\n<!-- FILE: a.Rmd -->\n\n# R\ufffd\n\n\n<!-- FILE: gone.md -->\n"
+
+
+def test_lines_of_sources_by_range(spark, monkeypatch):
+    from lectern.operators import lines
+
+    monkeypatch.setattr(lines, "SLICE", 4)
+    corpus = spark.createDataFrame([(i, f"l{i}") for i in range(1, 60)], "line_no bigint, line string")
+    spans = spark.createDataFrame([("a", 4, 20), ("b", 21, 21), ("c", 30, 29), ("d", 40, 59), ("e", 10, 12)], "filename string, start_line bigint, end_line bigint")
+    got = sorted((r.filename, r.line_no) for r in lines.slice_sources(corpus, spans).collect())
+    assert got == sorted([*(("a", i) for i in range(4, 21)), ("b", 21), *(("d", i) for i in range(40, 60)), *(("e", i) for i in range(10, 13))])
+
+
+def test_gate_over_files_and_standard_input(spark, tmp_path, capsys):
+    import io
+    import json
+
+    from lectern.plans import gate
+
+    (tmp_path / "a.md").write_text("---\nx: 1\n---\n" + "word " * 100)
+    (tmp_path / "b.md").write_text("short")
+    assert gate.main([str(tmp_path), "--budget", "50", "--json"]) == 1
+    got = json.loads(capsys.readouterr().out)
+    assert got["over"] == 1 and got["total_tokens"] == sum(r["tokens"] for r in got["files"]) and [r.get("over_budget", False) for r in got["files"]] == [True, False]
+    assert gate.main([str(tmp_path), "--budget", "500"]) == 0 and "all  " in capsys.readouterr().out
+    assert gate.main(["--json"], io.StringIO("eight ch")) == 0 and json.loads(capsys.readouterr().out)["files"] == [{"path": "-", "tokens": 2}]
+    assert gate.main(["--body-only", "--json"], io.StringIO("---\nx: 1\n---\nabcd")) == 0 and json.loads(capsys.readouterr().out)["total_tokens"] == 1
+
+
+def test_cleaned_texts_and_their_report_as_tables(spark, tmp_path):
+    from lectern.operators import denoise
+
+    docs = spark.createDataFrame([(1, "Skip to main content\n\n\n\nbody\n")], "doc_id int, text string")
+    denoise.write_cleaned(denoise.clean(docs), ["doc_id"], str(tmp_path / "c"))
+    report = spark.read.json(str(tmp_path / "c" / "report")).first()
+    assert spark.read.parquet(str(tmp_path / "c" / "text")).first().text == "body\n" and report.lines_after < report.lines_before and report.tokens_saved > 0 and report.percent_saved > 0
 
 
 def test_capabilities():
@@ -193,6 +253,9 @@ def test_run_writes_everything(spark, tmp_path):
     for r in sources.collect():
         assert "\n".join(whole[r.start_line - 1 : r.end_line]) + "\n" == r.text
     assert extract.resolve_source(sources, "a.txt").count() == 1
+    assert not (tmp_path / "out" / "metadata").exists()
+    run(spark, [str(tmp_path / "in")], out, metadata=True)
+    assert '"total_sources":2' in spark.read.text(f"{out}/metadata").first().value
     assert spark.read.parquet(f"{out}/lines").where("filename = 'a.txt'").count() == 2
     assert main(["--check"]) == 0
     with pytest.raises(ValueError, match="no supported"):
