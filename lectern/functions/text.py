@@ -34,18 +34,20 @@ def let(value: Column, body) -> Column:
 
 
 def count_dense(text: Column) -> Column:
-    """Characters of dense scripts; text of single-byte characters needs no look."""
-    return F.when(F.octet_length(text) == F.length(text), F.lit(0)).otherwise(F.regexp_count(text, F.lit(f"[{DENSE}]")))
+    """Characters of dense scripts; text of single-byte characters needs no look, and of others only what lies beyond the alphabets does."""
+    beyond = F.regexp_replace(text, rf"[\x00-\x{{{DENSE_RANGES[0][0] - 1:x}}}]++", "")
+    return F.when(F.octet_length(text) == F.length(text), F.lit(0)).otherwise(F.regexp_count(beyond, F.lit(f"[{DENSE}]")))
 
 
 def estimate_tokens(text: Column) -> Column:
-    dense = count_dense(text)
-    return (dense / F.lit(PER_DENSE) + (F.length(text) - dense) / F.lit(PER_OTHER)).cast("int")
+    return let(count_dense(text), lambda dense: (dense / F.lit(PER_DENSE) + (F.length(text) - dense) / F.lit(PER_OTHER)).cast("int"))
 
 
 def count_words(text: Column) -> Column:
     """Dense characters plus the blank-separated tokens with any other character."""
-    return count_dense(text) + F.regexp_count(text, F.lit(rf"[^{BLANK}]*?[^{BLANK}{DENSE}][^{BLANK}]*"))
+    plain = F.regexp_count(text, F.lit(rf"[^{BLANK}]++"))
+    mixed = F.regexp_count(text, F.lit(rf"[^{BLANK}]*?[^{BLANK}{DENSE}][^{BLANK}]*"))
+    return let(count_dense(text), lambda dense: F.when(dense == 0, plain).otherwise(dense + mixed))
 
 
 def page_estimate(chars: Column, pages: Column | None = None) -> Column:

@@ -14,6 +14,8 @@ Thai heading is not checked for prose behind it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -92,8 +94,9 @@ def headings(text: Column) -> Column:
 
 
 def has_toc(text: Column) -> Column:
-    word = "|".join(TOC_WORDS)
-    return F.when(F.lower(text).rlike(word), F.exists(split_lines(text), is_toc)).otherwise(F.lit(False))
+    short = [w for w in TOC_WORDS if not any(o in w for o in TOC_WORDS if o != w)]  # who has a longer one has a short one
+    held = let(F.lower(text), lambda low: reduce(or_, [F.contains(low, F.lit(w)) for w in short]))
+    return F.when(held, F.exists(split_lines(text), is_toc)).otherwise(F.lit(False))
 
 
 def detect_structure(df: DataFrame, text: str = "text") -> DataFrame:

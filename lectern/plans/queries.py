@@ -46,7 +46,7 @@ def extracted_books(spark, sf_dir):
 
 @query
 def document_totals(spark, sf_dir):
-    return extract.total_cost(extract.measure(table(spark, sf_dir, "documents")).select("estimated_tokens"))
+    return extract.total_cost(extract.measure(spread(table(spark, sf_dir, "documents").select("text"))).select("estimated_tokens"))
 
 
 @query
@@ -320,7 +320,7 @@ def candidates_shown(spark, sf_dir):
 
 @query
 def token_gate(spark, sf_dir):
-    return library.token_gate(table(spark, sf_dir, "documents"), 1000).select("doc_id", "tokens", "over")
+    return library.token_gate(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), 1000).select("doc_id", "tokens", "over")
 
 
 @query
