@@ -3,7 +3,8 @@
 The input is a table of files (library, path, text), with paths relative to the library. Every
 check is a DataFrame of (library, severity, check, subject, detail), and all of them are united.
 A check is a set operation between files, links and required things: an anti join where the
-reference-side sets are tables, an array expression where they belong to one file.
+reference-side sets are tables, an array expression where they belong to one file. Texts are measured
+in their rows before any join; joins carry paths and measures, and those on paths broadcast nothing.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.budgets import CAP_SECTIONS, MASTER_STOP, TOLERANCE, master_budget, reference_budget, reference_cap
 from lectern.functions.text import estimate_tokens, let, split_lines, strip, strip_chars, strip_frontmatter
+from lectern.session import once
 
 ROUTER, FOLDER, INDEX = "SKILL.md", "references", "topic-index.md"
 SLUG = r"[a-z0-9]+(?:-[a-z0-9]+)*"
@@ -37,6 +39,11 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
+def _counted(text: Column, held: str, pattern: str) -> Column:
+    """The matches of a pattern, none of which is without ``held``."""
+    return F.when(F.contains(text, F.lit(held)), F.regexp_count(text, F.lit(pattern))).otherwise(0)
+
+
 def frontmatter(text: Column) -> Column:
     return _found(text, FRONTMATTER)
 
@@ -56,6 +63,12 @@ def sections(text: Column) -> Column:
     return F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.struct(strip(F.regexp_extract(p, r"\A([^\n]*)", 1)).alias("title"), F.regexp_extract(p, r"(?s)\A[^\n]*(.*)\z", 1).alias("body")))
 
 
+def titles(text: Column) -> Column:
+    """The titles of ``sections`` in lower case, without a look at the bodies."""
+    parts = F.split(F.concat(F.lit("\n"), text), r"\n##[ \t]+")
+    return F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.lower(strip(F.substring_index(p, "\n", 1))))
+
+
 def find_section(all_: Column, needle: str) -> Column:
     return F.get(F.filter(all_, lambda s: F.contains(F.lower(s["title"]), F.lit(needle.lower()))), F.lit(0))
 
@@ -67,7 +80,7 @@ def budget_type(text: Column) -> Column:
 
 def book_type(text: Column) -> Column:
     """As the validator has it: two code fences or a dozen table rows are technical."""
-    fences, rows = F.regexp_count(text, F.lit(r"(?m)^```")), F.regexp_count(text, F.lit(r"(?dm)^\s*\|.*\|.*\|"))
+    fences, rows = _counted(text, "```", r"(?m)^```"), _counted(text, "|", r"(?dm)^\s*\|.*\|.*\|")
     return F.when((fences >= 2) | (rows >= 12), "technical").otherwise("text")
 
 
@@ -181,12 +194,12 @@ def router_violations(files: DataFrame) -> DataFrame:
     links = router_links(files)
     holder = _violations(links.select("library", F.col("target").alias("subject")), ("error", "placeholder-link", F.col("subject").rlike("[{}<>]"), None))
     local = links.where(~F.col("target").rlike("[{}<>]")).select("library", F.split("target", "#")[0].alias("path")).distinct()
-    paths = files.select("library", "path")
+    paths = files.select("library", "path").hint("merge")
     lost = local.join(paths, ["library", "path"], "left_anti")
     hint = lost.join(paths.select("library", F.col("path").alias("there")), (lost["library"] == paths["library"]) & (F.col("there") == F.concat(F.lit(f"{FOLDER}/"), lost["path"])), "left").select(lost["library"], lost["path"].alias("subject"), "there")
     dangling = _violations(hint, ("error", "dangling-link", F.lit(True), F.coalesce("there", F.lit(""))))
     named = router.select("library").join(none.select("library"), "library", "left_anti")
-    orphans = _references(files).join(named, "library", "left_semi").select("library", "path").join(local, ["library", "path"], "left_anti")
+    orphans = _references(files).join(named, "library", "left_semi").select("library", "path").join(local.hint("merge"), ["library", "path"], "left_anti")
     return none.unionByName(holder).unionByName(dangling).unionByName(_violations(orphans.select("library", F.col("path").alias("subject")), ("error", "unreachable", F.lit(True), None)))
 
 
@@ -207,7 +220,7 @@ def index_violations(files: DataFrame) -> DataFrame:
     entry = index.select("library", F.explode("entries").alias("e"))
     few = _violations(entry.select("library", F.col("e.term").alias("subject"), F.size("e.books").alias("n")), ("error", "index-few-books", F.col("n") < MIN_BOOKS, F.col("n")))
     named = entry.select("library", F.col("e.term").alias("subject"), F.explode("e.books").alias("slug")).where("slug <> ''")
-    unknown = named.join(_references(files).select("library", "slug"), ["library", "slug"], "left_anti")
+    unknown = named.join(_references(files).select("library", "slug").hint("merge"), ["library", "slug"], "left_anti")
     return whole.unionByName(few).unionByName(_violations(unknown, ("warning", "index-unknown-book", F.lit(True), F.col("slug"))))
 
 
@@ -220,9 +233,13 @@ def master_violations(files: DataFrame) -> DataFrame:
 
 
 def reference_violations(files: DataFrame) -> DataFrame:
-    master = files.where(F.col("path") == ROUTER).select("library", declared_depth(F.col("text"), F.lit("study")).alias("fallback"))
-    rows = _references(files).join(master, "library").withColumns({"depth": declared_depth(F.col("text"), F.col("fallback")), "type": book_type(F.col("text")), "tokens": estimate_tokens(F.col("text")), "sections": declared_sections(F.col("text"))})
-    rows = rows.withColumns({"budget": reference_budget(F.col("sections"), F.col("depth"), F.col("type")), "cap": reference_cap(F.col("depth"), F.col("type")), "titles": F.transform(sections(F.col("text")), lambda s: F.lower(s["title"]))})
+    text = F.col("text")
+    master = once(files.where(F.col("path") == ROUTER), ["library"], fallback=declared_depth(text, F.lit("study")))
+    rows = once(
+        _references(files), ["library", "name"], own=declared_depth(text, F.lit(None).cast("string")), type=book_type(text), tokens=estimate_tokens(text), sections=declared_sections(text), titles=titles(text), titled=text.rlike(r"\A#\s+\S"),
+    ).join(master.hint("merge"), "library")
+    rows = rows.withColumn("depth", F.coalesce("own", "fallback"))
+    rows = rows.withColumns({"budget": reference_budget(F.col("sections"), F.col("depth"), F.col("type")), "cap": reference_cap(F.col("depth"), F.col("type"))})
     rows = rows.withColumn("worked", F.size(F.filter("titles", lambda t: F.contains(t, F.lit("worked example"))))).withColumn("subject", F.col("name"))
     over = F.col("tokens") > F.col("cap")
 
@@ -231,7 +248,7 @@ def reference_violations(files: DataFrame) -> DataFrame:
 
     return _violations(
         rows, ("error", "over-cap", over, F.col("tokens")), ("warning", "no-sections", ~over & F.col("budget").isNull(), None), ("warning", "over-budget", ~over & (F.col("tokens") > F.bround(F.col("budget") * (1 + TOLERANCE))), F.col("tokens")),
-        ("error", "no-title", ~F.col("text").rlike(r"\A#\s+\S"), None), *[("error", "missing-section", lacks(t), F.lit(t)) for t in REQUIRED_SECTIONS], ("warning", "no-decision-rules", lacks("decision rules"), None),
+        ("error", "no-title", ~F.col("titled"), None), *[("error", "missing-section", lacks(t), F.lit(t)) for t in REQUIRED_SECTIONS], ("warning", "no-decision-rules", lacks("decision rules"), None),
         ("error", "worked-example-in-reference", (F.col("depth") == "reference") & (F.col("worked") > 0), None), ("error", "many-worked-examples", F.col("worked") > 1, F.col("worked")), ("warning", "no-worked-example", (F.col("depth") == "study") & (F.col("worked") == 0), None),
     )
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -54,5 +54,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def once(df: DataFrame, keys: list[str], **made: Column) -> DataFrame:
+    """``keys`` and the columns of ``made``, which are computed once a row: what filters, joins or names them later doesn't write them out again, and what they are made of isn't carried along."""
+    return df.select(*keys, F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
