@@ -75,7 +75,7 @@ def find_section(all_: Column, needle: str) -> Column:
 
 def budget_type(text: Column) -> Column:
     """As the budget tool has it: six bare code fences or more are technical."""
-    return F.when(F.regexp_count(text, F.lit(r"(?dm)^```(?!markdown(?:[^\w]|$))[.+#a-z0-9-]*\s*$")) >= 6, "technical").otherwise("text")
+    return F.when(_counted(text, "```", r"(?dm)^```(?!markdown(?:[^\w]|$))[.+#a-z0-9-]*\s*$") >= 6, "technical").otherwise("text")
 
 
 def book_type(text: Column) -> Column:
@@ -92,6 +92,12 @@ def declared_sections(text: Column) -> Column:
     return F.regexp_extract(text, r"[*]{2}Sections[*]{2}:\s*~?(\d+)", 1).try_cast("int")
 
 
+def frameworks_tokens(text: Column) -> Column:
+    """Tokens of the section on frameworks, from its heading to the next one; 0 without it."""
+    part = F.regexp_extract(F.concat(F.lit("\n"), text), r"\n(##\s+Frameworks\b(?:[^\n]++|\n(?!##\s))*+)", 1)
+    return let(part, lambda p: F.when(p != "", estimate_tokens(p)).otherwise(0))
+
+
 def index_entries(text: Column) -> Column:
     """array<struct(term, books)> of a topic index; books are slugs without folder, prefix and suffix."""
     def book(target: Column) -> Column:
@@ -112,12 +118,12 @@ def _references(files: DataFrame) -> DataFrame:
 
 def reference_files(files: DataFrame) -> DataFrame:
     """(library, name, sections, depth, type, tokens, budget, cap, frameworks_tokens) of each reference file."""
-    rows = _references(files).withColumns({"sections": declared_sections(F.col("text")), "depth": declared_depth(F.col("text"), F.lit("study")), "type": budget_type(F.col("text")), "tokens": estimate_tokens(F.col("text"))})
-    part = _found(F.concat(F.lit("\n"), F.col("text")), r"(?s)\n(##\s+Frameworks\b.*?(?=\n##\s|\z))")
+    text = F.col("text")
+    rows = once(_references(files), ["library", "name"], sections=declared_sections(text), depth=declared_depth(text, F.lit("study")), type=budget_type(text), tokens=estimate_tokens(text), frameworks_tokens=frameworks_tokens(text))
     return rows.select(
         "library", "name", "sections", "depth", "type", "tokens",
         reference_budget(F.col("sections"), F.col("depth"), F.col("type")).alias("budget"), reference_cap(F.col("depth"), F.col("type")).alias("cap"),
-        F.coalesce(estimate_tokens(part), F.lit(0)).alias("frameworks_tokens"),
+        "frameworks_tokens",
     )
 
 

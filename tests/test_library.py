@@ -21,3 +21,19 @@ def test_titles(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     for r in df.select(library.titles(F.col("text")).alias("got"), F.transform(library.sections(F.col("text")), lambda s: F.lower(s["title"])).alias("want")).collect():
         assert r.got == r.want
+
+
+def test_frameworks_tokens(spark):
+    """As the plain pattern has it."""
+    from lectern.functions.text import estimate_tokens
+
+    texts = ["", "## Frameworks\nabcd", "x\n##  Frameworks & Structure\nab\n### in\n##no\ncd\n## Next\nno", "##  Frameworksx\na\n## Frameworks\nab\n##\tEnd", "a\n## Frameworks", "\n## Frameworks\n## B\n## Frameworks\nlong enough", "## Frameworks 漢字\r\n\n\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    plain = F.regexp_extract(F.concat(F.lit("\n"), F.col("text")), r"(?s)\n(##\s+Frameworks\b.*?(?=\n##\s|\z))", 1)
+    for r in df.select(library.frameworks_tokens(F.col("text")).alias("got"), estimate_tokens(plain).alias("want")).collect():
+        assert r.got == r.want
+
+
+def test_reference_files_are_made_over_all_cores(spark, sf):
+    """One small file of suppliers stands for texts a thousand times its size."""
+    assert library.reference_files(inputs.libraries(spark, sf)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
