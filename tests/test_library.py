@@ -37,3 +37,8 @@ def test_frameworks_tokens(spark):
 def test_reference_files_are_made_over_all_cores(spark, sf):
     """One small file of suppliers stands for texts a thousand times its size."""
     assert library.reference_files(inputs.libraries(spark, sf)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_density_looks_once(spark, sf):
+    """What density filters by isn't written out again for each row that it names."""
+    assert plan_of(library.density(inputs.libraries(spark, sf))).count("Frameworks\\b") == 1
