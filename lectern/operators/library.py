@@ -132,7 +132,10 @@ def routers(files: DataFrame) -> DataFrame:
     body = strip_frontmatter(F.col("text"))
     tail = F.get(F.split(F.concat(F.lit("\n"), body), r"\n##\s+Cross-book"), F.lit(1))
     books = _references(files).groupBy("library").agg(F.count("*").cast("int").alias("books"))
-    rows = files.where(F.col("path") == ROUTER).select("library", estimate_tokens(body).alias("tokens"), F.regexp_count(body, F.lit(r"(?m)^##\s+Capability\b")).alias("capabilities"), F.coalesce(F.regexp_count(tail, F.lit(r"(?dm)^\s*[|-]\s*\*\*.+?\*\*")), F.lit(0)).alias("index_entries"))
+    rows = once(
+        files.where(F.col("path") == ROUTER), ["library"], tokens=estimate_tokens(body), capabilities=F.regexp_count(body, F.lit(r"(?m)^##\s+Capability\b")),
+        index_entries=F.coalesce(F.regexp_count(tail, F.lit(r"(?dm)^\s*[|-]\s*\*\*.+?\*\*")), F.lit(0)),
+    )
     rows = rows.join(books, "library", "left").withColumn("books", F.coalesce("books", F.lit(0)))
     return rows.select("library", "tokens", "books", "capabilities", "index_entries", master_budget(F.col("books"), F.col("capabilities"), F.col("index_entries")).alias("budget"), F.lit(MASTER_STOP).alias("hard_stop"))
 

@@ -42,3 +42,9 @@ def test_reference_files_are_made_over_all_cores(spark, sf):
 def test_density_looks_once(spark, sf):
     """What density filters by isn't written out again for each row that it names."""
     assert plan_of(library.density(inputs.libraries(spark, sf))).count("Frameworks\\b") == 1
+
+
+def test_budget_report_looks_once(spark, sf):
+    """Neither are reference files or routers measured again for the state that is reported."""
+    plan = plan_of(library.budget_report(inputs.libraries(spark, sf)))
+    assert plan.count("Frameworks\\b") <= 1 and plan.count("Capability\\b") == 1
