@@ -13,10 +13,10 @@ from lectern.operators.structure import detect_structure
 COST_FACTOR, READ_FACTOR, RETAINED_BAND = 1.3, 4, (50, 70)
 
 
-def measure(df: DataFrame, text: str = "text", pages: str | None = None) -> DataFrame:
+def measure(df: DataFrame, text: str = "text", pages: str | None = None, strict: bool = False) -> DataFrame:
     """``df`` with chars, words, estimated_tokens, pages, chapters, has_toc (and headings)."""
     value = F.coalesce(F.col(text), F.lit(""))
-    df = detect_structure(df, text)
+    df = detect_structure(df, text, strict)
     return df.withColumns({
         "chars": F.length(value),
         "words": count_words(value),
@@ -25,9 +25,9 @@ def measure(df: DataFrame, text: str = "text", pages: str | None = None) -> Data
     })
 
 
-def placed(df: DataFrame, order: list[str], pages: str | None = None, text: str = "text") -> DataFrame:
+def placed(df: DataFrame, order: list[str], pages: str | None = None, text: str = "text", strict: bool = False) -> DataFrame:
     """``df`` without its text, measured, with its span in the corpus. Texts are read once; only their measures are written down and ordered."""
-    sized = measure(df, text, pages).withColumn("__lines", block_size(F.col(text))).drop("headings", text).withColumnRenamed("chapters", "chapters_detected").checkpoint()
+    sized = measure(df, text, pages, strict).withColumn("__lines", block_size(F.col(text))).drop("headings", text).withColumnRenamed("chapters", "chapters_detected").checkpoint()
     return sized.join(source_spans(sized, order, size="__lines"), order).drop("__lines")
 
 

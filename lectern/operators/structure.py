@@ -51,6 +51,8 @@ RULES: tuple[Dialect, ...] = (
     Dialect("cjk-markdown", rf"\A#{{1,6}}{_S}+第?{_S}*([{_WIDE}{HAN}]+){_S}*[章节節回卷篇讲講·、：:.](.*)\z", parse_han),
     Dialect("thai-chapter", rf"\A{_S}*(?:#{{1,6}}{_S}+)?(?:{'|'.join(THAI_WORDS)}){_S}*([๐-๙0-9]+)(.*)\z", parse_thai),
 )
+#: The same, but a Roman numeral stands apart from the chapter word, by a blank or a dot: ``Ch. VI`` is a chapter, the word ``Chvi`` isn't.
+STRICT_RULES = (RULES[0]._replace(pattern=RULES[0].pattern.replace(f"([{_R}]{{1,7}}|", f"((?<=[{BLANK}.])[{_R}]{{1,7}}|")), *RULES[1:])
 MAYBE = rf"(?iu)(?:\A|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]){_S}*(?:#{{1,6}}{_S}+)?(?:{'|'.join(CHAPTER_WORDS + THAI_WORDS)}|第|[{_WIDE}{HAN}]|[{_R}]{{1,7}}{_S}*[:.])"
 MAYBE_LINE = rf"(?iu)\A{_S}*(?:#{{1,6}}{_S}+)?(?:{'|'.join(CHAPTER_WORDS + THAI_WORDS)}|第|[{_WIDE}{HAN}]|[{_R}]{{1,7}}{_S}*[:.])"
 HEADING = "struct<number:int,title:string,rule:string>"
@@ -61,10 +63,10 @@ def is_toc(line: Column) -> Column:
     return strip_chars(F.lower(bare), ":：", left=False).isin(*TOC_WORDS)
 
 
-def match_line(line: Column) -> Column:
+def match_line(line: Column, strict: bool = False) -> Column:
     """struct(number, title, rule) of the first rule that fits, or null."""
     found = F.lit(None).cast(HEADING)
-    for rule in reversed(RULES):
+    for rule in reversed(STRICT_RULES if strict else RULES):
         number, tail = rule.parse(F.regexp_extract(line, rule.pattern, 1)), F.regexp_extract(line, rule.pattern, 2)
         fits = line.rlike(rule.pattern)
         if rule.checked:
@@ -75,11 +77,11 @@ def match_line(line: Column) -> Column:
     return found
 
 
-def headings_of(lines: Column) -> Column:
+def headings_of(lines: Column, strict: bool = False) -> Column:
     """array<struct(rule, number, line, title)> of an array of lines: first occurrences, by line."""
     numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
     maybe = F.filter(numbered, lambda x: x["text"].rlike(MAYBE_LINE) & ~is_toc(x["text"]))
-    hits = F.filter(F.transform(maybe, lambda x: F.struct(x["line"].alias("line"), match_line(x["text"]).alias("h"))), lambda x: x["h"].isNotNull())
+    hits = F.filter(F.transform(maybe, lambda x: F.struct(x["line"].alias("line"), match_line(x["text"], strict).alias("h"))), lambda x: x["h"].isNotNull())
     flat = F.transform(hits, lambda x: F.struct(x["h"]["rule"].alias("rule"), x["h"]["number"].alias("number"), x["line"].alias("line"), x["h"]["title"].alias("title")))
     first = let(F.array_sort(flat), lambda s: F.filter(s, lambda x, i: (i == 0) | (x["rule"] != s[i - 1]["rule"]) | (x["number"] != s[i - 1]["number"])))
     by_line = F.array_sort(F.transform(first, lambda x: F.struct(x["line"].alias("line"), x["rule"].alias("rule"), x["number"].alias("number"), x["title"].alias("title"))))
@@ -89,8 +91,8 @@ def headings_of(lines: Column) -> Column:
 EMPTY = "array<struct<line:int,rule:string,number:int,title:string>>"
 
 
-def headings(text: Column) -> Column:
-    return F.when(text.rlike(MAYBE), let(split_lines(text), headings_of)).otherwise(F.array().cast(EMPTY))
+def headings(text: Column, strict: bool = False) -> Column:
+    return F.when(text.rlike(MAYBE), let(split_lines(text), lambda a: headings_of(a, strict))).otherwise(F.array().cast(EMPTY))
 
 
 def has_toc(text: Column) -> Column:
@@ -99,10 +101,10 @@ def has_toc(text: Column) -> Column:
     return F.when(held, F.exists(split_lines(text), is_toc)).otherwise(F.lit(False))
 
 
-def detect_structure(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with headings (array), chapters (their number) and has_toc; a null text has none."""
+def detect_structure(df: DataFrame, text: str = "text", strict: bool = False) -> DataFrame:
+    """``df`` with headings (array), chapters (their number) and has_toc; a null text has none. ``strict`` wants Roman numerals apart from the chapter word."""
     value = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumn("headings", headings(value)).withColumn("chapters", F.size("headings")).withColumn("has_toc", has_toc(value))
+    return df.withColumn("headings", headings(value, strict)).withColumn("chapters", F.size("headings")).withColumn("has_toc", has_toc(value))
 
 
 def heading_rows(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,9 +25,9 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def extract_documents(spark, sf_dir):
-    """Documents measured, with their chapters and their span in the fenced corpus."""
+    """Documents measured, with their chapters and their span in the fenced corpus. In prose, a word such as ``Chvi`` is no chapter."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
-    return extract.placed(docs.withColumn("text", sanitize.sanitize(F.coalesce("text", F.lit("")))), ["doc_id"])
+    return extract.placed(docs.withColumn("text", sanitize.sanitize(F.coalesce("text", F.lit("")))), ["doc_id"], strict=True)
 
 
 @query
